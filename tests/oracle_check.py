@@ -64,6 +64,13 @@ def compare(spark, sf_dir: str, name: str, build, sql: str | None, con=None):
         info.update(ok=False, why=f"values differ, first: {diff}")
         return info
     info["ok"] = True
+    tmap = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+            "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "float": "FLOAT"}
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    bad_t = [(f.name, f.dataType.simpleString(), dtypes.get(f.name)) for f in sdf.schema.fields
+             if tmap.get(f.dataType.simpleString(), f.dataType.simpleString()) != dtypes.get(f.name)]
+    if bad_t:
+        info["type_warn"] = bad_t
     return info
 
 
