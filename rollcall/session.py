@@ -51,3 +51,18 @@ def checkpoint_dir(spark: SparkSession, local_default: bool = False) -> str:
     sc.setCheckpointDir(d)
     spark.conf.set("spark.checkpoint.dir", d)
     return d
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a frame over at least ``min_partitions`` (default: the
+    cluster's default parallelism) before CPU-heavy per-row work.
+
+    A no-op when the scan already yields enough partitions (the normal case
+    for large, many-file inputs); only few-split inputs pay the shuffle.
+    The check reads the physical plan's partition count; it runs no job.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
