@@ -44,36 +44,46 @@ THINKING_INDICATORS = [
 # --- end fixed values ---------------------------------------------------------
 
 
+def _format_positions(df: DataFrame, text_col: str) -> DataFrame:
+    """Marker positions as staged columns (each position is computed once
+    and later rules refer to it by attribute, keeping expressions small)."""
+    t = F.col(text_col)
+    a_full, f_full = P.ANALYSIS_OPEN, P.FINAL_OPEN
+    d = (df.withColumn("_a_full", find(t, a_full)).withColumn("_f_full", find(t, f_full))
+         .withColumn("_p_idx", find(t, P.PARTIAL_ANALYSIS)).withColumn("_apos", find(t, "assistant"))
+         .withColumn("_lstrip_an", py_lstrip(t).startswith("analysis")))
+    d = (d.withColumn("_fpos", F.when(F.col("_apos") != -1, find(t, "final", F.col("_apos"))).otherwise(F.lit(-1)))
+         .withColumn("_a_start", F.when(F.col("_a_full") != -1, F.col("_a_full") + len(a_full))
+                     .when(F.col("_p_idx") != -1, F.col("_p_idx") + len(P.PARTIAL_ANALYSIS)).otherwise(F.lit(0))))
+    return (d.withColumn("_end_after", find(t, P.ANALYSIS_CLOSE, F.col("_a_start")))
+            .withColumn("_fin_after", find(t, f_full, F.col("_a_start")))
+            .withColumn("_ret_after", F.when(F.col("_f_full") != -1,
+                                             find(t, P.FINAL_CLOSE, F.col("_f_full") + len(f_full))).otherwise(F.lit(-1))))
+
+
+_POS_COLS = ["_a_full", "_f_full", "_p_idx", "_apos", "_lstrip_an", "_fpos", "_a_start", "_end_after",
+             "_fin_after", "_ret_after"]
+
+
 def format_reward_rules(text, parsed: str = "parsed", sql_col: str = "sql") -> Column:
     """Per-rule contributions of the channel-format score as
     ``array<struct<rule string, delta double>>`` (zero-delta rules omitted).
-    Needs the parsed ``struct<thinking, content>`` and extracted SQL columns
-    (see ``format_reward``). The score is the clamped sum."""
+    Needs the parsed ``struct<thinking, content>``, the extracted SQL and the
+    staged marker positions (see ``format_reward``). Score = clamped sum."""
     t = col(text)
-    a_full, f_full = P.ANALYSIS_OPEN, P.FINAL_OPEN
-    has_a = F.instr(t, a_full) > 0
-    has_f = F.instr(t, f_full) > 0
-    has_pa = (F.instr(t, P.PARTIAL_ANALYSIS) > 0) | py_lstrip(t).startswith("analysis")
+    c = F.col
+    has_a, has_f = c("_a_full") != -1, c("_f_full") != -1
+    has_pa = (c("_p_idx") != -1) | c("_lstrip_an")
     use_partial = ~has_a & ~has_f
-    sect_a = py_lstrip(t).startswith("analysis") | (F.instr(F.substr(t, F.lit(1), F.lit(50)), "analysis") > 0)
-    sect_f = (F.instr(t, "final") > 0) & (F.instr(t, "assistant") > 0)
-    apos = find(t, "assistant")
-    fpos = F.when(apos != -1, find(t, "final", apos)).otherwise(F.lit(-1))
+    sect_a = c("_lstrip_an") | (F.instr(F.substr(t, F.lit(1), F.lit(50)), "analysis") > 0)
+    sect_f = (F.instr(t, "final") > 0) & (c("_apos") != -1)
     eff_a = has_a | has_pa
-    p_idx = find(t, P.PARTIAL_ANALYSIS)
-    a_start = F.when(has_a, find(t, a_full) + len(a_full)) \
-        .otherwise(F.when(p_idx != -1, p_idx + len(P.PARTIAL_ANALYSIS)).otherwise(F.lit(0)))
-    end_after = find(t, P.ANALYSIS_CLOSE, a_start)
-    fin_after = find(t, f_full, a_start)
-    f_start = find(t, f_full) + len(f_full)
-    ret_after = find(t, P.FINAL_CLOSE, f_start)
-    a_pos = F.when(has_a, find(t, a_full)).otherwise(F.when(p_idx != -1, p_idx).otherwise(F.lit(0)))
-    a_count = F.when(has_a, count_occurrences(t, a_full)).otherwise(count_occurrences(t, P.PARTIAL_ANALYSIS))
-    f_count = count_occurrences(t, f_full)
-    thinking, content = F.col(f"{parsed}.thinking"), F.col(f"{parsed}.content")
-    sql = F.col(sql_col)
+    a_pos = F.when(has_a, c("_a_full")).when(c("_p_idx") != -1, c("_p_idx")).otherwise(F.lit(0))
+    a_count = F.when(has_a, count_occurrences(t, P.ANALYSIS_OPEN)).otherwise(count_occurrences(t, P.PARTIAL_ANALYSIS))
+    f_count = count_occurrences(t, P.FINAL_OPEN)
+    thinking, content = c(f"{parsed}.thinking"), c(f"{parsed}.content")
+    sql = c(sql_col)
     has_sql = py_strip(sql) != ""
-    th_words = py_words(thinking)
     th_low = F.lower(thinking)
     n_ind = sum(F.when(F.instr(th_low, s) > 0, 1).otherwise(0) for s in THINKING_INDICATORS)
     sql_up = F.upper(py_strip(sql))
@@ -84,15 +94,16 @@ def format_reward_rules(text, parsed: str = "parsed", sql_col: str = "sql") -> C
     rules = [
         ("partial_analysis_section", use_partial & sect_a, 0.2),
         ("partial_final_section", use_partial & sect_f, 0.2),
-        ("partial_ordering", use_partial & sect_a & (apos > 10) & (fpos > apos), 0.2),
+        ("partial_ordering", use_partial & sect_a & (c("_apos") > 10) & (c("_fpos") > c("_apos")), 0.2),
         ("partial_single_assistant", use_partial & (count_occurrences(t, "assistant") == 1), 0.2),
         ("analysis_open", eff_a, 0.2),
-        ("analysis_closed", eff_a & (end_after != -1) & ((fin_after == -1) | (end_after < fin_after)), 0.1),
+        ("analysis_closed", eff_a & (c("_end_after") != -1)
+         & ((c("_fin_after") == -1) | (c("_end_after") < c("_fin_after"))), 0.1),
         ("final_open", has_f, 0.2),
-        ("final_closed", has_f & (ret_after != -1), 0.1),
-        ("ordering", eff_a & has_f & (a_pos < find(t, f_full)), 0.2),
+        ("final_closed", has_f & (c("_ret_after") != -1), 0.1),
+        ("ordering", eff_a & has_f & (a_pos < c("_f_full")), 0.2),
         ("no_duplicates", (a_count == 1) & (f_count == 1), 0.2),
-        ("thinking_length", (thinking != "") & (F.size(th_words) > 20), 0.25),
+        ("thinking_length", (thinking != "") & (F.size(py_words(thinking)) > 20), 0.25),
         ("schema_indicators", (thinking != "") & (n_ind >= 2), 0.25),
         ("has_sql", has_sql, 0.25),
         ("sql_starts_correctly", has_sql & (sql_up.startswith("SELECT") | sql_up.startswith("WITH")), 0.25),
@@ -108,16 +119,58 @@ def format_reward_rules(text, parsed: str = "parsed", sql_col: str = "sql") -> C
     return F.filter(arr, lambda x: x.isNotNull())
 
 
+# --- fixed values: format rules and their score deltas -----------------------
+FORMAT_RULE_DELTAS = [
+    ("partial_analysis_section", 0.2), ("partial_final_section", 0.2), ("partial_ordering", 0.2),
+    ("partial_single_assistant", 0.2), ("analysis_open", 0.2), ("analysis_closed", 0.1),
+    ("final_open", 0.2), ("final_closed", 0.1), ("ordering", 0.2), ("no_duplicates", 0.2),
+    ("thinking_length", 0.25), ("schema_indicators", 0.25), ("has_sql", 0.25),
+    ("sql_starts_correctly", 0.25), ("final_text_without_sql", -0.5), ("analysis_without_final", -1.0),
+    ("no_format_no_sql", -1.5), ("no_final_but_sql", -1.0), ("final_contains_reasoning", -0.5),
+]
+# --- end fixed values ----------------------------------------------------------
+
+
+def scoring_reasons(scored: DataFrame, rules_col: str = "format_rules", by: list[str] = ()) -> DataFrame:
+    """How often each format rule fired and its total contribution.
+
+    The rule set is fixed, so this is one wide aggregate (``count_if`` per
+    rule, partial aggregation on the map side) reshaped to one row per rule;
+    no per-rule row explosion reaches the shuffle."""
+    names = F.transform(F.col(rules_col), lambda x: x["rule"])
+    d = scored.withColumn("_rule_names", names)
+    aggs = [F.count_if(F.array_contains("_rule_names", r)).alias(f"n__{i}") for i, (r, _) in enumerate(FORMAT_RULE_DELTAS)]
+    wide = d.groupBy(*by).agg(*aggs)
+    parts = [F.struct(F.lit(r).alias("rule"), F.col(f"n__{i}").alias("n"),
+                      (F.col(f"n__{i}") * F.lit(dl)).alias("total_delta"))
+             for i, (r, dl) in enumerate(FORMAT_RULE_DELTAS)]
+    return wide.select(*by, F.inline(F.array(*parts))).where(F.col("n") > 0)
+
+
 def format_reward(df: DataFrame, text_col: str, out: str = "format_score", with_rules: bool = False) -> DataFrame:
     """Channel-format score in [-1.5, 2]: sum of rule deltas, clamped."""
     d = P.add_parsed(df, text_col, "_fparsed")
     d = P.add_sql(d, text_col, "_fsql", content_col="_fparsed.content")
-    d = d.withColumn("_rules", format_reward_rules(F.col(text_col), "_fparsed", "_fsql")).drop("_fparsed", "_fsql")
+    d = _format_positions(d, text_col)
+    d = d.withColumn("_rules", format_reward_rules(F.col(text_col), "_fparsed", "_fsql")) \
+        .drop("_fparsed", "_fsql", *_POS_COLS)
     raw = F.aggregate("_rules", F.lit(0.0), lambda acc, x: acc + x["delta"])
     d = d.withColumn(out, F.greatest(F.lit(-1.5), F.least(F.lit(2.0), raw)))
     return d.withColumnRenamed("_rules", "format_rules") if with_rules else d.drop("_rules")
 
 
+def schema_mentions(df: DataFrame, thinking_col: str, sql_col: str, schema_col: str) -> DataFrame:
+    """Which prompt-schema tables/columns occur (as substrings) in the
+    thinking and in the SQL. Per-row ``filter`` over the row's own name
+    arrays; no theta join."""
+    th, sq = F.lower(F.col(thinking_col)), F.lower(F.col(sql_col))
+    tabs, cols = F.col(f"{schema_col}.tables"), F.col(f"{schema_col}.columns")
+    return (df.withColumn("tables_in_thinking", F.filter(tabs, lambda x: F.instr(th, x) > 0))
+            .withColumn("columns_in_thinking", F.filter(cols, lambda x: F.instr(th, x) > 0))
+            .withColumn("tables_in_sql", F.filter(tabs, lambda x: F.instr(sq, x) > 0))
+            .withColumn("columns_in_sql", F.filter(cols, lambda x: F.instr(sq, x) > 0)))
+
+
 def thinking_quality_reward(df: DataFrame, text_col: str, prompt_col: str, out: str = "thinking_score") -> DataFrame:
     """Schema grounding, length band and thinking→SQL coherence, in [0, 2].
 
@@ -138,8 +191,8 @@ def thinking_quality_reward(df: DataFrame, text_col: str, prompt_col: str, out:
     c_both = F.filter(c_th, lambda x: F.instr(sq, x) > 0)
     nt, nc = F.size(t_th), F.size(c_th)
     wc = F.size(py_words(th))
-    t_ratio = F.size(t_both) / nt
-    c_ratio = F.size(c_both) / nc
+    t_ratio = F.try_divide(F.size(t_both), nt)
+    c_ratio = F.try_divide(F.size(c_both), nc)
     score = (F.when(nt >= 2, 0.4).when(nt >= 1, 0.2).otherwise(0.0)
              + F.when(nc >= 3, 0.4).when(nc >= 1, 0.2).otherwise(0.0)
              + F.when((wc >= 30) & (wc <= 400), 0.4).when(((wc >= 15) & (wc < 30)) | ((wc > 400) & (wc <= 600)), 0.2)

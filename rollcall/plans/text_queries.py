@@ -109,6 +109,8 @@ def q_valid_cte(spark, sf):
 @register("extract_cte_balanced")
 def q_balanced(spark, sf):
     """Quote-aware balanced CTE scan (Arrow UDF) over every response body."""
+    from ..session import ship_package
+    ship_package(spark)
     d = fixture(spark, sf, "fx_completions")
     return d.select("completion_id", P.extract_cte_balanced("completion").alias("cte_sql"))
 

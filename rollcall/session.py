@@ -66,3 +66,29 @@ def spread(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() >= want:
         return df
     return df.repartition(want)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``rollcall`` importable in Python workers (``addPyFile`` of a zip
+    of the package), once per SparkContext. Needed by the Arrow UDFs when
+    executors do not share the driver's ``sys.path`` (any real cluster)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="rollcall-py-")
+    path = os.path.join(out_dir, "rollcall.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
