@@ -85,7 +85,8 @@ SQL_CTE = CO + """
 
 
 def _with_sql(spark, sf):
-    d = P.add_parsed(fixture(spark, sf, "fx_completions"), "completion")
+    from ..session import spread
+    d = P.add_parsed(spread(fixture(spark, sf, "fx_completions")), "completion")
     return P.add_sql(d, "completion", "sql", content_col="parsed.content")
 
 
@@ -97,7 +98,8 @@ def q_extract_sql(spark, sf):
 @register("extract_sql_think_tags", SQL_CTE + """
 SELECT completion_id, CASE WHEN template = 0 THEN regexp_extract(completion, '(select from .*)$', 1) ELSE sql END AS sql FROM x""")
 def q_extract_sql_m(spark, sf):
-    d = P.add_sql(fixture(spark, sf, "fx_completions"), "completion", "sql", fmt="think", fence_mode="M")
+    from ..session import spread
+    d = P.add_sql(spread(fixture(spark, sf, "fx_completions")), "completion", "sql", fmt="think", fence_mode="M")
     return d.select("completion_id", "sql")
 
 
@@ -120,7 +122,8 @@ SELECT completion_id, CASE template WHEN 3 THEN {STRIP("completion")} WHEN 10 TH
   WHEN 7 THEN 'WITH t AS (SELECT o_custkey AS k FROM orders) SELECT k FROM t'
   WHEN 8 THEN 'WITH t AS (SELECT o_custkey FROM orders' ELSE sql END AS gt_sql FROM x""")
 def q_extract_gt(spark, sf):
-    d = P.add_gt_sql(fixture(spark, sf, "fx_completions"), "completion", "gt_sql")
+    from ..session import spread
+    d = P.add_gt_sql(spread(fixture(spark, sf, "fx_completions")), "completion", "gt_sql")
     return d.select("completion_id", "gt_sql")
 
 
