@@ -82,7 +82,7 @@ def ship_package(spark) -> None:
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out_dir = tempfile.mkdtemp(prefix="rollcall-py-")
+    out_dir = os.path.realpath(tempfile.mkdtemp(prefix="rollcall-py-"))
     path = os.path.join(out_dir, "rollcall.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
