@@ -8,8 +8,11 @@ bijective mixer.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 MASK = (1 << 64) - 1
@@ -27,7 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=U) * U(BASE))
+#: A random word for every byte value or code point.
+CODE = mix(np.arange(1, 0x110001, dtype=U) * U(BASE))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: As SPACE, and ASCII punctuation separates words too.
@@ -59,6 +63,61 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
+def code_points(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of a string column; null counts as empty."""
+    if lower:
+        column = pc.utf8_lower(column)
+    b, off = utf8(column)
+    points = np.frombuffer(b.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+    lead = np.append(0, np.cumsum((b & 0xC0) != 0x80))
+    return points, lead[off]
+
+
+@functools.cache
+def not_letter() -> np.ndarray:
+    """By code point: it is no letter."""
+    return ~np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+@functools.cache
+def not_word() -> np.ndarray:
+    """By code point: it is neither letter nor digit."""
+    return ~np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def ngrams(points: np.ndarray, start: np.ndarray, end: np.ndarray, sizes, bits: int, affixes=()):
+    """Hashed features of words: (word index, bucket) pairs. Character n-grams
+    of the word between two marks, its prefixes and suffixes of the lengths in
+    ``affixes``, and the word itself."""
+    n, length = len(start), end - start
+    base = np.append(0, np.cumsum(length + 2))
+    inner = np.arange(length.sum())
+    word = np.repeat(np.arange(n), length)
+    skip = np.append(0, np.cumsum(length))[:-1]
+    flat = np.full(base[-1], 0x10FFFF, np.uint32)  # the mark
+    flat[inner + 2 * word + 1] = points[inner - skip[word] + start[word]]
+    own = np.repeat(np.arange(n), length + 2)
+    c, shift = CODE[flat], U(64 - bits)
+    words, buckets = [], []
+
+    def add(w, h, kind):
+        words.append(w)
+        buckets.append((mix(h + U(kind * 0x1000003)) >> shift).astype(np.int64))
+
+    h = c
+    for k in range(2, max([*sizes, *(a + 1 for a in affixes), 1]) + 1):
+        h = h[:-1] + c[k - 1:] * powers(STEP, k)[k - 1]
+        if k in sizes:
+            ok = own[:len(h)] == own[k - 1:]
+            add(own[:len(h)][ok], h[ok], k)
+        if k - 1 in affixes:
+            has = np.flatnonzero(length >= k - 1)
+            add(has, h[base[has]], 100 + k)
+            add(has, h[base[has + 1] - k], 200 + k)
+    add(np.arange(n), substring_hash(points, start, end), 1)
+    return np.concatenate(words), np.concatenate(buckets)
+
+
 def chunks(offsets: np.ndarray, size: int = 1 << 20):
     """Document ranges (lo, hi) of about ``size`` bytes; at least one document."""
     lo, n = 0, len(offsets) - 1
@@ -115,6 +174,6 @@ def substring_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     """64-bit hash of each byte range: polynomial, position-free, mixed."""
     n = len(data)
     prefix = np.zeros(n + 1, U)
-    np.cumsum(BYTE[data] * powers(BASE, n), out=prefix[1:])
+    np.cumsum(CODE[data] * powers(BASE, n), out=prefix[1:])
     h = (prefix[end] - prefix[start]) * powers(BASE_INV, n + 1)[start]
     return mix(h ^ (end - start).astype(U))

@@ -43,3 +43,70 @@ kept AS (
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(g) AS BIGINT) AS n_removed,
        sha256(array_to_string(kw, ' ')) AS kept_sha256 FROM kept
 """
+
+
+def _learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+
+    return read(spark, sf_dir, "labels").where(~held_out())
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+    from .toxicity import toxicity
+
+    out = toxicity(read(spark, sf_dir, "documents"), _learnable(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import edited_pairs
+
+    return edited_pairs(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+    from .quality import quality
+
+    out = quality(read(spark, sf_dir, "documents"), _learnable(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations
+
+    return format_conversations(read(spark, sf_dir, "conversations")).withColumnRenamed("id", "conv_id")
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .labelled import held_out
+    from .langid import languages
+
+    docs = read(spark, sf_dir, "documents")
+    out = languages(docs, docs.where(~held_out()))
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+# Turns as a list; a conversation goes if a longer one starts with all its turns.
+ORACLES["op8_chat_format"] = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT ts[1:k] AS ts FROM (SELECT ts, unnest(range(1, len(ts))) AS k FROM c)),
+one AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY ts)
+SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, n_copies,
+  array_to_string(list_transform(ts, lambda x: '<|im_start|>'
+    || replace(replace(x.r, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10)
+    || replace(replace(x.t, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>')
+    || '<|im_end|>' || chr(10)), '') AS text
+FROM one WHERE ts NOT IN (SELECT ts FROM p)
+"""
