@@ -110,3 +110,29 @@ SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, n_copies,
     || '<|im_end|>' || chr(10)), '') AS text
 FROM one WHERE ts NOT IN (SELECT ts FROM p)
 """
+
+
+@query
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data, spans_text
+
+    out = find_personal_data(read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select(F.col("id").alias("doc_id"), *counts,
+                      F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                      spans_text(F.concat("base", "added")).alias("spans"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import flagged
+
+    return flagged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key").withColumnRenamed("id", "doc_id")
