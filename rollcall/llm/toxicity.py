@@ -49,7 +49,8 @@ def _bags(column):
             own, times = np.unique(which[w.first[d]:w.first[d + 1]], return_counts=True)
             n = count[own]
             take = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n))[:-1], n) + np.repeat(at[own], n)
-            weight = np.repeat(times / n / max(times.sum(), 1), n)
+            often = np.sqrt(times)
+            weight = np.repeat(often / n / max(often.sum(), 1), n)
             b, inverse = np.unique(bucket[take], return_inverse=True)
             out.append((b.astype(np.int32), np.bincount(inverse, weight, minlength=len(b)).astype(np.float32)))
     return out
@@ -99,7 +100,10 @@ def score(column, value: np.ndarray, bias: float) -> np.ndarray:
     for lo, hi, w, which, (word, bucket) in _words(column):
         n = int(which.max(initial=-1)) + 1
         per_word = np.bincount(word, value[bucket], minlength=n) / np.maximum(np.bincount(word, minlength=n), 1)
-        out[lo:hi] += np.bincount(w.doc, per_word[which], minlength=hi - lo) / np.maximum(w.count, 1)
+        pair, times = np.unique(w.doc * n + which, return_counts=True)
+        often, doc = np.sqrt(times), pair // max(n, 1)
+        out[lo:hi] += np.bincount(doc, often * per_word[pair - doc * n], minlength=hi - lo) \
+            / np.maximum(np.bincount(doc, often, minlength=hi - lo), 1)
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
