@@ -1,8 +1,9 @@
 """Toxicity from subword bags.
 
 A word is the bag of its character n-grams and itself, hashed into a table of
-embeddings; a text is the mean of its words' vectors; a linear softmax reads
-the mean. Embeddings and softmax are trained together by Adagrad in numpy, on a
+embeddings; a text is the mean of its words' vectors (a repeated word counts by
+the root of its frequency, and ``PRIOR`` neutral words join); a linear softmax
+reads the mean. Embeddings and softmax are trained together by Adagrad in numpy, on a
 bounded sample of labelled rows, so a misspelling shares the vectors of the
 n-grams it keeps. Scoring folds table and softmax into one number per bucket
 and runs as a map over whole texts: no shuffle.
@@ -24,6 +25,8 @@ from .labelled import sample
 from .storage import ship
 
 BITS, SIZES, DIM, SCALE = 17, (3, 4, 5), 8, 32.0
+#: Neutral words added to every text, so that a few words do not decide alone.
+PRIOR = 10.0
 SPACES = np.zeros(0x110000, bool)
 SPACES[:256] = SPACE
 
@@ -50,13 +53,13 @@ def _bags(column):
             n = count[own]
             take = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n))[:-1], n) + np.repeat(at[own], n)
             often = np.sqrt(times)
-            weight = np.repeat(often / n / max(often.sum(), 1), n)
+            weight = np.repeat(often / n / (often.sum() + PRIOR), n)
             b, inverse = np.unique(bucket[take], return_inverse=True)
             out.append((b.astype(np.int32), np.bincount(inverse, weight, minlength=len(b)).astype(np.float32)))
     return out
 
 
-def fit(texts, labels, epochs: int = 12, batch: int = 64, rate: float = 0.1, seed: int = 1, min_texts: int = 5):
+def fit(texts, labels, epochs: int = 6, batch: int = 64, rate: float = 0.1, seed: int = 1, min_texts: int = 5, decay: float = 3e-6):
     """One number per bucket and the bias: the difference of the two logits.
     Buckets seen in fewer than ``min_texts`` training texts stay neutral."""
     y = np.asarray(labels, float)
@@ -66,7 +69,7 @@ def fit(texts, labels, epochs: int = 12, batch: int = 64, rate: float = 0.1, see
     bags, rng = _bags(texts), np.random.default_rng(seed)
     seen = sum((np.bincount(b, minlength=1 << BITS) for b, _ in bags), np.zeros(1 << BITS, np.int64))
     bags = [(b[known], c[known]) for b, c in bags for known in [seen[b] >= min_texts]]
-    e = Adagrad((DIM, 1 << BITS), rate, 1e-7)
+    e = Adagrad((DIM, 1 << BITS), rate, decay)
     e.w[:] = rng.normal(0, 0.05, e.w.shape)
     soft = Adagrad((2, DIM + 1), rate)
     soft.w[:] = rng.normal(0, 0.3, soft.w.shape)
@@ -103,18 +106,18 @@ def score(column, value: np.ndarray, bias: float) -> np.ndarray:
         pair, times = np.unique(w.doc * n + which, return_counts=True)
         often, doc = np.sqrt(times), pair // max(n, 1)
         out[lo:hi] += np.bincount(doc, often * per_word[pair - doc * n], minlength=hi - lo) \
-            / np.maximum(np.bincount(doc, often, minlength=hi - lo), 1)
+            / (np.bincount(doc, often, minlength=hi - lo) + PRIOR)
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "toxic", label_id: str = "doc_id", bound: int = 2500) -> DataFrame:
+             label_col: str = "toxic", label_id: str = "doc_id", bounds: tuple = (5000, 2500)) -> DataFrame:
     """(id, score) of every text. ``labels`` are the rows to learn from; at most
-    ``bound`` of each class are used."""
+    ``bounds`` of class 0 and 1 are used."""
     spark = docs.sparkSession
     ship(spark)
     keys = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    texts, y, _ = sample(docs, keys.where("label in (0, 1)"), bound, id_col, text_col)
+    texts, y, _ = sample(docs, keys.where("label in (0, 1)"), dict(enumerate(bounds)), id_col, text_col)
     model = spark.sparkContext.broadcast(fit(texts, y))  # 2**17 floats
 
     def run(batches):
