@@ -11,31 +11,31 @@ does not change when all weights of a text grow alike.
 Registers form bands; texts that agree in a band share a bucket. Links are
 pairs of different texts in one bucket whose exact J_P is ``threshold`` or more
 (a pair at 0.8 shares no bucket with probability 4e-5). Classes are the
-connected components of the links. They are found without emitting all pairs of
-a bucket:
-
-1. equal texts are one node;
-2. every node of a bucket is verified against the bucket's least node (a star),
-   and components are formed;
-3. buckets that still hold several components are verified exactly inside
-   tasks, tile by tile (``TILE`` nodes against ``TILE`` nodes), each task
-   returning only a spanning forest of the links it found.
+connected components of the links. Equal texts are one node; buckets of the
+same nodes are one bucket. The pairs of a bucket are never emitted: buckets are
+verified exactly inside tasks, and a task returns only a spanning forest of the
+links it found. A bucket of more than ``TILE`` nodes is cut into chunks, and
+every pair of chunks is a tile of its own, so no task holds a large bucket.
+Smaller buckets go with the buckets of the same least node (at most ``BANDS``),
+so that their shingles travel once.
 
 Defined results: a null text counts as empty; texts without words link only to
 equal texts; fewer than five words are one shingle; equal rows share a class;
-the class id is the least id of the class (null only if it has no other).
+the class id is the least id of the class (null only if it has no other id).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import PUNCT, U, Words, chunks, mix, powers, STEP, utf8
+from .arrays import BASE, MASK, PUNCT, STEP, U, Words, chunks, mix, powers, utf8
 from .components import components
-from .storage import ship, stage
+from .storage import ship, shuffle_partitions, stage
 
 ROWS, BANDS = 5, 26
 M = ROWS * BANDS
@@ -62,7 +62,7 @@ def registers(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.
     rate, time, t = weight.astype(float), np.zeros(len(h)), 0
     while len(h):
         t += 1
-        v = mix(h + U(t) * U(0x9E3779B97F4A7C15))
+        v = mix(h + U(t * BASE & MASK))
         time = time - np.log(((v >> U(32)).astype(float) + 0.5) * 2.0 ** -32) / rate
         cell = doc * M + (((v & U(0xFFFFFFFF)) * U(M)) >> U(32)).astype(np.int64)
         np.minimum.at(least, cell, time)
@@ -104,3 +104,141 @@ def similarity(h1, c1, h2, c2) -> float:
     below = np.append(0.0, np.cumsum(y[order]))
     at = np.searchsorted(r, ratio, "left")
     return float((1 / ((only1 + above[at]) / x + (only2 + below[at]) / y)).sum())
+
+
+def _pack(h: np.ndarray, weight: np.ndarray) -> bytes:
+    """Shingles as sorted 40-bit numbers, then their weights unless all are 1."""
+    body = (h >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return len(h).to_bytes(4, "little") + body + (b"" if (weight == 1).all() else weight.astype("<u4").tobytes())
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    h = np.zeros((n, 8), np.uint8)
+    h[:, :5] = np.frombuffer(blob, np.uint8, n * 5, 4).reshape(n, 5)
+    rest = np.frombuffer(blob, "<u4", offset=4 + 5 * n)
+    return h.view("<u8").ravel(), rest.astype(np.int64) if len(rest) else np.ones(n, np.int64)
+
+
+def _packed(batches):
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            out = []
+            for lo, hi, doc, h, weight in shingles(part["text"]):
+                at = np.searchsorted(doc, np.arange(hi - lo + 1))
+                out += [_pack(h[a:b], weight[a:b]) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array(out, pa.binary())], ["node", "set"])
+
+
+def spanning_links(sets: list, rows: np.ndarray, others: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (index pairs) that join everything ``rows`` x ``others`` joins: a
+    spanning forest of all pairs whose exact similarity is the threshold or more.
+    ``rows`` may be ``others``."""
+    near = threshold - 1e-9
+    flat = np.concatenate([sets[i][0] for i in others])
+    owner = np.repeat(np.arange(len(others)), [len(sets[i][0]) for i in others])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    weight = np.concatenate([sets[i][1] for i in others])[order].astype(float)
+    total = np.array([sets[i][1].sum() for i in others], float)
+    size = np.array([len(sets[i][0]) for i in others], float)
+    even = np.array([(sets[i][1] == sets[i][1][:1]).all() for i in others])
+    group, links = np.arange(len(sets)), []
+    for i in rows:
+        h, w = sets[i]
+        lo, hi = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.append(0, np.cumsum(n))[:-1], n)
+        who = owner[at]
+        common = np.bincount(who, minlength=len(others))
+        ok = common / (len(h) + size - common) >= near
+        flat_weights = (w == w[:1]).all()
+        if not (flat_weights and even.all()):
+            # J_P is at most the common share of either weight
+            bound = np.minimum(np.bincount(who, np.repeat(w, n), minlength=len(others)) / w.sum(),
+                               np.bincount(who, weight[at], minlength=len(others)) / total)
+            odd = ~even | (not flat_weights)
+            ok = np.where(odd, bound >= near, ok)
+        for j in np.flatnonzero(ok):
+            k = others[j]
+            if group[k] == group[i] or k == i:
+                continue
+            if (flat_weights and even[j]) or similarity(h, w, *sets[k]) >= near:
+                group[group == group[k]] = group[i]
+                links.append((int(i), int(k)))
+    return links
+
+
+def _links(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_numpy()
+        sets = [_unpack(x.as_py()) for x in table["set"]]
+        tiles: dict[tuple, list] = {}
+        for i, entries in enumerate(table["tiles"].to_pylist()):
+            for e in entries:
+                tiles.setdefault((e["b"], e["i"], e["j"]), ([], []))[e["c"] != e["i"]].append(i)
+        found = set()
+        for (_, i, j), (own, other) in sorted(tiles.items()):
+            own, other = np.array(own, int), np.array(other if i != j else own, int)
+            if len(own) and len(other) and len(own) + len(other) > 1:
+                # only this tile's sets, so that groups start apart
+                index, at = np.unique(np.concatenate([own, other]), return_inverse=True)
+                for a, b in spanning_links([sets[x] for x in index], at[:len(own)], at[len(own):], threshold):
+                    found.add((nodes[index[a]], nodes[index[b]]))
+        a, b = zip(*sorted(found)) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
+                    group_rows: int = 4000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """(id, key, class_id, class_size, first) of every row of ``docs``; ``key``
+    is the md5 of its text, ``class_size`` counts rows, ``first`` marks the row
+    (or equal rows) of the least id."""
+    spark = docs.sparkSession
+    ship(spark)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
+    sketches = rows.mapInArrow(_sketch, "key binary, id long, bands array<long>")
+    nodes = stage(sketches.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+                  .withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
+
+    band = nodes.select("node", F.explode("bands").alias("b"))
+    shared = band.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")) \
+        .where("n > 1").groupBy("n", "m", "x").agg(F.min("b").alias("b"))
+    inside = stage(band.join(shared, "b").select("b", "n", "m", "node"), "dup-buckets")
+    n_rows = inside.count()
+    parts = max(shuffle_partitions(spark), math.ceil(n_rows / group_rows), 1)
+    chunks_ = F.ceil(F.col("n") / TILE).cast("int")
+    tiled = inside.withColumn("q", chunks_).withColumn("c", F.pmod(F.xxhash64("node", "b"), F.col("q")).cast("int")) \
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1))) \
+        .select("node", F.when(F.col("q") == 1, F.xxhash64("m")).otherwise(F.xxhash64("b", F.least("c", "o"), F.greatest("c", "o"))).alias("g"),
+                F.struct("b", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c").alias("e")) \
+        .groupBy(F.pmod("g", F.lit(parts * 8)).alias("g"), "node").agg(F.collect_list("e").alias("tiles"))
+
+    used = inside.select("node").distinct().join(nodes.select("node", "rep", F.col("key").alias("key_")), "node")
+    used = stage(used, "dup-used")
+    small = used.count() * 48 <= broadcast_bytes
+    sets = rows.join(F.broadcast(used) if small else used, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("rep"))) \
+        .select("node", "text").mapInArrow(_packed, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
+    links = tiled.join(sets, "node").groupBy("g").applyInArrow(_links(threshold), "a long, b long")
+    classes = components(links)
+
+    named = nodes.select("key", "rep", "copies", "node").join(classes, "node", "left") \
+        .withColumn("root", F.coalesce("component", "node"))
+    per = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("least"), F.sum("copies").alias("class_size"))
+    named = stage(named.join(per, "root").select(
+        F.col("key").alias("key_"), F.col("least.rep").alias("class_id"), "class_size", (F.col("key") == F.col("least.key")).alias("first")), "dup-classes")
+    return rows.select("id", "key").join(named, F.col("key") == F.col("key_")).select(
+        "id", "key", "class_id", "class_size", (F.col("first") & F.col("id").eqNullSafe(F.col("class_id"))).alias("first"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each class, that of the least id
+    (of equal rows any one)."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    keep = stage(found.where("first").select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct(), "dup-keep")
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    left = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key"))).select(*docs.columns, "__id", "__key")
+    return left.dropDuplicates(["__id", "__key"]).drop("__id", "__key")

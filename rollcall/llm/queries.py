@@ -136,3 +136,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("key").withColumnRenamed("id", "doc_id")
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "class_size")
