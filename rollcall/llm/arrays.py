@@ -63,6 +63,12 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
+def pieces(column, n: int = 256):
+    """(first row, slice) of every n rows: bounds the working arrays."""
+    for i in range(0, len(column), n):
+        yield i, column.slice(i, n)
+
+
 def code_points(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(code points, offsets) of a string column; null counts as empty."""
     if lower:
