@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import Words, chunks, code_points, ngrams, not_letter
+from .arrays import Words, chunks, code_points, ngrams, not_letter, pieces
 from .crf import Adagrad, forward_backward, lay_out
 from .labelled import sample
 from .storage import ship
@@ -31,11 +31,14 @@ BITS, SIZES, AFFIXES, WIDTH, PIECE = 16, (2, 3), (2, 3), 64, 12
 
 
 def _words(column):
-    points, off = code_points(column, lower=True)
-    for lo, hi in chunks(off, 1 << 18):
-        w = Words(points[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], not_letter())
-        _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        yield lo, hi, w, which, ngrams(w.data, w.start[first], w.end[first], SIZES, BITS, AFFIXES)
+    """Yields (lo, hi, words, index of each word among the distinct ones, the
+    distinct words' (word, bucket) features) per chunk of lower-cased text."""
+    for i, part in pieces(column):
+        points, off = code_points(part, lower=True)
+        for lo, hi in chunks(off, 1 << 18):
+            w = Words(points[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], not_letter())
+            _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+            yield i + lo, i + hi, w, which, ngrams(w.data, w.start[first], w.end[first], SIZES, BITS, AFFIXES)
 
 
 def _scores(weights: np.ndarray, word: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:

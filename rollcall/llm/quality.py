@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import U, Words, chunks, code_points, mix, not_letter, not_word
+from .arrays import U, Words, chunks, code_points, mix, not_letter, not_word, pieces
 from .crf import Adagrad, forward_backward, lay_out
 from .labelled import sample
 from .storage import ship
@@ -45,47 +45,53 @@ def upper(points: np.ndarray) -> np.ndarray:
 
 def _lines(column):
     """Yields (lo, hi, line's document, line's weight, lines x measures)."""
-    points, off = code_points(column)
-    for lo, hi in chunks(off, 1 << 18):
-        p, o = points[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-        w = Words(p, o, SPACES)
-        line = Words(p, o, NEWLINE)
-        of = np.searchsorted(line.start, w.start, "right") - 1  # the line of each word
-        words = np.bincount(of, minlength=len(line.start))
-        keep = words > 0
-        number = np.cumsum(keep) - 1
-        n, of, words = int(keep.sum()), number[of], words[keep]
-        start, end, doc, same = line.start[keep], line.end[keep], line.doc[keep], line.hash[keep]
-        length = (end - start).astype(float)
-
-        def total(flag):
-            c = np.append(0, np.cumsum(flag))
-            return (c[end] - c[start]).astype(float)
-
-        letter = ~not_letter()[p]
-        space = SPACES[p]
-        sign = not_word()[p] & ~space
-        chars = np.maximum(length - total(space), 1)
-        again = np.append(False, (w.hash[1:] == w.hash[:-1]) & (of[1:] == of[:-1]))
-        pair = mix(w.hash + U(0x9E37) * of.astype(U))
-        first = np.zeros(len(w.hash), bool)
-        first[np.unique(pair, return_index=True)[1]] = True
-        one_sign = np.zeros(len(w.hash), bool)
-        short = (w.end - w.start) == 1
-        one_sign[short] = sign[w.start[short]]
-        tail = sign[w.end - 1] & (w.end - w.start >= 3) if len(w.hash) else np.zeros(0, bool)
-        tail[tail] = sign[w.end[tail] - 2]
-        by_word = lambda flag: np.bincount(of, flag, minlength=n) / words
-        whole = mix(same + U(0x51ED) * doc.astype(U))
-        _, inverse, times = np.unique(whole, return_inverse=True, return_counts=True)
-        repeated = (times[inverse] > 1).astype(float) if n else np.zeros(0)
-        # runs of capitals count, not one capital that starts a word
-        cap = upper(p)
-        inner = cap & np.append(False, cap[:-1])
-        measures = [length, words, chars / words, total(sign) / chars, total(inner) / chars,
-                    total(letter) / chars, total(~letter & ~space & ~sign) / chars,
-                    by_word(again), 1 - by_word(first), by_word(one_sign), by_word(tail), repeated]
-        yield lo, hi, doc, chars, np.stack(measures, axis=1) if n else np.zeros((0, len(EDGES)))
+    for i, part in pieces(column):
+        points, off = code_points(part)
+        for lo, hi in chunks(off, 1 << 18):
+            doc, chars, measures = _measures(points[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+            yield i + lo, i + hi, doc, chars, measures
+
+
+def _measures(p: np.ndarray, o: np.ndarray):
+    """(line's document, line's weight, lines x measures) of a chunk."""
+    w = Words(p, o, SPACES)
+    line = Words(p, o, NEWLINE)
+    of = np.searchsorted(line.start, w.start, "right") - 1  # the line of each word
+    words = np.bincount(of, minlength=len(line.start))
+    keep = words > 0
+    number = np.cumsum(keep) - 1
+    n, of, words = int(keep.sum()), number[of], words[keep]
+    start, end, doc, same = line.start[keep], line.end[keep], line.doc[keep], line.hash[keep]
+    length = (end - start).astype(float)
+
+    def total(flag):
+        c = np.append(0, np.cumsum(flag))
+        return (c[end] - c[start]).astype(float)
+
+    letter = ~not_letter()[p]
+    space = SPACES[p]
+    sign = not_word()[p] & ~space
+    chars = np.maximum(length - total(space), 1)
+    again = np.append(False, (w.hash[1:] == w.hash[:-1]) & (of[1:] == of[:-1]))
+    pair = mix(w.hash + U(0x9E37) * of.astype(U))
+    first = np.zeros(len(w.hash), bool)
+    first[np.unique(pair, return_index=True)[1]] = True
+    one_sign = np.zeros(len(w.hash), bool)
+    short = (w.end - w.start) == 1
+    one_sign[short] = sign[w.start[short]]
+    tail = sign[w.end - 1] & (w.end - w.start >= 3) if len(w.hash) else np.zeros(0, bool)
+    tail[tail] = sign[w.end[tail] - 2]
+    by_word = lambda flag: np.bincount(of, flag, minlength=n) / words
+    whole = mix(same + U(0x51ED) * doc.astype(U))
+    _, inverse, times = np.unique(whole, return_inverse=True, return_counts=True)
+    repeated = (times[inverse] > 1).astype(float) if n else np.zeros(0)
+    # runs of capitals count, not one capital that starts a word
+    cap = upper(p)
+    inner = cap & np.append(False, cap[:-1])
+    measures = [length, words, chars / words, total(sign) / chars, total(inner) / chars,
+                total(letter) / chars, total(~letter & ~space & ~sign) / chars,
+                by_word(again), 1 - by_word(first), by_word(one_sign), by_word(tail), repeated]
+    return doc, chars, np.stack(measures, axis=1) if n else np.zeros((0, len(EDGES)))
 
 
 def _features(doc: np.ndarray, measures: np.ndarray) -> np.ndarray:
