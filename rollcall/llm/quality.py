@@ -7,7 +7,9 @@ labels. Forward-backward gives each line the probability of being good, and the
 mean of these, weighted by the lines' letters and signs, is the document's score.
 
 Training: a bounded sample of labelled documents of each class; a document's
-label stands for each of its lines. The likelihood is maximised by Adagrad.
+label stands for each of its lines. The likelihood is maximised by Adagrad. A
+logistic curve, fitted to the same documents, turns the mean into the chance
+that the document's label is good.
 
 Chains hold at most ``WIDTH`` lines; longer documents are several chains.
 
@@ -117,11 +119,14 @@ def _chains(doc: np.ndarray, n_docs: int):
 
 
 def fit(texts, labels, epochs: int = 8, rate: float = 0.3):
-    """(weight of each feature for "good", transitions, share of good)."""
+    """(weight of each feature for "good", transitions, (slope, offset) of the
+    curve, share of good)."""
     y = np.asarray(labels, int)
     share = float(y.mean()) if len(y) else 0.5
     if len(set(labels)) < 2:
-        return None, None, share
+        return None, None, None, share
+    order = np.random.default_rng(1).permutation(len(y))
+    texts, y = texts.take(pa.array(order)), y[order]
     parts = [(doc, _features(doc, m), lo, hi) for lo, hi, doc, _, m in _lines(texts)]
     w, trans = Adagrad(N_FEATURES, rate, 1e-4), Adagrad((2, 2), rate, 1e-4)
     for _ in range(epochs):
@@ -138,7 +143,21 @@ def fit(texts, labels, epochs: int = 8, rate: float = 0.3):
             inside = (col[1:] > 0)
             np.subtract.at(pairs, (truth[:-1][inside], truth[1:][inside]), 1)
             trans.step(pairs / len(doc))
-    return w.w, trans.w, share
+    return w.w, trans.w, _curve(_means(texts, w.w, trans.w), y), share
+
+
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def _curve(mean: np.ndarray, y: np.ndarray, steps: int = 25, ridge: float = 1.0):
+    """Slope and offset of the logistic curve over the log odds (Newton)."""
+    x, t = np.column_stack([_log_odds(mean), np.ones(len(y))]), np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+        t = t - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (p - y) + ridge * (t - [1, 0]))
+    return float(max(t[0], 0.0)), float(t[1])
 
 
 def line_marginals(column, weights, trans):
@@ -153,16 +172,22 @@ def line_marginals(column, weights, trans):
         yield lo, hi, doc, weight, forward_backward(score, size, trans)[col, row, 1]
 
 
-def score(column, weights, trans, share: float) -> np.ndarray:
-    if weights is None:
-        return np.full(len(column), share)
+def _means(column, weights, trans) -> np.ndarray:
+    """Of every text, the weighted mean of its lines' marginals."""
     empty = weights[_features(np.zeros(1, int), np.zeros((1, len(EDGES))))].sum()
     out = np.full(len(column), 1 / (1 + np.exp(-np.clip(empty, -30, 30))))
     for lo, hi, doc, weight, good in line_marginals(column, weights, trans):
         total = np.bincount(doc, weight, minlength=hi - lo)
         has = total > 0
         out[lo:hi][has] = np.bincount(doc, weight * good, minlength=hi - lo)[has] / total[has]
-    return np.clip(out, 0, 1)
+    return out
+
+
+def score(column, weights, trans, curve, share: float) -> np.ndarray:
+    if weights is None:
+        return np.full(len(column), share)
+    z = curve[0] * _log_odds(_means(column, weights, trans)) + curve[1]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

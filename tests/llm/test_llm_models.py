@@ -77,10 +77,10 @@ def test_forward_backward_equals_enumeration():
 def test_lines_get_marginals():
     good = ["The first line reads well.\nAnd the second one too, it does." for _ in range(30)]
     bad = ["buy!! NOW!! ### $$$\n*** %%% &&& !!! |||" for _ in range(30)]
-    w, t, share = quality.fit(pa.chunked_array([pa.array(good + bad)]), [1] * 30 + [0] * 30)
+    w, t, curve, share = quality.fit(pa.chunked_array([pa.array(good + bad)]), [1] * 30 + [0] * 30)
     (_, _, doc, weight, p), = quality.line_marginals(pa.array([good[0] + "\n\n" + bad[0], None]), w, t)
     assert len(doc) == 4 and share == 0.5
-    s = quality.score(pa.array([good[0], bad[0], None, "", "\n \n"]), w, t, share)
+    s = quality.score(pa.array([good[0], bad[0], None, "", "\n \n"]), w, t, curve, share)
     assert s[0] > 0.9 and s[1] < 0.1 and s[2] == s[3] == s[4]
 
 
