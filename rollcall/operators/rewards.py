@@ -2,8 +2,7 @@
 
 Each function adds one score column and keeps every input row. All of them
 are projections (no shuffle): they run inside whole-stage codegen next to
-the scan, except the balanced CTE scan, which is an Arrow UDF fed only the
-rows that reach it.
+the scan; gold features come by a join on the distinct gold texts.
 """
 
 from __future__ import annotations
@@ -14,25 +13,36 @@ from ..functions import parsing as P
 from ..functions.text import col, count_occurrences, find, py_lstrip, py_strip, py_words
 
 
+def _gold_features(df: DataFrame, gt_col: str, features) -> DataFrame:
+    """Gold SQL and its features (``features(frame with _g)``), once for each
+    distinct gold text, joined back: generations of one prompt share it."""
+    gold = features(P.add_gt_sql(df.select(F.col(gt_col).alias("_gold")).distinct(), "_gold", "_g"))
+    return df.join(gold, F.col(gt_col).eqNullSafe(F.col("_gold")), "left").drop("_gold")
+
+
 def ngram_similarity_reward(df: DataFrame, sql_col: str, gt_col: str, out: str = "ngram_score") -> DataFrame:
     """2 × mean Jaccard of token 1/2/3-gram sets; 0 when either SQL or
-    either token list is empty. ``gt_col`` holds raw gold text."""
-    d = P.add_gt_sql(df, gt_col, "_g")
-    d = d.withColumn("_tp", P.tokenize_sql(F.col(sql_col))).withColumn("_tg", P.tokenize_sql(F.col("_g")))
-    sims = [P.jaccard(P.ngram_set("_tp", n), P.ngram_set("_tg", n)) for n in (1, 2, 3)]
+    either token list is empty. ``gt_col`` holds raw gold text. Token lists and
+    n-gram sets are columns of their own, computed once."""
+    def grams(d: DataFrame, sql: str, side: str) -> DataFrame:
+        d = d.withColumn(f"_t{side}", P.tokenize_sql(F.col(sql)))
+        return d.withColumns({f"_{side}{n}": P.ngram_set(f"_t{side}", n) for n in (1, 2, 3)})
+
+    d = grams(_gold_features(df, gt_col, lambda g: grams(g, "_g", "g")), sql_col, "p")
+    sims = [P.jaccard(f"_p{n}", f"_g{n}") for n in (1, 2, 3)]
     score = F.when((F.col(sql_col) == "") | (F.col("_g") == "") | (F.size("_tp") == 0) | (F.size("_tg") == 0),
                    F.lit(0.0)).otherwise((sims[0] + sims[1] + sims[2]) / 3 * 2.0)
-    return d.withColumn(out, score).drop("_tp", "_tg", "_g")
+    return d.withColumn(out, score).drop("_tp", "_tg", "_g", *[f"_{x}{n}" for x in "pg" for n in (1, 2, 3)])
 
 
 def schema_linking_reward(df: DataFrame, sql_col: str, gt_col: str, out: str = "schema_score",
                           strict: bool = False) -> DataFrame:
     """2 × Jaccard of referenced schema items (aliases resolved); 0 when
-    either SQL is missing."""
-    d = P.add_gt_sql(df, gt_col, "_g")
-    score = F.when((F.col(sql_col) == "") | (F.col("_g") == ""), F.lit(0.0)).otherwise(
-        2.0 * P.jaccard(P.schema_items(F.col(sql_col), strict), P.schema_items(F.col("_g"), strict)))
-    return d.withColumn(out, score).drop("_g")
+    either SQL is missing. Item sets are columns of their own, computed once."""
+    d = _gold_features(df, gt_col, lambda g: P.add_schema_items(g, "_g", "_ig", strict))
+    d = P.add_schema_items(d, sql_col, "_ip", strict)
+    score = F.when((F.col(sql_col) == "") | (F.col("_g") == ""), F.lit(0.0)).otherwise(2.0 * P.jaccard("_ip", "_ig"))
+    return d.withColumn(out, score).drop("_g", "_ig", "_ip")
 
 
 # --- fixed values: phrases counted as schema reasoning in thinking -------------

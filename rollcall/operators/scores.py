@@ -13,6 +13,7 @@ rather than sorted inside a single task.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,7 +33,24 @@ SCORE_COLS = {
 
 def _score(df: DataFrame, comp: str) -> Column:
     c = SCORE_COLS[comp]
-    return F.col(c) if c in df.columns else F.lit(0.0)
+    if c not in df.columns:
+        raise ValueError(f"enabled component {comp} needs column {c}")
+    return F.col(c)
+
+
+def exact(c: Column) -> Column:
+    """A score as DECIMAL: sums of it do not depend on their order."""
+    return c.cast("decimal(18,6)")
+
+
+def exact_composite(df: DataFrame, cfg: RewardConfig) -> Column:
+    terms = [F.lit(Decimal(str(cfg.weight(c)))).cast("decimal(6,4)") * exact(_score(df, c)) for c in cfg.enabled_components()]
+    return reduce(lambda a, b: a + b, terms, F.lit(Decimal(0)).cast("decimal(18,6)"))
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean of a DECIMAL: one exact sum, one division."""
+    return F.sum(c).cast("double") / F.count(c)
 
 
 def composite_expr(df: DataFrame, cfg: RewardConfig) -> Column:
@@ -53,7 +71,7 @@ def unweighted_reward(df: DataFrame, cfg: RewardConfig, name: str = "reward") ->
 
 def to_long(df: DataFrame, keys: list[str], cfg: RewardConfig) -> DataFrame:
     """Wide component columns -> ``(keys..., component, score)`` rows."""
-    present = [c for c in cfg.enabled_components() if SCORE_COLS[c] in df.columns]
+    present = [c for c in cfg.enabled_components() if _score(df, c) is not None]
     return df.unpivot(keys, [SCORE_COLS[c] for c in present], "score_col", "score") \
         .withColumn("component", F.element_at(F.create_map(*[
             x for c in present for x in (F.lit(SCORE_COLS[c]), F.lit(c))]), F.col("score_col"))) \
@@ -87,12 +105,13 @@ def reward_breakdown(df: DataFrame, cfg: RewardConfig, by: list[str] | None = No
     """
     by = by or []
     comps = [c for c in cfg.enabled_components()]
-    comp = composite_expr(df, cfg)
+    comp = exact_composite(df, cfg)
     aggs = []
     for c in comps:
         s = _score(df, c)
-        aggs += [F.avg(s).alias(f"{c}__mean"), F.min(s).alias(f"{c}__min"), F.max(s).alias(f"{c}__max")]
-    aggs += [F.avg(comp).alias("total__mean"), F.min(comp).alias("total__min"), F.max(comp).alias("total__max")]
+        aggs += [exact_mean(exact(s)).alias(f"{c}__mean"), F.min(s).alias(f"{c}__min"), F.max(s).alias(f"{c}__max")]
+    aggs += [exact_mean(comp).alias("total__mean"), F.min(comp).cast("double").alias("total__min"),
+             F.max(comp).cast("double").alias("total__max")]
     wide = df.groupBy(*by).agg(*aggs)
     parts = []
     for c in comps + ["total"]:
@@ -106,9 +125,8 @@ def reward_breakdown(df: DataFrame, cfg: RewardConfig, by: list[str] | None = No
 
 
 def component_means(df: DataFrame, cfg: RewardConfig, by: list[str] = ("step",)) -> DataFrame:
-    comp = composite_expr(df, cfg)
-    aggs = [F.avg(_score(df, c)).alias(f"{c}_mean") for c in cfg.enabled_components()]
-    return df.groupBy(*by).agg(*aggs, F.avg(comp).alias("composite_mean"))
+    aggs = [exact_mean(exact(_score(df, c))).alias(f"{c}_mean") for c in cfg.enabled_components()]
+    return df.groupBy(*by).agg(*aggs, exact_mean(exact_composite(df, cfg)).alias("composite_mean"))
 
 
 def execution_accuracy(df: DataFrame, by: list[str] = ("step",), result_col: str = "result_score") -> DataFrame:
@@ -202,9 +220,3 @@ def dominance_check(df: DataFrame, cfg: RewardConfig, keys: list[str] = ("step",
     ).select(F.lit(gap).alias("result_gap"), F.lit(float(other)).alias("max_other_advantage"),
              F.lit(gap > other).alias("is_valid"), F.lit(float(other) / 6.0).alias("min_safe_result_weight"),
              "n_groups", "n_groups_wrong_beats_right")
-
-
-def theoretical_range(cfg: RewardConfig) -> tuple[float, float]:
-    lo = sum(cfg.weight(c) * RANGES[c][0] for c in cfg.enabled_components())
-    hi = sum(cfg.weight(c) * RANGES[c][1] for c in cfg.enabled_components())
-    return lo, hi

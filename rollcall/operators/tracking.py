@@ -30,19 +30,22 @@ METRIC_ALIASES = [
 
 
 def _w(run_cols):
-    return W.partitionBy(*run_cols).orderBy("step") if run_cols else W.orderBy("step")
+    if not run_cols:
+        raise ValueError("a series needs its run key: without one, all runs would meet in one task")
+    return W.partitionBy(*run_cols).orderBy("step")
 
 
-def rolling_reward(df: DataFrame, run_cols: list[str] = (), every: int = CHECK_EVERY,
+def rolling_reward(df: DataFrame, run_cols: list[str], every: int = CHECK_EVERY,
                    window: int = WINDOW) -> DataFrame:
     """Rolling mean of the last ``window`` rewards and the previous window's
     mean, the delta and the trend label (only once history exceeds the
-    window). All rows are kept; ``is_check`` marks reporting steps."""
+    window). Steps without a reward are no part of the history; ``is_check``
+    marks reporting steps."""
     w = _w(list(run_cols))
     cur = w.rowsBetween(-(window - 1), 0)
     prev = w.rowsBetween(-(2 * window - 1), -window)
     rn = F.row_number().over(w)
-    out = (df.withColumn("history_len", rn)
+    out = (df.where(F.col("reward").isNotNull()).withColumn("history_len", rn)
            .withColumn("rolling_avg", F.avg("reward").over(cur))
            .withColumn("window_len", F.least(F.col("history_len"), F.lit(window)))
            .withColumn("prev_avg", F.when(F.col("history_len") > window, F.avg("reward").over(prev)))
@@ -54,7 +57,7 @@ def rolling_reward(df: DataFrame, run_cols: list[str] = (), every: int = CHECK_E
     return out
 
 
-def plateau(df: DataFrame, run_cols: list[str] = (), every: int = CHECK_EVERY) -> DataFrame:
+def plateau(df: DataFrame, run_cols: list[str], every: int = CHECK_EVERY) -> DataFrame:
     """Best rolling average so far and steps without improvement.
 
     Over check rows only: ``improved`` when the rolling average beats the
@@ -79,7 +82,7 @@ def _diff_secs(start: Column, end: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)
 
 
-def step_eta(df: DataFrame, max_steps: int, run_cols: list[str] = (), ts_col: str = "ts") -> DataFrame:
+def step_eta(df: DataFrame, max_steps: int, run_cols: list[str], ts_col: str = "ts") -> DataFrame:
     """Step duration (from consecutive timestamps), mean of the last 10,
     ETA = mean × remaining steps, progress in percent, elapsed seconds.
 
@@ -101,13 +104,12 @@ def step_eta(df: DataFrame, max_steps: int, run_cols: list[str] = (), ts_col: st
             .drop("step_us"))
 
 
-def run_summary(df: DataFrame, run_cols: list[str] = (), ts_col: str = "ts", last_n: int = 100) -> DataFrame:
+def run_summary(df: DataFrame, run_cols: list[str], ts_col: str = "ts", last_n: int = 100) -> DataFrame:
     """Total wall time, number of steps, and mean/min/max step time over the
     last ``last_n`` step durations (the reference keeps only the last 100)."""
     run_cols = list(run_cols)
     w = _w(run_cols)
-    rev = (W.partitionBy(*run_cols) if run_cols else W).orderBy(F.col("step").desc()) \
-        if run_cols else W.orderBy(F.col("step").desc())
+    rev = W.partitionBy(*run_cols).orderBy(F.col("step").desc())
     d = (df.withColumn("dt", _diff_secs(F.lag(ts_col).over(w), F.col(ts_col)))
          .withColumn("from_end", F.row_number().over(rev)))
     recent = F.when(F.col("from_end") <= last_n, F.col("dt"))
@@ -156,11 +158,12 @@ def metric_aliases(logs: DataFrame, aliases: DataFrame, map_col: str = "logs",
 
     Explode the log map, strip the prefix, join the (fixed, 7-row, so
     broadcast) alias table on the bare key, and keep the bare value when both
-    forms exist (``min_by`` on the prefixed flag).
+    forms exist (``min_by`` on the prefixed flag), even where it is NULL; then
+    NULL values are no points.
     """
     e = (logs.select(step_col, F.explode(map_col).alias("key", "value"))
-         .where(F.col("value").isNotNull())
          .withColumn("prefixed", F.col("key").startswith("train/"))
          .withColumn("src", F.regexp_replace("key", "^train/", "")))
     j = e.join(F.broadcast(aliases), "src")
-    return j.groupBy(step_col, "tag").agg(F.min_by("value", F.col("prefixed").cast("int")).alias("value"))
+    best = j.groupBy(step_col, "tag").agg(F.min_by(F.struct("value"), F.col("prefixed").cast("int")).alias("v"))
+    return best.select(step_col, "tag", "v.value").where(F.col("value").isNotNull())

@@ -14,17 +14,35 @@ def first_k_per_step(df: DataFrame, k: int, step_col: str = "step",
     return df.withColumn("rank_in_step", F.row_number().over(w)).where(F.col("rank_in_step") <= k)
 
 
+def _numbered(df: DataFrame, by: str, order: str, out: str) -> DataFrame:
+    """Adds the 1-based position of each row within its ``by`` key in the order
+    of ``order``, without bringing a key into one task: rows are range-partitioned
+    and numbered inside each partition, and each (partition, key) starts where the
+    partitions before it end. The offsets are one row per partition and key."""
+    parts = df.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id())
+    inside = parts.withColumn("_at", F.row_number().over(W.partitionBy("_part", by).orderBy(order)))
+    ends = inside.groupBy("_part", by).agg(F.max("_at").alias("_n"))
+    before = ends.withColumn("_before", F.coalesce(F.sum("_n").over(
+        W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return inside.join(before, ["_part", by]).withColumn(out, (F.col("_at") + F.col("_before")).cast("bigint")) \
+        .drop("_part", "_at", "_before")
+
+
 def positional_groups(df: DataFrame, num_generations: int, step_col: str = "step",
                       pos_col: str = "rollout_id") -> DataFrame:
     """Prompt group from position in the batch: ``floor((rn-1)/G)``; only
-    for inputs that carry no prompt key (a batch is one trainer step)."""
-    w = W.partitionBy(step_col).orderBy(pos_col)
-    return df.withColumn("pos_group", F.floor((F.row_number().over(w) - 1) / num_generations).cast("bigint"))
+    for inputs that carry no prompt key. ``pos_col`` is unique."""
+    d = _numbered(df, step_col, pos_col, "_rn")
+    return d.withColumn("pos_group", F.floor((F.col("_rn") - 1) / num_generations).cast("bigint")).drop("_rn")
 
 
 def call_counter(df: DataFrame, batch_col: str = "step") -> DataFrame:
-    """Sequential call number per batch key (dense rank). Ranks the distinct
-    keys only (one row per batch), then joins back."""
-    keys = df.select(batch_col).distinct()
-    ranked = keys.withColumn("call_no", F.row_number().over(W.orderBy(batch_col)))
+    """Sequential call number per batch key (dense rank): the distinct keys are
+    range-partitioned and numbered, then joined back."""
+    keys = df.select(batch_col).distinct().repartitionByRange(batch_col).withColumn("_part", F.spark_partition_id())
+    inside = keys.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(batch_col)))
+    # one row per partition: the only window without a key
+    ends = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) \
+        .withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    ranked = inside.join(ends, "_part").select(batch_col, (F.col("_at") + F.col("_before")).cast("bigint").alias("call_no"))
     return df.join(ranked, batch_col)

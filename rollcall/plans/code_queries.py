@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import code as C
-from ..session import spread
 from ..sources.fixtures import duck_with, fixture
-from .registry import register, rounded
+from .registry import dealt, register, rounded
 from .text_queries import STRIP
 
 CD = duck_with("fx_code")
@@ -25,7 +24,7 @@ a AS (SELECT *, CASE template WHEN 3 THEN false WHEN 0 THEN true WHEN 1 THEN tru
 
 
 def _audited(spark, sf):
-    return C.with_audit(spread(fixture(spark, sf, "fx_code")), "completion")
+    return C.with_audit(dealt(fixture(spark, sf, "fx_code"), "completion_id"), "completion")
 
 
 @register("extract_code", CODE_CTE + "SELECT completion_id, code FROM e")
@@ -58,12 +57,12 @@ def q_anti(spark, sf):
 
 
 @register("sorted_modules", CODE_CTE + """
-SELECT array_to_string(list_sort(list_distinct(flatten(list(string_split(imports, ','))))), ',') AS modules
-FROM a WHERE imports <> ''""")
+SELECT module, count(*) AS n FROM (SELECT unnest(string_split(imports, ',')) AS module FROM a WHERE imports <> '')
+GROUP BY module ORDER BY module""")
 def q_sorted_modules(spark, sf):
     d = _audited(spark, sf)
-    m = d.select(F.explode(F.coalesce("audit.imports", F.array().cast("array<string>"))).alias("m"))
-    return m.agg(F.array_join(F.array_sort(F.collect_set("m")), ",").alias("modules"))
+    m = d.select(F.explode(F.coalesce("audit.imports", F.array().cast("array<string>"))).alias("module"))
+    return m.groupBy("module").agg(F.count(F.lit(1)).alias("n")).orderBy("module")
 
 
 @register("function_works", CODE_CTE + """
@@ -121,10 +120,10 @@ def q_outcome(spark, sf):
     return C.outcome_reward(d).select("kernel_id", "trial", "outcome_score")
 
 
-MX = duck_with("fx_matrix")
+MX = duck_with("fx_matrix", "fx_weights")
 MATMUL_CTE = MX + """
-, real AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM fx_matrix a JOIN fx_matrix b ON a.j = b.j GROUP BY a.i, b.i),
-pred AS (SELECT a.i, b.i AS j, sum(round(a.v, 2) * round(b.v, 2)) AS v FROM fx_matrix a JOIN fx_matrix b ON a.j = b.j GROUP BY a.i, b.i),
+, real AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM fx_matrix a JOIN fx_weights b ON a.j = b.i GROUP BY a.i, b.j),
+pred AS (SELECT a.i, b.j, sum(round(a.v, 2) * b.v) AS v FROM fx_matrix a JOIN fx_weights b ON a.j = b.i GROUP BY a.i, b.j),
 err AS (SELECT CASE WHEN count_if(p.v IS NULL OR r.v IS NULL) > 0 THEN 5.0 ELSE max(p.v - r.v) END AS amax_error,
           CASE WHEN count_if(p.v IS NULL OR r.v IS NULL) > 0 THEN 5.0 ELSE avg((p.v - r.v) * (p.v - r.v)) END AS mse_error
         FROM pred p FULL OUTER JOIN real r ON p.i = r.i AND p.j = r.j)
@@ -132,11 +131,9 @@ err AS (SELECT CASE WHEN count_if(p.v IS NULL OR r.v IS NULL) > 0 THEN 5.0 ELSE
 
 
 def _mats(spark, sf):
-    a = fixture(spark, sf, "fx_matrix")
-    real = C.matmul(a, C.transpose(a))
-    ar = a.withColumn("v", F.round("v", 2))
-    pred = C.matmul(ar, C.transpose(ar))
-    return real, pred
+    """All embeddings times a matrix of eight columns, exact and from rounded cells."""
+    a, w = fixture(spark, sf, "fx_matrix"), fixture(spark, sf, "fx_weights")
+    return C.matmul(a, w), C.matmul(a.withColumn("v", F.round("v", 2)), w)
 
 
 @register("matmul", MATMUL_CTE + "SELECT i, j, round(v, 4) AS v FROM real")

@@ -11,10 +11,10 @@ from ..config import LengthLimits, MAX_SEQ_LENGTH, NUM_GENERATIONS
 from ..functions import parsing as P
 from ..functions.text import py_words
 from ..operators import prepare as Pr
-from ..session import checkpoint_dir, spread
+from ..session import checkpoint_dir
 from ..sources import jsonl as J
 from ..sources.fixtures import duck_with, fixture
-from .registry import register, rounded
+from .registry import dealt, register, rounded
 from .text_queries import STRIP
 
 LIM = LengthLimits()
@@ -49,7 +49,7 @@ def RENDER(m: str, gen: bool = True, thinking: bool = False) -> str:
 
 
 def _chat(spark, sf):
-    return spread(fixture(spark, sf, "fx_chat"))
+    return dealt(fixture(spark, sf, "fx_chat"), "conv_id")
 
 
 @register("prompt_messages", CH + f"""
@@ -268,7 +268,7 @@ def q_dataset_sizes(spark, sf):
 
 
 def _scratch(spark, name):
-    return os.path.join(checkpoint_dir(spark, local_default=True), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 @register("load_jsonl", CH + "SELECT conv_id, CAST(len(messages) AS INTEGER) AS n_messages FROM fx_chat")

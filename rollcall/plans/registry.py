@@ -27,3 +27,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
                        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partitioned by a unique key before CPU-heavy text work, whatever the
+    size and number of the input's files; plans only, runs no job."""
+    return df.repartition(key)

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import markers as Mk
 from ..functions import parsing as P
 from ..operators import rewards as R
-from ..session import spread
 from ..sources.fixtures import duck_with, fixture
-from .registry import register, rounded
+from .registry import dealt, register, rounded
 from .text_queries import CHANNELS_CTE, SQL_CTE, STRIP
 
 # Format score and rule contributions per completion layout (hand-traced).
@@ -41,7 +40,7 @@ CO = duck_with("fx_completions")
 SELECT completion_id, round(greatest(-1.5, least(2.0, raw)), 6) AS format_score
 FROM fx_completions JOIN s USING (template)""")
 def q_format(spark, sf):
-    d = spread(fixture(spark, sf, "fx_completions"))
+    d = dealt(fixture(spark, sf, "fx_completions"), "completion_id")
     return rounded(R.format_reward(d, "completion").select("completion_id", "format_score"))
 
 
@@ -49,7 +48,7 @@ def q_format(spark, sf):
 SELECT rule, count(*) AS n, round(count(*) * CAST(any_value(delta) AS DOUBLE), 6) AS total_delta
 FROM fx_completions JOIN fr USING (template) GROUP BY rule""")
 def q_reasons(spark, sf):
-    d = R.format_reward(spread(fixture(spark, sf, "fx_completions")), "completion", with_rules=True)
+    d = R.format_reward(dealt(fixture(spark, sf, "fx_completions"), "completion_id"), "completion", with_rules=True)
     return rounded(R.scoring_reasons(d))
 
 
@@ -105,7 +104,7 @@ SELECT completion_id, CAST(round(CASE WHEN length(regexp_replace(thinking, '^\\s
              WHEN len(list_filter(ct, lambda v: contains(sq, v))) / len(ct) >= 0.15 THEN 0.2 ELSE 0.0 END) ELSE 0.0 END)))
   END, 6) AS DOUBLE) AS thinking_score FROM k""")
 def q_thinking(spark, sf):
-    c = spread(fixture(spark, sf, "fx_completions"))
+    c = dealt(fixture(spark, sf, "fx_completions"), "completion_id")
     p = fixture(spark, sf, "fx_prompts").select("prompt_id", "prompt")
     d = c.join(p, "prompt_id", "left").withColumn("prompt", F.coalesce("prompt", F.lit("")))
     return rounded(R.thinking_quality_reward(d, "completion", "prompt").select("completion_id", "thinking_score"))
@@ -115,7 +114,7 @@ def q_thinking(spark, sf):
 SELECT completion_id, CAST(len(tt) AS INTEGER) AS n_tables_in_thinking, CAST(len(ct) AS INTEGER) AS n_columns_in_thinking,
   CAST(len(ts) AS INTEGER) AS n_tables_in_sql, CAST(len(cs) AS INTEGER) AS n_columns_in_sql FROM k""")
 def q_mentions(spark, sf):
-    c = spread(fixture(spark, sf, "fx_completions"))
+    c = dealt(fixture(spark, sf, "fx_completions"), "completion_id")
     p = fixture(spark, sf, "fx_prompts").select("prompt_id", "prompt")
     d = c.join(p, "prompt_id", "left").withColumn("prompt", F.coalesce("prompt", F.lit("")))
     d = P.add_parsed(d, "completion")
@@ -154,7 +153,7 @@ SELECT count(*) AS n,
   CAST(count_if(instr(completion, '<|channel|>final<|message|>') > 0) AS BIGINT) AS n_partial_final,
   CAST(count_if(sql <> '') AS BIGINT) AS n_has_sql FROM x""")
 def q_marker_rates(spark, sf):
-    d = P.add_sql(spread(fixture(spark, sf, "fx_completions")), "completion", "sql")
+    d = P.add_sql(dealt(fixture(spark, sf, "fx_completions"), "completion_id"), "completion", "sql")
     t = F.col("completion")
     return d.agg(F.count(F.lit(1)).alias("n"),
                  F.count_if(F.instr(t, P.ANALYSIS_OPEN) > 0).alias("n_full_analysis"),

@@ -12,6 +12,16 @@ from .registry import register, rounded
 CFG = RewardConfig()
 # Composite of the run configuration, written out for the oracle.
 COMPOSITE_SQL = "(0.2 * syntax_score + 1.0 * result_score + 0.3 * schema_score + 0.3 * ngram_score)"
+# The same in DECIMAL, so that sums are exact.
+EXACT = {c: f"CAST({c}_score AS DECIMAL(18,6))" for c in ("syntax", "result", "schema", "ngram")}
+EXACT_COMPOSITE = "(" + " + ".join(f"CAST({w} AS DECIMAL(6,4)) * {EXACT[c]}" for c, w in
+                                   (("syntax", 0.2), ("result", 1.0), ("schema", 0.3), ("ngram", 0.3))) + ")"
+
+
+def exact_avg(x: str) -> str:
+    return f"CAST(sum({x}) AS DOUBLE) / count({x})"
+
+
 RO = duck_with("fx_rollouts")
 
 
@@ -52,27 +62,27 @@ _BREAK_PARTS = [("syntax_execution_reward", "syntax_score", 0.2), ("result_rewar
 def _breakdown_sql():
     sel = []
     for name, col, w in _BREAK_PARTS:
-        sel.append(f"""SELECT step, '{name}' AS component, CAST({w} AS DOUBLE) AS weight, round(avg({col}), 6) AS mean,
-  round(min({col}), 6) AS min, round(max({col}), 6) AS max, round({w} * avg({col}), 6) AS weighted_mean
+        sel.append(f"""SELECT step, '{name}' AS component, CAST({w} AS DOUBLE) AS weight, {exact_avg(f'CAST({col} AS DECIMAL(18,6))')} AS mean,
+  min({col}) AS min, max({col}) AS max, CAST({w} AS DOUBLE) * ({exact_avg(f'CAST({col} AS DECIMAL(18,6))')}) AS weighted_mean
   FROM fx_rollouts GROUP BY step""")
-    sel.append(f"""SELECT step, 'total', CAST(NULL AS DOUBLE), round(avg({COMPOSITE_SQL}), 6), round(min({COMPOSITE_SQL}), 6),
-  round(max({COMPOSITE_SQL}), 6), CAST(NULL AS DOUBLE) FROM fx_rollouts GROUP BY step""")
+    sel.append(f"""SELECT step, 'total', CAST(NULL AS DOUBLE), {exact_avg(EXACT_COMPOSITE)}, CAST(min({EXACT_COMPOSITE}) AS DOUBLE),
+  CAST(max({EXACT_COMPOSITE}) AS DOUBLE), CAST(NULL AS DOUBLE) FROM fx_rollouts GROUP BY step""")
     return RO + "\nUNION ALL\n".join(sel)
 
 
 @register("reward_breakdown", _breakdown_sql())
 def q_breakdown(spark, sf):
     df = fixture(spark, sf, "fx_rollouts")
-    return rounded(S.reward_breakdown(df, CFG, by=["step"]))
+    return S.reward_breakdown(df, CFG, by=["step"])
 
 
 @register("component_means", RO + f"""
-SELECT step, round(avg(syntax_score), 6) AS syntax_execution_reward_mean, round(avg(result_score), 6) AS result_reward_mean,
-  round(avg(schema_score), 6) AS schema_linking_reward_mean, round(avg(ngram_score), 6) AS ngram_similarity_reward_mean,
-  round(avg({COMPOSITE_SQL}), 6) AS composite_mean
+SELECT step, {exact_avg(EXACT['syntax'])} AS syntax_execution_reward_mean, {exact_avg(EXACT['result'])} AS result_reward_mean,
+  {exact_avg(EXACT['schema'])} AS schema_linking_reward_mean, {exact_avg(EXACT['ngram'])} AS ngram_similarity_reward_mean,
+  {exact_avg(EXACT_COMPOSITE)} AS composite_mean
 FROM fx_rollouts GROUP BY step""")
 def q_component_means(spark, sf):
-    return rounded(S.component_means(fixture(spark, sf, "fx_rollouts"), CFG, ["step"]))
+    return S.component_means(fixture(spark, sf, "fx_rollouts"), CFG, ["step"])
 
 
 @register("execution_accuracy", RO + """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing as P
 from ..functions.text import py_strip
 from ..sources.fixtures import duck_with, fixture
-from .registry import register, rounded
+from .registry import dealt, register, rounded
 
 GT_SQL = "SELECT o.o_orderkey FROM orders o WHERE o.o_custkey = 1"
 
@@ -85,8 +85,7 @@ SQL_CTE = CO + """
 
 
 def _with_sql(spark, sf):
-    from ..session import spread
-    d = P.add_parsed(spread(fixture(spark, sf, "fx_completions")), "completion")
+    d = P.add_parsed(dealt(fixture(spark, sf, "fx_completions"), "completion_id"), "completion")
     return P.add_sql(d, "completion", "sql", content_col="parsed.content")
 
 
@@ -98,8 +97,7 @@ def q_extract_sql(spark, sf):
 @register("extract_sql_think_tags", SQL_CTE + """
 SELECT completion_id, CASE WHEN template = 0 THEN regexp_extract(completion, '(select from .*)$', 1) ELSE sql END AS sql FROM x""")
 def q_extract_sql_m(spark, sf):
-    from ..session import spread
-    d = P.add_sql(spread(fixture(spark, sf, "fx_completions")), "completion", "sql", fmt="think", fence_mode="M")
+    d = P.add_sql(dealt(fixture(spark, sf, "fx_completions"), "completion_id"), "completion", "sql", fmt="think", fence_mode="M")
     return d.select("completion_id", "sql")
 
 
@@ -108,13 +106,14 @@ def q_valid_cte(spark, sf):
     return _with_sql(spark, sf).select("completion_id", P.is_valid_cte("sql").alias("valid_cte"))
 
 
-@register("extract_cte_balanced")
+@register("extract_cte_balanced", CO + """
+SELECT completion_id, CASE template
+  WHEN 6 THEN 'WITH t AS (SELECT o_custkey FROM orders) SELECT COUNT(*) FROM t' || chr(10) || '```'
+  WHEN 7 THEN 'WITH t AS (SELECT o_custkey AS k FROM orders) SELECT k FROM t;' END AS cte_sql FROM fx_completions""")
 def q_balanced(spark, sf):
-    """Quote-aware balanced CTE scan (Arrow UDF) over every response body."""
-    from ..session import ship_package
-    ship_package(spark)
-    d = fixture(spark, sf, "fx_completions")
-    return d.select("completion_id", P.extract_cte_balanced("completion").alias("cte_sql"))
+    """Quote-aware balanced CTE scan over every response."""
+    d = dealt(fixture(spark, sf, "fx_completions"), "completion_id")
+    return P.add_cte_balanced(d, "completion", "cte_sql").select("completion_id", "cte_sql")
 
 
 @register("extract_gt_sql", SQL_CTE + f"""
@@ -122,8 +121,7 @@ SELECT completion_id, CASE template WHEN 3 THEN {STRIP("completion")} WHEN 10 TH
   WHEN 7 THEN 'WITH t AS (SELECT o_custkey AS k FROM orders) SELECT k FROM t'
   WHEN 8 THEN 'WITH t AS (SELECT o_custkey FROM orders' ELSE sql END AS gt_sql FROM x""")
 def q_extract_gt(spark, sf):
-    from ..session import spread
-    d = P.add_gt_sql(spread(fixture(spark, sf, "fx_completions")), "completion", "gt_sql")
+    d = P.add_gt_sql(dealt(fixture(spark, sf, "fx_completions"), "completion_id"), "completion", "gt_sql")
     return d.select("completion_id", "gt_sql")
 
 
@@ -255,8 +253,8 @@ ITEMS_CTE = SQL_CTE + """
 
 @register("schema_items", ITEMS_CTE + "SELECT completion_id, items FROM it")
 def q_schema_items(spark, sf):
-    d = _with_sql(spark, sf)
-    return d.select("completion_id", F.array_join(F.array_sort(P.schema_items("sql")), ",").alias("items"))
+    d = P.add_schema_items(_with_sql(spark, sf), "sql", "found")
+    return d.select("completion_id", F.array_join(F.array_sort("found"), ",").alias("items"))
 
 
 @register("schema_linking_reward", ITEMS_CTE + f"""

@@ -1,4 +1,4 @@
-"""Session helpers: configuration a cluster job wants, and the checkpoint folder."""
+"""Session helpers: the shared checkpoint folder, shipping the package."""
 
 from __future__ import annotations
 
@@ -7,67 +7,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings that matter at scale. Shuffle partitions are left to the caller /
-# cluster defaults; AQE coalesces small partitions and splits skewed ones.
-SCALE_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.ui.enabled": "false",
-}
 
-
-def build_session(master: str | None = None, app: str = "rollcall",
-                  shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
-    b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-    for k, v in SCALE_CONF.items():
-        b = b.config(k, v)
-    if shuffle_partitions:
-        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
-        b = b.config(k, v)
-    return b.getOrCreate()
-
-
-def checkpoint_dir(spark: SparkSession, local_default: bool = False) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this must be set by the deployment (a shared file system).
-    Only when ``local_default`` is true (tests, local runs) and nothing is
-    configured do we create one, and register it with the SparkContext.
-    """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if d:
-        return d
-    if not local_default:
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir`` (or set on the
+    context). It must be one that driver and executors share."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d:
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
-    d = tempfile.mkdtemp(prefix="rollcall-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(d)
-    spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a frame over at least ``min_partitions`` (default: the
-    cluster's default parallelism) before CPU-heavy per-row work.
-
-    A no-op when the scan already yields enough partitions (the normal case
-    for large, many-file inputs); only few-split inputs pay the shuffle.
-    The check reads the physical plan's partition count; it runs no job.
-    """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
-
-
 _SHIPPED: set = set()
 
 

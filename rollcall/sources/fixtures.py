@@ -30,6 +30,8 @@ SELECT event_id AS rollout_id,
 FROM events
 """
 
+FX_ROLLOUTS_TS = FX_ROLLOUTS.replace("SELECT event_id AS rollout_id,", "SELECT event_id AS rollout_id, ts,")
+
 FX_COMPLETIONS = """
 SELECT o_orderkey AS completion_id,
        CAST(floor(o_orderkey / 4) AS BIGINT) AS prompt_id,
@@ -71,6 +73,12 @@ SELECT CAST(floor(event_id / 8) AS BIGINT) + 1 AS step,
 FROM events GROUP BY CAST(floor(event_id / 8) AS BIGINT) + 1
 """
 
+FX_RUN_METRICS = """
+SELECT CAST(floor(event_id / 1000) AS BIGINT) AS run_id, CAST(floor((event_id % 1000) / 4) AS BIGINT) + 1 AS step,
+       AVG(value) AS reward, MIN(ts) AS ts
+FROM events GROUP BY CAST(floor(event_id / 1000) AS BIGINT), CAST(floor((event_id % 1000) / 4) AS BIGINT) + 1
+"""
+
 FX_TIMING = """
 SELECT user_id AS kernel_id, event_id AS trial,
        CAST(floor(value * 1000) AS BIGINT) + 1 AS elapsed_ns,
@@ -113,24 +121,37 @@ FROM conversations GROUP BY conv_id
 
 FX_MATRIX_SPARK = """
 SELECT vec_id AS i, CAST(pos AS BIGINT) AS j, CAST(v AS DOUBLE) AS v
-FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, v WHERE vec_id < 40
+FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, v
 """
 FX_MATRIX_DUCK = """
 SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j,
-       CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 40
+       CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings
+"""
+
+# A projection of the embedding's cells to eight columns: bounded by their number.
+FX_WEIGHTS_SPARK = """
+SELECT DISTINCT CAST(pos AS BIGINT) AS i, CAST(k AS BIGINT) AS j, CAST((pos * 7 + k * 3) % 11 - 5 AS DOUBLE) / 8 AS v
+FROM embeddings LATERAL VIEW posexplode(embedding) e AS pos, x LATERAL VIEW explode(sequence(0, 7)) s AS k
+"""
+FX_WEIGHTS_DUCK = """
+SELECT DISTINCT i, k AS j, CAST((i * 7 + k * 3) % 11 - 5 AS DOUBLE) / 8 AS v
+FROM (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS i FROM embeddings), range(0, 8) r(k)
 """
 
 # name -> (spark sql, duckdb sql, base tables)
 VIEWS = {
     "fx_rollouts": (FX_ROLLOUTS, FX_ROLLOUTS, ("events",)),
+    "fx_rollouts_ts": (FX_ROLLOUTS_TS, FX_ROLLOUTS_TS, ("events",)),
     "fx_completions": (FX_COMPLETIONS, FX_COMPLETIONS, ("orders",)),
     "fx_pred_rows": (FX_PRED_ROWS, FX_PRED_ROWS, ("lineitem",)),
     "fx_gt_rows": (FX_GT_ROWS, FX_GT_ROWS, ("lineitem",)),
     "fx_metrics": (FX_METRICS, FX_METRICS, ("events",)),
+    "fx_run_metrics": (FX_RUN_METRICS, FX_RUN_METRICS, ("events",)),
     "fx_timing": (FX_TIMING, FX_TIMING, ("events",)),
     "fx_code": (FX_CODE, FX_CODE, ("part",)),
     "fx_prompts": (FX_PROMPTS, FX_PROMPTS, ("customer",)),
     "fx_chat": (FX_CHAT_SPARK, FX_CHAT_DUCK, ("conversations",)),
+    "fx_weights": (FX_WEIGHTS_SPARK, FX_WEIGHTS_DUCK, ("embeddings",)),
     "fx_matrix": (FX_MATRIX_SPARK, FX_MATRIX_DUCK, ("embeddings",)),
 }
 

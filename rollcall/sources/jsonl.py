@@ -15,15 +15,16 @@ def load_jsonl(spark: SparkSession, path: str, schema: StructType = CHAT_SCHEMA,
     """Read JSON lines with a fixed schema; a malformed line fails the job
     (FAILFAST); blank lines and a UTF-8 BOM are tolerated.
 
-    ``limit`` counts raw lines (blank ones included) in file order: lines
-    are read as text, ordered by their (partition, offset) id, capped, then
-    parsed. Without a limit the JSON reader splits files in parallel."""
+    ``limit`` counts raw lines (blank ones included), file by file in path
+    order and by offset inside a file; the lines are capped, then parsed.
+    Without a limit the JSON reader splits files in parallel."""
     if limit is None:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    raw = spark.read.text(path).withColumn("_line_no", F.monotonically_increasing_id())
-    head = raw.orderBy("_line_no").limit(limit)
-    body = F.regexp_replace(F.col("value"), "^﻿", "")
-    return (head.where(F.trim(body) != "")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                       F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    head = raw.orderBy("_file", "_block", "_line").limit(limit)
+    body = F.regexp_replace(F.col("value"), "^\ufeff", "")
+    return (head.where(~body.rlike(r"(?U)^\s*$"))
             .select(F.from_json(body, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
 
 

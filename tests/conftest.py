@@ -14,13 +14,10 @@ def spark():
 
     s = (SparkSession.builder.master("local[*]").appName("rollcall-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate())
+         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
+         # tests run locally: a private folder (on a cluster this is configured)
+         .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="rollcall-test-ckpt-")).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    # tests run locally: a private checkpoint folder (on a cluster this is configured)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="rollcall-test-ckpt-")
-        s.sparkContext.setCheckpointDir(d)
-        s.conf.set("spark.checkpoint.dir", d)
     yield s
     s.stop()
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -26,9 +27,7 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 5)
+        return "nan" if math.isnan(v) else v
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
@@ -70,7 +69,7 @@ def compare(spark, sf_dir: str, name: str, build, sql: str | None, con=None):
     bad_t = [(f.name, f.dataType.simpleString(), dtypes.get(f.name)) for f in sdf.schema.fields
              if tmap.get(f.dataType.simpleString(), f.dataType.simpleString()) != dtypes.get(f.name)]
     if bad_t:
-        info["type_warn"] = bad_t
+        info.update(ok=False, why=f"types differ: {bad_t}")
     return info
 
 
@@ -83,10 +82,9 @@ def main(argv):
     names = argv[2:]
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="oracle-ckpt-"))
              .config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    from rollcall.session import checkpoint_dir
-    checkpoint_dir(spark, local_default=True)
     qs, orc = E.queries(), E.oracle_sql()
     con = duck_conn(sf)
     bad = 0

@@ -38,26 +38,59 @@ def test_extract_sql_branches(spark):
         "", "SELECT a FROM t", "SELECT*FROM t", ""]
 
 
-def test_balanced_cte_quoted_parens():
-    # the scan skips quoted text, but validation counts every parenthesis
-    ok = "Here: with q AS (SELECT '()' AS p FROM t) SELECT p FROM q; done"
-    assert P._balanced_cte_py(ok) == "with q AS (SELECT '()' AS p FROM t) SELECT p FROM q;"
-    assert P._balanced_cte_py("Here: with q AS (SELECT ')' AS p FROM t) SELECT p FROM q; done") is None
+def test_balanced_cte_layouts(spark):
+    cases = [
+        # the scan skips quoted text, but every parenthesis counts at the end
+        ("Here: with q AS (SELECT '()' AS p FROM t) SELECT p FROM q; done", "with q AS (SELECT '()' AS p FROM t) SELECT p FROM q;"),
+        ("Here: with q AS (SELECT ')' AS p FROM t) SELECT p FROM q; done", None),
+        # a semicolon, SELECT and parentheses inside quotes; an escaped quote
+        ("WITH a AS (SELECT 'x; SELECT (y' AS v, \"it\\\" ) s\" FROM t) SELECT v FROM a", "WITH a AS (SELECT 'x; SELECT (y' AS v, \"it\\\" ) s\" FROM t) SELECT v FROM a"),
+        ("WITH a AS (SELECT 1), b AS (SELECT * FROM (SELECT 2) z) SELECT * FROM a, b\n\nmore (", "WITH a AS (SELECT 1), b AS (SELECT * FROM (SELECT 2) z) SELECT * FROM a, b"),
+        ("WITH a AS (SELECT 1) SELECT * FROM a\n-- a comment (", "WITH a AS (SELECT 1) SELECT * FROM a"),
+        ("WITH a AS (SELECT 1) SELECT 1 UNION SELECT 2; SELECT 3", "WITH a AS (SELECT 1) SELECT 1 UNION SELECT 2; SELECT 3"),
+        ("WITH a AS (SELECT 1", None), ("withdraw SELECT 1", None), ("no statement", None), ("", None), (None, None),
+        ("WITH x AS ('unclosed SELECT 1) SELECT 2", None),
+        ("WITH " + "x" * 300_000 + " SELECT 1", "WITH " + "x" * 300_000 + " SELECT 1"),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, s string")
+    got = {r.i: r.o for r in P.add_cte_balanced(df, "s", "o").collect()}
+    quoted = cases[2]
+    level = quoted[0].count("(") == quoted[0].count(")")
+    for i, (c, want) in enumerate(cases):
+        assert got[i] == (want if c is not quoted[0] or level else None), c
+
+
+def test_is_valid_cte(spark):
+    cases = {"WITH a AS (SELECT 1) SELECT * FROM a": True, "WITH a AS (SELECT 1 SELECT": False, "SELECT 1": False,
+             "WITH (SELECT x) SELECT y": True, "WITH a AS (SELECT (1)) , b AS (SELECT 2) SELECT 3": True, "": False,
+             "WITH SELECT": False}
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    assert {r.s: r.v for r in df.select("s", P.is_valid_cte("s").alias("v")).collect()} == cases
 
 
-def test_is_valid_cte_native_equals_python(spark):
-    cases = ["WITH a AS (SELECT 1) SELECT * FROM a", "WITH a AS (SELECT 1 SELECT", "SELECT 1",
-             "WITH (SELECT x) SELECT y", "WITH a AS (SELECT (1)) , b AS (SELECT 2) SELECT 3", ""]
-    df = spark.createDataFrame([(c,) for c in cases], "s string")
-    got = [r.v for r in df.select(P.is_valid_cte("s").alias("v")).collect()]
-    assert got == [P._valid_cte_py(c) for c in cases]
+def test_no_python_in_the_sql_cascade(spark):
+    df = spark.createDataFrame([("x", "y")], "a string, gt string")
+    plan = P.add_sql(df, "a")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_schema_patterns_appear_once_a_side(spark):
+    from rollcall.operators import rewards as R
+    df = spark.createDataFrame([("select 1 from t", "y")], "sql string, gt string").where("sql != ''")
+    plan = R.schema_linking_reward(df, "sql", "gt")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?:from|join)") <= 4
+
+
+def test_stdlib_holds_test_and_future():
+    names = C.stdlib_modules()
+    assert {"test", "__future__", "json", "sys"} <= set(names) and "numpy" not in names
 
 
 def test_schema_items_keeps_backtracking_quirk(spark):
     df = spark.createDataFrame([("select count(*), t.a, sum (b), 'x y' from t",)], "s string")
-    items = df.select(F.array_sort(P.schema_items("s")).alias("i")).first().i
+    items = P.add_schema_items(df, "s", "i").first().i
     assert {"coun", "su", "b", "x", "y"} <= set(items)
-    strict = df.select(P.schema_items("s", strict=True).alias("i")).first().i
+    strict = P.add_schema_items(df, "s", "i", strict=True).first().i
     assert "coun" not in strict
 
 
@@ -98,8 +131,8 @@ def _plateau_loop(rewards):
 
 def test_plateau_matches_loop_with_long_stall(spark):
     rewards = [min(i, 300) / 300.0 if i < 400 else 0.5 for i in range(1, 1001)]
-    df = spark.createDataFrame([(i + 1, r) for i, r in enumerate(rewards)], "step long, reward double")
-    got = [(r.step, r.steps_since_improvement) for r in T.plateau(df).orderBy("step").collect()]
+    df = spark.createDataFrame([(7, i + 1, r) for i, r in enumerate(rewards)] + [(7, 5000, None)], "run long, step long, reward double")
+    got = [(r.step, r.steps_since_improvement) for r in T.plateau(df, ["run"]).orderBy("step").collect()]
     assert got == _plateau_loop(rewards)
     assert max(s for _, s in got) >= 200
 
