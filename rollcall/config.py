@@ -5,7 +5,7 @@ Fixed values (must equal the reference run configuration for equal scores).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 # --- fixed values -----------------------------------------------------------
 # Reward component names, in the order the composite evaluates them.
@@ -38,16 +38,6 @@ RUN_WEIGHTS = {
     "thinking_quality_reward": 0.15,
     "llm_judge_reward": 0.20,
 }
-# Default weights (used when a run gives none).
-DEFAULT_WEIGHTS = {
-    "format_reward": 0.30,
-    "syntax_execution_reward": 0.30,
-    "result_reward": 1.00,
-    "schema_linking_reward": 0.20,
-    "ngram_similarity_reward": 0.20,
-    "thinking_quality_reward": 0.15,
-    "llm_judge_reward": 0.20,
-}
 # Which components the NL2SQL run enables.
 RUN_ENABLED = {
     "format_reward": False,
@@ -77,6 +67,29 @@ class RewardConfig:
     enabled: dict = field(default_factory=lambda: dict(RUN_ENABLED))
     weights: dict = field(default_factory=lambda: dict(RUN_WEIGHTS))
     num_generations: int = NUM_GENERATIONS
+    #: Registered rewards: name -> (score column, (min, max)).
+    extra: dict = field(default_factory=dict)
+
+    def with_reward(self, name: str, score_col: str, span: tuple[float, float], weight: float = 1.0,
+                    enabled: bool = True) -> "RewardConfig":
+        """A configuration with one more reward: its score column (any Column
+        or pandas_udf added to the frame), its range and its weight. It joins
+        the composite, the breakdown and the dominance check."""
+        if name in COMPONENTS or name in self.extra:
+            raise ValueError(f"reward {name} exists")
+        if not span[0] < span[1]:
+            raise ValueError(f"reward {name} needs a range")
+        return replace(self, enabled={**self.enabled, name: enabled}, weights={**self.weights, name: weight},
+                       extra={**self.extra, name: (score_col, span)})
+
+    def components(self) -> list[str]:
+        return [*COMPONENTS, *self.extra]
+
+    def span(self, name: str) -> tuple[float, float]:
+        return self.extra[name][1] if name in self.extra else RANGES[name]
+
+    def disabled_components(self) -> list[str]:
+        return [c for c in self.components() if not self.on(c)]
 
     def on(self, name: str) -> bool:
         return bool(self.enabled.get(name, False))
@@ -85,7 +98,7 @@ class RewardConfig:
         return float(self.weights.get(name, 0.0))
 
     def enabled_components(self) -> list[str]:
-        return [c for c in COMPONENTS if self.on(c)]
+        return [c for c in self.components() if self.on(c)]
 
 
 @dataclass(frozen=True)

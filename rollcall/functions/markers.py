@@ -69,10 +69,6 @@ def strip_special_tokens(text) -> Column:
     return F.regexp_replace(col(text), SPECIAL_RE, "")
 
 
-def special_tokens_frame(spark) -> DataFrame:
-    return spark.createDataFrame([(i, c, True) for i, c in SPECIAL_TOKENS], "id int, content string, special boolean")
-
-
 def load_special_tokens(spark, path: str) -> DataFrame:
     """Token table from a tokenizer config JSON (``added_tokens_decoder``:
     id -> {content, special, lstrip, rstrip, normalized, single_word})."""

@@ -28,10 +28,6 @@ def py_words(c) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
 
 
-def py_word_count(c) -> Column:
-    return F.size(py_words(c))
-
-
 def count_occurrences(text, sub: str) -> Column:
     """Non-overlapping occurrences of a literal substring (``str.count``)."""
     t = col(text)
@@ -46,11 +42,3 @@ def find(text, sub, start: Column | int = 0) -> Column:
     tail = F.substr(t, pos1)
     hit = F.instr(tail, sub_c)
     return F.when(hit > 0, hit + pos1 - 2).otherwise(F.lit(-1))
-
-
-def matches(text, pattern: str) -> Column:
-    return col(text).rlike(pattern)
-
-
-def regex_group(text, pattern: str, idx: int = 1) -> Column:
-    return F.regexp_extract(col(text), pattern, idx)

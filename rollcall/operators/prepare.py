@@ -10,7 +10,7 @@ distinct-value map stays small at any row count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import LengthLimits
 from ..functions import parsing as P
@@ -184,7 +184,6 @@ def prepare_examples(df: DataFrame, limits: LengthLimits = LengthLimits(), messa
 def filter_report(prepared_all: DataFrame) -> DataFrame:
     """Counts and percentages per drop reason (NULL reason = kept), over
     ``prepare_examples(..., keep_dropped=True)``."""
-    from pyspark.sql import Window
     r = F.coalesce(F.col("drop_reason"), F.lit("kept"))
     g = prepared_all.groupBy(r.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     # at most five reason rows: the total is a window over the tiny result
@@ -215,12 +214,14 @@ def token_stats(lengths: DataFrame) -> DataFrame:
     aggs, parts = [], []
     for name, (c, cond) in series.items():
         v = c if cond is None else F.when(cond, c)
-        stats = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": F.percentile(v, 0.5),
-                 "std": F.stddev_pop(v), "p90": F.percentile(v, 0.9), "p95": F.percentile(v, 0.95),
-                 "p99": F.percentile(v, 0.99), "n": F.count(v)}
+        at = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}  # one buffer of distinct lengths a series
+        stats = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_pop(v), "n": F.count(v),
+                 "at": F.percentile(v, F.array(*[F.lit(q) for q in at.values()]))}
         aggs += [e.alias(f"{name}__{k}") for k, e in stats.items()]
-        parts.append(F.struct(F.lit(name).alias("series"), *[F.col(f"{name}__{k}").cast(
-            "bigint" if k in ("min", "max", "n") else "double").alias(k) for k in stats]))
+        parts.append(F.struct(
+            F.lit(name).alias("series"), *[F.col(f"{name}__{k}").cast("bigint" if k in ("min", "max", "n") else "double").alias(k)
+                                           for k in stats if k != "at"],
+            *[F.get(f"{name}__at", i).alias(k) for i, k in enumerate(at)]))
     return lengths.agg(*aggs).select(F.inline(F.array(*parts)))
 
 
@@ -239,6 +240,54 @@ def length_histogram(lengths: DataFrame, col_name: str = "prompt_tokens") -> Dat
     return F.broadcast(bins).join(counts, "bin", "left").select("bin", "lo", "hi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def tool_turns(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
+               tool_col: str = "tool_name") -> DataFrame:
+    """Context of tool calls, per turn row: ``later_answer`` (a later assistant
+    turn without a tool call) and ``last_tool`` (name of the last tool call
+    before or at the turn, forgotten after an assistant turn without one)."""
+    w = Window.partitionBy(conv_col).orderBy(turn_col)
+    answer = (F.col(role_col) == "assistant") & F.col(tool_col).isNull()
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    d = convs.withColumn("later_answer", F.coalesce(F.max(answer).over(after), F.lit(False)))
+    before = F.coalesce(F.sum(answer.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.withColumn("_span", before)
+    inside = Window.partitionBy(conv_col, "_span").orderBy(turn_col).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("last_tool", F.last(tool_col, ignorenulls=True).over(inside)).drop("_span")
+
+
+def chat_lint(turns: DataFrame, conv_col: str = "conv_id", role_col: str = "role", content_col: str = "text",
+              thinking_col: str = "thinking", tool_col: str = "tool_name") -> DataFrame:
+    """Conversations that a chat template would reject, from ``tool_turns``
+    rows: channel tags inside thinking; thinking and content beside a tool call;
+    a tool result without an earlier call. One row a conversation with the
+    number of each fault and ``ok``."""
+    call = (F.col(role_col) == "assistant") & F.col(tool_col).isNotNull()
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    tags = F.coalesce(F.col(thinking_col), F.lit("")).rlike(r"<\|channel\|>(?:analysis|final)<\|message\|>")
+    d = turns.groupBy(conv_col).agg(
+        F.count_if((F.col(role_col) == "assistant") & tags).alias("n_channel_tags"),
+        F.count_if(call & has(content_col) & has(thinking_col)).alias("n_both_with_call"),
+        F.count_if((F.col(role_col) == "tool") & F.col("last_tool").isNull()).alias("n_result_without_call"))
+    return d.withColumn("ok", (F.col("n_channel_tags") == 0) & (F.col("n_both_with_call") == 0) & (F.col("n_result_without_call") == 0))
+
+
+def render_turn(role: str = "role", content: str = "text", thinking: str = "thinking", tool: str = "tool_name",
+                last_tool: str = "last_tool", later: str = "later_answer") -> Column:
+    """One rendered turn of a ``tool_turns`` row, tool calls and results
+    included. Thinking beside a call is shown unless a later answer exists."""
+    r, c = F.col(role), F.coalesce(F.col(content), F.lit(""))
+    th = F.coalesce(F.col(thinking), F.lit(""))
+    shown = F.when((th != "") & ~F.col(later), F.concat(F.lit("<|start|>assistant<|channel|>analysis<|message|>"), th, F.lit("<|end|>"))).otherwise(F.lit(""))
+    call = F.concat(shown, F.lit("<|start|>assistant to=functions."), F.col(tool),
+                    F.lit("<|channel|>commentary json<|message|>"), c, F.lit("<|call|>"))
+    result = F.concat(F.lit("<|start|>functions."), F.coalesce(F.col(last_tool), F.lit("")),
+                      F.lit(" to=assistant<|channel|>commentary<|message|>"), c, F.lit("<|end|>"))
+    return (F.when(r == "user", F.concat(F.lit("<|start|>user<|message|>"), c, F.lit("<|end|>")))
+            .when((r == "assistant") & F.col(tool).isNotNull(), call).when(r == "tool", result)
+            .when(r == "assistant", F.concat(F.lit("<|start|>assistant<|channel|>final<|message|>"), c, F.lit("<|end|>")))
+            .otherwise(F.lit("")))
+
+
 def length_budget(lengths: DataFrame, max_seq_length: int) -> DataFrame:
     """``max_prompt = max(prompt tokens) + 1``, completion budget = rest."""
     return lengths.agg((F.max("prompt_tokens") + 1).alias("max_prompt_length")).withColumn(

@@ -18,7 +18,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..config import COMPONENTS, RANGES, RewardConfig
+from ..config import RewardConfig
 
 SCORE_COLS = {
     "format_reward": "format_score",
@@ -31,8 +31,12 @@ SCORE_COLS = {
 }
 
 
-def _score(df: DataFrame, comp: str) -> Column:
-    c = SCORE_COLS[comp]
+def score_col(cfg: RewardConfig, comp: str) -> str:
+    return cfg.extra[comp][0] if comp in cfg.extra else SCORE_COLS[comp]
+
+
+def _score(df: DataFrame, comp: str, cfg: RewardConfig) -> Column:
+    c = score_col(cfg, comp)
     if c not in df.columns:
         raise ValueError(f"enabled component {comp} needs column {c}")
     return F.col(c)
@@ -44,7 +48,7 @@ def exact(c: Column) -> Column:
 
 
 def exact_composite(df: DataFrame, cfg: RewardConfig) -> Column:
-    terms = [F.lit(Decimal(str(cfg.weight(c)))).cast("decimal(6,4)") * exact(_score(df, c)) for c in cfg.enabled_components()]
+    terms = [F.lit(Decimal(str(cfg.weight(c)))).cast("decimal(6,4)") * exact(_score(df, c, cfg)) for c in cfg.enabled_components()]
     return reduce(lambda a, b: a + b, terms, F.lit(Decimal(0)).cast("decimal(18,6)"))
 
 
@@ -55,7 +59,7 @@ def exact_mean(c: Column) -> Column:
 
 def composite_expr(df: DataFrame, cfg: RewardConfig) -> Column:
     """Σ w·score over enabled components; disabled components contribute 0."""
-    terms = [F.lit(cfg.weight(c)) * _score(df, c) for c in cfg.enabled_components()]
+    terms = [F.lit(cfg.weight(c)) * _score(df, c, cfg) for c in cfg.enabled_components()]
     return reduce(lambda a, b: a + b, terms, F.lit(0.0))
 
 
@@ -65,22 +69,22 @@ def with_composite(df: DataFrame, cfg: RewardConfig, name: str = "composite") ->
 
 def unweighted_reward(df: DataFrame, cfg: RewardConfig, name: str = "reward") -> DataFrame:
     """Plain sum of the enabled reward functions (trainer-side summation)."""
-    terms = [_score(df, c) for c in cfg.enabled_components()]
+    terms = [_score(df, c, cfg) for c in cfg.enabled_components()]
     return df.withColumn(name, reduce(lambda a, b: a + b, terms, F.lit(0.0)))
 
 
 def to_long(df: DataFrame, keys: list[str], cfg: RewardConfig) -> DataFrame:
     """Wide component columns -> ``(keys..., component, score)`` rows."""
-    present = [c for c in cfg.enabled_components() if _score(df, c) is not None]
-    return df.unpivot(keys, [SCORE_COLS[c] for c in present], "score_col", "score") \
+    present = [c for c in cfg.enabled_components() if _score(df, c, cfg) is not None]
+    return df.unpivot(keys, [score_col(cfg, c) for c in present], "score_col", "score") \
         .withColumn("component", F.element_at(F.create_map(*[
-            x for c in present for x in (F.lit(SCORE_COLS[c]), F.lit(c))]), F.col("score_col"))) \
+            x for c in present for x in (F.lit(score_col(cfg, c)), F.lit(c))]), F.col("score_col"))) \
         .drop("score_col")
 
 
 def weights_frame(spark, cfg: RewardConfig) -> DataFrame:
     """Weights as a 7-row dimension table (size fixed by the component list)."""
-    rows = [(c, cfg.weight(c), bool(cfg.on(c)), RANGES[c][0], RANGES[c][1]) for c in COMPONENTS]
+    rows = [(c, cfg.weight(c), bool(cfg.on(c)), *cfg.span(c)) for c in cfg.components()]
     return spark.createDataFrame(rows, "component string, weight double, enabled boolean, "
                                        "range_min double, range_max double")
 
@@ -108,7 +112,7 @@ def reward_breakdown(df: DataFrame, cfg: RewardConfig, by: list[str] | None = No
     comp = exact_composite(df, cfg)
     aggs = []
     for c in comps:
-        s = _score(df, c)
+        s = _score(df, c, cfg)
         aggs += [exact_mean(exact(s)).alias(f"{c}__mean"), F.min(s).alias(f"{c}__min"), F.max(s).alias(f"{c}__max")]
     aggs += [exact_mean(comp).alias("total__mean"), F.min(comp).cast("double").alias("total__min"),
              F.max(comp).cast("double").alias("total__max")]
@@ -125,7 +129,7 @@ def reward_breakdown(df: DataFrame, cfg: RewardConfig, by: list[str] | None = No
 
 
 def component_means(df: DataFrame, cfg: RewardConfig, by: list[str] = ("step",)) -> DataFrame:
-    aggs = [exact_mean(exact(_score(df, c))).alias(f"{c}_mean") for c in cfg.enabled_components()]
+    aggs = [exact_mean(exact(_score(df, c, cfg))).alias(f"{c}_mean") for c in cfg.enabled_components()]
     return df.groupBy(*by).agg(*aggs, exact_mean(exact_composite(df, cfg)).alias("composite_mean"))
 
 
@@ -206,9 +210,9 @@ def dominance_check(df: DataFrame, cfg: RewardConfig, keys: list[str] = ("step",
     groups where the best wrong rollout (result < 0) scores ≥ the worst
     correct one (result > 0).
     """
-    lo, hi = RANGES["result_reward"]
+    lo, hi = cfg.span("result_reward")
     gap = cfg.weight("result_reward") * (hi - lo)
-    other = sum(cfg.weight(c) * (RANGES[c][1] - RANGES[c][0])
+    other = sum(cfg.weight(c) * (cfg.span(c)[1] - cfg.span(c)[0])
                 for c in cfg.enabled_components() if c != "result_reward")
     sdf = df if comp_col in df.columns else with_composite(df, cfg, comp_col)
     r, s = F.col(result_col), F.col(comp_col)

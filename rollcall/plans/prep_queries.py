@@ -218,10 +218,7 @@ def q_budget(spark, sf):
     return Pr.length_budget(_lengths(spark, sf), MAX_SEQ_LENGTH)
 
 
-CV = duck_with()[:-1] if False else "WITH _x AS (SELECT 1)\n"
-
-
-@register("text_profile", CV + f"""
+@register("text_profile", f"""
 SELECT conv_id, turn, CAST(length(text) AS INTEGER) AS n_chars,
   CAST(CASE WHEN {STRIP('text')} = '' THEN 0 ELSE len(string_split_regex({STRIP('text')}, '\\s+')) END AS INTEGER) AS n_words,
   replace(substr(text, 1, 100), chr(10), ' ') AS preview FROM conversations""")
@@ -231,7 +228,7 @@ def q_text_profile(spark, sf):
     return d.select("conv_id", "turn", "n_chars", "n_words", "preview")
 
 
-@register("token_head", CV + f"""
+@register("token_head", f"""
 SELECT conv_id, turn, CAST(generate_subscripts(toks, 1) - 1 AS INTEGER) AS pos, unnest(toks) AS token FROM (
   SELECT conv_id, turn, regexp_extract_all(text, '{TOKEN_RE_SQL}', 0)[1:50] AS toks FROM conversations)""")
 def q_token_head(spark, sf):

@@ -80,9 +80,6 @@ k AS (SELECT *, list_filter(tables, lambda v: contains(th, v)) AS tt, list_filte
 """
 
 
-TQ = duck_with("fx_completions", "fx_prompts") + CHANNELS_CTE.split("\n", 1)[1].replace("WITH fx_completions", ", fx_completions", 1)
-
-
 def _tq_cte():
     base = duck_with("fx_completions", "fx_prompts")
     ch = CHANNELS_CTE[CHANNELS_CTE.index(", a AS ("):]

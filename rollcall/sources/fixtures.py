@@ -128,6 +128,43 @@ SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j,
        CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings
 """
 
+# Chats made of documents: long prompts, long answers, no user, no answer.
+_LONG = {
+    "spark": ("array({})", "named_struct('role', '{}', 'content', {}, 'thinking', CAST(NULL AS STRING))"),
+    "duck": ("[{}]", "{{'role': '{}', 'content': {}, 'thinking': CAST(NULL AS VARCHAR)}}"),
+}
+
+
+def _long_chats(engine: str) -> str:
+    many, one = _LONG[engine]
+    sql = "concat('SELECT ', CAST(doc_id AS VARCHAR(20)), ' FROM t')"
+    ask = "concat('Database: d', CAST(doc_id % 3 AS VARCHAR(4)), ' ', coalesce(text, ''))"
+    kinds = [[("user", ask), ("assistant", sql)], [("system", "text"), ("assistant", sql)],
+             [("user", "'Database: d0 short'"), ("assistant", "text")], [("user", ask), ("assistant", "''")], [("user", ask)]]
+    cases = " ".join(f"WHEN {i} THEN " + many.format(", ".join(one.format(r, c) for r, c in k)) for i, k in enumerate(kinds))
+    return f"\nSELECT doc_id AS conv_id, CASE CAST(doc_id % 5 AS INT) {cases} END AS messages\nFROM documents\n"
+
+
+# Turns with tool calls: every third conversation's assistant calls a tool on its
+# first turn, the next turn holds the result; some chats break the rules.
+FX_TOOLS = """
+SELECT conv_id, turn,
+       CASE WHEN conv_id % 3 = 0 AND turn = 2 THEN 'tool' WHEN conv_id % 7 = 1 AND turn = 0 THEN 'tool' ELSE role END AS role, text,
+       CASE WHEN conv_id % 3 = 0 AND turn = 1 AND role = 'assistant' THEN concat('search', CAST(conv_id % 2 AS VARCHAR(2))) END AS tool_name,
+       CASE WHEN conv_id % 11 = 0 AND turn = 1 THEN '<|channel|>final<|message|>x' WHEN conv_id % 4 = 0 AND turn = 1 THEN 'thought' END AS thinking
+FROM conversations
+"""
+
+# Recorded outcomes of the distinct statements, and of code answers.
+FX_CODE_RUNS = """
+SELECT p_partkey AS completion_id, p_partkey % 5 <> 0 AS define_ok,
+       CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN 'success' WHEN 1 THEN 'timeout' WHEN 2 THEN 'exception' ELSE 'ended' END AS outcome,
+       CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_size AS DOUBLE) / 10 END AS amax_error,
+       CASE WHEN p_partkey % 6 <> 0 THEN CAST(p_size AS DOUBLE) / 100 END AS mse_error,
+       CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 97 + 1 END AS median_ns
+FROM part
+"""
+
 # A projection of the embedding's cells to eight columns: bounded by their number.
 FX_WEIGHTS_SPARK = """
 SELECT DISTINCT CAST(pos AS BIGINT) AS i, CAST(k AS BIGINT) AS j, CAST((pos * 7 + k * 3) % 11 - 5 AS DOUBLE) / 8 AS v
@@ -151,6 +188,9 @@ VIEWS = {
     "fx_code": (FX_CODE, FX_CODE, ("part",)),
     "fx_prompts": (FX_PROMPTS, FX_PROMPTS, ("customer",)),
     "fx_chat": (FX_CHAT_SPARK, FX_CHAT_DUCK, ("conversations",)),
+    "fx_chat_long": (_long_chats("spark"), _long_chats("duck"), ("documents",)),
+    "fx_tools": (FX_TOOLS, FX_TOOLS, ("conversations",)),
+    "fx_code_runs": (FX_CODE_RUNS, FX_CODE_RUNS, ("part",)),
     "fx_weights": (FX_WEIGHTS_SPARK, FX_WEIGHTS_DUCK, ("embeddings",)),
     "fx_matrix": (FX_MATRIX_SPARK, FX_MATRIX_DUCK, ("embeddings",)),
 }

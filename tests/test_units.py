@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -185,3 +186,88 @@ def test_execute_candidates_and_scores(spark):
     assert sc[3] == (0.0, -3.0)
     assert sc[4][0] == 0.0 and sc[4][1] == 0.0
     assert sc[5] == (-2.0, -3.0)
+
+
+def test_cells_keep_big_integers_and_signed_zero(spark):
+    from decimal import Decimal
+    types = {"i": "id int, v long", "d": "id int, v double", "c": "id int, v decimal(30,4)"}
+    rows = {"i": [(1, 9007199254740993), (2, 9007199254740992), (3, 1), (4, 0), (5, None)],
+            "d": [(3, 1.0), (4, -0.0), (5, None), (6, 1.5)],
+            "c": [(1, Decimal("9007199254740993.0000")), (3, Decimal("1.0000")), (6, Decimal("1.5000"))]}
+    key = {(k, r.id): r.row_key for k in types
+           for r in M.canonical_rows(spark.createDataFrame(rows[k], types[k]), "id", ["v"]).collect()}
+    assert key["i", 1] != key["i", 2] and key["i", 1] == key["c", 1]
+    assert key["i", 3] == key["d", 3] == key["c", 3] and key["i", 4] == key["d", 4]
+    assert key["i", 5] == key["d", 5] and key["d", 6] == key["c", 6]
+    texts = M.canonical_rows(spark.createDataFrame([(1, "a", "b"), (2, "a1:sb", None), (3, None, None), (4, "", "")],
+                                                   "id int, x string, y string"), "id", ["x", "y"]).collect()
+    assert len({r.row_key for r in texts}) == 4
+
+
+def test_match_of_an_empty_side(spark):
+    shape = "candidate_id int, row_key string, n_cols int"
+    a = spark.createDataFrame([(1, "x", 1), (1, "x", 1), (2, "y", 1)], shape)
+    m = {r.candidate_id: r for r in M.result_score(M.multiset_match(a.where("candidate_id = 1"), a)).collect()}
+    assert m[1].exact_match and m[1].result_score == 3.0
+    assert m[2].n_pred == 0 and m[2].n_gt == 1 and m[2].result_score == -3.0
+
+
+def test_missing_component_column_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 0, 2.0, 3.0, 1.0)], "step int, prompt_id int, gen_idx int, syntax_score double, result_score double, schema_score double")
+    with pytest.raises(ValueError, match="ngram"):
+        S.with_composite(df, RewardConfig())
+
+
+def test_registered_reward_joins_all_reports(spark):
+    cfg = RewardConfig().with_reward("brevity", "brevity_score", (0.0, 1.0), 0.5)
+    assert "brevity" in cfg.enabled_components() and "brevity" not in cfg.disabled_components()
+    assert set(cfg.disabled_components()) == {"format_reward", "thinking_quality_reward", "llm_judge_reward"}
+    df = spark.createDataFrame([(1, 1, 0, 2.0, 3.0, 1.0, 1.0, 0.5)], "step int, prompt_id int, gen_idx int, syntax_score double, "
+                               "result_score double, schema_score double, ngram_score double, brevity_score double")
+    assert abs(S.with_composite(df, cfg).first().composite - (0.4 + 3.0 + 0.3 + 0.3 + 0.25)) < 1e-9
+    assert "brevity" in {r.component for r in S.reward_breakdown(df, cfg, ["step"]).collect()}
+    assert abs(S.dominance_check(df, cfg).first().max_other_advantage - (0.8 + 0.6 + 0.6 + 0.5)) < 1e-9
+    with pytest.raises(ValueError):
+        cfg.with_reward("brevity", "x", (0.0, 1.0))
+
+
+def test_positions_of_a_hot_step(spark):
+    import random
+    from rollcall.operators import windows as Wn
+    ids = random.Random(1).sample(range(10**6), 3000)
+    df = spark.createDataFrame([(7 if i % 3 else i % 11, x) for i, x in enumerate(ids)], "step int, rollout_id long").repartition(5)
+    got = {r.rollout_id: r.pos_group for r in Wn.positional_groups(df, 4).collect()}
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.step, []).append(r.rollout_id)
+    assert got == {x: k // 4 for v in by.values() for k, x in enumerate(sorted(v))}
+
+
+def test_stream_plateau_over_chunks_and_late_steps(spark):
+    """One run of many Arrow chunks out of order, then a late step."""
+    import random
+    from rollcall.session import ship_package
+    from rollcall.streaming import streams as St
+    ship_package(spark)
+    rng = random.Random(3)
+    rows = [(run, step, rng.random() + step / 9000) for run in (1, 2) for step in range(1, 12501)]
+    shuffled = rng.sample(rows, len(rows))
+    src, schema = St.stage_files(spark.createDataFrame(shuffled, "run_id long, step long, reward double").coalesce(1), "units-in")
+    out = St.out_path(spark, "units-out")
+    St.stream_plateau(spark, src, schema, out)
+    got = {(r.run_id, r.step): r.steps_since_improvement for r in spark.read.parquet(out).collect()}
+    want = {(run, s): v for run in (1, 2) for s, v in _plateau_loop([r for k, _, r in rows if k == run])}
+    assert got == want and len(got) == 1000
+    spark.createDataFrame([(1, 40, 5.0), (1, 12501, 1.0)], schema).write.mode("append").parquet(src)
+    St.stream_plateau(spark, src, schema, out)
+    late = spark.read.parquet(out).where("late").collect()
+    assert [(r.run_id, r.step, r.rolling_avg) for r in late] == [(1, 40, None)]
+
+
+def test_jsonl_limit_goes_file_by_file(spark):
+    from rollcall.sources import jsonl as J
+    d = tempfile.mkdtemp(prefix="rollcall-jsonl-")
+    for name, n in (("a", 2), ("b", 4000)):
+        with open(os.path.join(d, f"{name}.jsonl"), "w", encoding="utf-8") as f:
+            f.writelines(json.dumps({"conv_id": (0 if name == "a" else 100) + i, "messages": []}) + "\n" + ("\t\n" if name == "a" else "") for i in range(n))
+    assert sorted(r.conv_id for r in J.load_jsonl(spark, d, limit=5).collect()) == [0, 1, 100]
