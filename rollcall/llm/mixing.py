@@ -120,8 +120,10 @@ def _rate(history: list[list[float]], names: list[str]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - g))
 
 
-def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int = 60, tolerance: float = 1e-7):
-    """The error vectors of the descent over ``groups`` (n_tokens, p_*)."""
+def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int = 60, tolerance: float = 1e-6):
+    """The error vectors of the descent over ``groups`` (n_tokens, p_*), until
+    no error changes by more than ``tolerance`` (targets met, or as near as
+    nonnegative rates get)."""
     def totals(history):
         r = groups.withColumn("r", _rate(history, names)).agg(
             *[F.sum(F.col("r") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in names]).first()
@@ -134,7 +136,7 @@ def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int
     for _ in range(rounds):
         now = natural if not history else totals(history)
         error = [(x - t) / n if n > 0 else 0.0 for x, t, n in zip(now, target, natural)]
-        if max(map(abs, error), default=0) <= tolerance:
+        if max((abs(a - b) for a, b in zip(error, history[-1] if history else [0.0] * len(names))), default=0) <= tolerance:
             break
         history.append(error)
     return history
