@@ -128,7 +128,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import flagged
 
-    return flagged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+    out = flagged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "contaminated", "n_items", F.array_join("items", ",").alias("items"), "similarity")
 
 
 @query
@@ -143,3 +144,28 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
+# Every item-sized window of every document that shares a shingle with the item.
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_RUNS = "list_transform(range(1, greatest(len({w}) - {k} + 1, 1) + 1), lambda p: array_to_string({w}[p:p + {k} - 1], ' '))"
+ORACLES["op6_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, ws, len(ws) AS l, least(5, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+ish AS (SELECT item_id, k, unnest({_RUNS.format(w='ws', k='k')}) AS s FROM i),
+dsh AS (SELECT DISTINCT doc_id, k, s FROM (SELECT doc_id, k, unnest({_RUNS.format(w='ws', k='k')}) AS s FROM d, (SELECT DISTINCT k FROM i) WHERE len(ws) > 0)),
+pair AS (SELECT DISTINCT doc_id, item_id FROM dsh JOIN ish USING (k, s)),
+win AS (SELECT doc_id, item_id, l, k, d.ws, unnest(range(0, greatest(len(d.ws) - l, 0) + 1)) AS st
+        FROM pair JOIN d USING (doc_id) JOIN i USING (item_id)),
+wsh AS (SELECT doc_id, item_id, st, unnest({_RUNS.format(w='ws[st + 1:st + l]', k='k')}) AS s FROM win),
+wc0 AS (SELECT doc_id, item_id, st, s, count(*) AS x FROM wsh GROUP BY doc_id, item_id, st, s),
+wc AS (SELECT *, sum(x) OVER (PARTITION BY doc_id, item_id, st) AS nx FROM wc0),
+ic0 AS (SELECT item_id, s, count(*) AS y FROM ish GROUP BY item_id, s),
+ic AS (SELECT *, sum(y) OVER (PARTITION BY item_id) AS ny FROM ic0),
+sim AS (SELECT doc_id, item_id, st, sum(least(x, y)) AS m, any_value(nx) AS nx, any_value(ny) AS ny FROM wc JOIN ic USING (item_id, s) GROUP BY doc_id, item_id, st),
+hit AS (SELECT doc_id, item_id, max(CAST(m AS BIGINT) / CAST(nx + ny - m AS BIGINT)) AS similarity FROM sim GROUP BY doc_id, item_id),
+per AS (SELECT doc_id, count(*) AS n, array_to_string(list(item_id ORDER BY item_id), ',') AS items, max(similarity) AS similarity
+        FROM hit WHERE similarity >= 0.8 GROUP BY doc_id)
+SELECT doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_items, coalesce(items, '') AS items, coalesce(similarity, 0.0) AS similarity
+FROM documents LEFT JOIN per USING (doc_id)
+"""
