@@ -47,5 +47,7 @@ def shingle_counts(text, k=5, split=re.compile(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7
 def probability_jaccard(a, b):
     if not a or not b:
         return float(a == b)
+    if set(a.values()) == set(b.values()) == {1}:
+        return len(set(a) & set(b)) / len(set(a) | set(b))
     keys = set(a) | set(b)
     return sum(1 / sum(max(a[j] / a[k], b[j] / b[k]) for j in keys) for k in set(a) & set(b))
