@@ -15,7 +15,8 @@ connected components of the links. Equal texts are one node; buckets of the
 same nodes are one bucket. The pairs of a bucket are never emitted: buckets are
 verified exactly inside tasks, and a task returns only a spanning forest of the
 links it found. A bucket of more than ``TILE`` nodes is cut into chunks, and
-every pair of chunks is a tile of its own, so no task holds a large bucket.
+every pair of chunks is a tile and a task call of its own, so no call holds more
+than two chunks (about 2 x ``TILE`` texts) of a large bucket.
 Smaller buckets go with the buckets of the same least node (at most ``BANDS``),
 so that their shingles travel once.
 
@@ -40,6 +41,8 @@ from .storage import ship, shuffle_partitions, stage
 ROWS, BANDS = 5, 26
 M = ROWS * BANDS
 SHINGLE, TILE = 5, 1024
+#: Tile entries a task at most, about; a task takes its tiles one after another.
+TASK_ENTRIES = 64 * TILE
 
 
 def shingles(column):
@@ -191,6 +194,21 @@ def _links(threshold: float):
     return run
 
 
+def _tiles(inside: DataFrame, groups: int) -> DataFrame:
+    """(g, node, tiles) of rows (b, n, m, node): what a task call ``g`` gets.
+    Buckets of one tile share ``groups`` calls by their least node; every tile of
+    a larger bucket is a call of its own (negative ``g``), so a call holds two
+    chunks at most, whatever the bucket."""
+    i, j = F.least("c", "o"), F.greatest("c", "o")
+    return inside.withColumn("q", F.ceil(F.col("n") / TILE).cast("int")) \
+        .withColumn("c", F.pmod(F.xxhash64("node", "b"), F.col("q")).cast("int")) \
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1))) \
+        .select("node", F.when(F.col("q") == 1, F.pmod(F.xxhash64("m"), F.lit(groups)))
+                .otherwise(F.xxhash64("b", i, j).bitwiseOR(F.lit(-1 << 63).cast("long"))).alias("g"),
+                F.struct("b", i.alias("i"), j.alias("j"), "c").alias("e")) \
+        .groupBy("g", "node").agg(F.collect_list("e").alias("tiles"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
                     group_rows: int = 4000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(id, key, class_id, class_size, first) of every row of ``docs``; ``key``
@@ -208,21 +226,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = band.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")) \
         .where("n > 1").groupBy("n", "m", "x").agg(F.min("b").alias("b"))
     inside = stage(band.join(shared, "b").select("b", "n", "m", "node"), "dup-buckets")
-    n_rows = inside.count()
+    n_rows, entries = inside.agg(F.count(F.lit(1)), F.sum(F.ceil(F.col("n") / TILE))).first()
     parts = max(shuffle_partitions(spark), math.ceil(n_rows / group_rows), 1)
-    chunks_ = F.ceil(F.col("n") / TILE).cast("int")
-    tiled = inside.withColumn("q", chunks_).withColumn("c", F.pmod(F.xxhash64("node", "b"), F.col("q")).cast("int")) \
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1))) \
-        .select("node", F.when(F.col("q") == 1, F.xxhash64("m")).otherwise(F.xxhash64("b", F.least("c", "o"), F.greatest("c", "o"))).alias("g"),
-                F.struct("b", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c").alias("e")) \
-        .groupBy(F.pmod("g", F.lit(parts * 8)).alias("g"), "node").agg(F.collect_list("e").alias("tiles"))
+    tiled = _tiles(inside, parts * 8)
 
     used = inside.select("node").distinct().join(nodes.select("node", "rep", F.col("key").alias("key_")), "node")
     used = stage(used, "dup-used")
     small = used.count() * 48 <= broadcast_bytes
     sets = rows.join(F.broadcast(used) if small else used, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("rep"))) \
         .select("node", "text").mapInArrow(_packed, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    links = tiled.join(sets, "node").groupBy("g").applyInArrow(_links(threshold), "a long, b long")
+    dealt, tasks = tiled.join(sets, "node"), math.ceil((entries or 0) / TASK_ENTRIES)
+    if tasks > parts:
+        dealt = dealt.repartition(tasks, "g")
+    links = dealt.groupBy("g").applyInArrow(_links(threshold), "a long, b long")
     classes = components(links)
 
     named = nodes.select("key", "rep", "copies", "node").join(classes, "node", "left") \

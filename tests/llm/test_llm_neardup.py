@@ -59,6 +59,34 @@ def test_large_bucket_is_tiled(spark, monkeypatch):
     check(spark, spark.createDataFrame(rows, SCHEMA))
 
 
+def test_calls_do_not_grow_with_the_bucket(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neardup, "TILE", 16)
+    monkeypatch.setattr(neardup, "TASK_ENTRIES", 512, raising=False)
+    real = neardup._links
+    largest = []
+    for n in (60, 240):
+        log = tmp_path / str(n)
+        log.mkdir()
+
+        def counted(threshold, log=str(log)):
+            links = real(threshold)
+
+            def run(table):
+                import uuid
+                with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(str(table.num_rows))
+                return links(table)
+            return run
+
+        monkeypatch.setattr(neardup, "_links", counted)
+        rng = random.Random(4)
+        base = prose(9, 200)
+        check(spark, spark.createDataFrame([(i, edited(base, rng, 0.005), "en", "s", 0) for i in range(n)], SCHEMA))
+        largest.append(max(int(f.read_text()) for f in log.iterdir()))
+    # a call holds two chunks of 16 or so, not the bucket
+    assert largest[1] <= 4 * 16, largest
+
+
 def test_odd_rows(spark):
     df = odd_documents(spark)
     check(spark, df)
