@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import checkpoint_dir
+
 
 def first_k_per_step(df: DataFrame, k: int, step_col: str = "step",
                      order_cols: list[str] = ("prompt_id", "gen_idx")) -> DataFrame:
@@ -18,14 +23,21 @@ def _numbered(df: DataFrame, by: str, order: str, out: str) -> DataFrame:
     """Adds the 1-based position of each row within its ``by`` key in the order
     of ``order``, without bringing a key into one task: rows are range-partitioned
     and numbered inside each partition, and each (partition, key) starts where the
-    partitions before it end. The offsets are one row per partition and key."""
+    partitions before it end. The offsets are one row per partition and key. The
+    numbered rows are written once to the shared folder: offsets and result must
+    see the same partitions, which a second range exchange does not promise."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"positions-{uuid.uuid4().hex}")
     parts = df.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id())
     inside = parts.withColumn("_at", F.row_number().over(W.partitionBy("_part", by).orderBy(order)))
-    ends = inside.groupBy("_part", by).agg(F.max("_at").alias("_n"))
+    inside.write.parquet(path)
+    inside = spark.read.schema(inside.schema).parquet(path)
+    ends = inside.groupBy(F.col("_part").alias("_p"), F.col(by).alias("_by")).agg(F.max("_at").alias("_n"))
     before = ends.withColumn("_before", F.coalesce(F.sum("_n").over(
-        W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inside.join(before, ["_part", by]).withColumn(out, (F.col("_at") + F.col("_before")).cast("bigint")) \
-        .drop("_part", "_at", "_before")
+        W.partitionBy("_by").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return inside.join(before, (F.col("_part") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_by"))) \
+        .withColumn(out, (F.col("_at") + F.col("_before")).cast("bigint")) \
+        .drop("_part", "_at", "_before", "_p", "_by")
 
 
 def positional_groups(df: DataFrame, num_generations: int, step_col: str = "step",

@@ -243,6 +243,29 @@ def test_positions_of_a_hot_step(spark):
     assert got == {x: k // 4 for v in by.values() for k, x in enumerate(sorted(v))}
 
 
+@pytest.mark.parametrize("nulls", [False, True])
+def test_positions_of_a_wide_frame(spark, nulls):
+    """Other columns, several coalesced partitions, null steps."""
+    from pyspark.sql import Window as W
+    from rollcall.operators import windows as Wn
+    step = F.when(F.col("id") % 7 != 0, F.col("id") % 3) if nulls else F.col("id") % 3
+    df = spark.range(60000).select(step.cast("int").alias("step"), F.xxhash64("id").alias("rollout_id"),
+                                   F.concat(*[F.sha2(F.concat_ws("-", F.lit(k), "id"), 256) for k in range(6)]).alias("response"))
+    want = df.withColumn("pos_group", F.floor((F.row_number().over(W.partitionBy("step").orderBy("rollout_id")) - 1) / 4).cast("bigint"))
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k", "spark.sql.shuffle.partitions": "40"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = Wn.positional_groups(df, 4).select(*want.columns)
+        assert got.count() == 60000
+        assert want.exceptAll(got).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_stream_plateau_over_chunks_and_late_steps(spark):
     """One run of many Arrow chunks out of order, then a late step."""
     import random
