@@ -169,3 +169,83 @@ per AS (SELECT doc_id, count(*) AS n, array_to_string(list(item_id ORDER BY item
 SELECT doc_id, n IS NOT NULL AS contaminated, coalesce(n, 0) AS n_items, coalesce(items, '') AS items, coalesce(similarity, 0.0) AS similarity
 FROM documents LEFT JOIN per USING (doc_id)
 """
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import drop_shared_lines
+
+    out = drop_shared_lines(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op11_line_dedup"] = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (SELECT *, {_LOWER.format("trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM l),
+c AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+r AS (SELECT doc_id, i, x, last IS NOT NULL AND last <> doc_id AS gone FROM k LEFT JOIN c USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranking import ranked_search
+
+    out = ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op12_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+tot AS (SELECT count(*) FILTER (len(ws) > 0) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+f AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS t FROM d) GROUP BY doc_id, n, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM f, tot GROUP BY t),
+s AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (t) JOIN w USING (t), tot GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    out = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+# CRC-32 by its bitwise rule: a table of 256 entries, then one step a byte.
+_WORDS13 = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RUNS13 = "list_concat(ws, list_transform(range(1, len(ws)), lambda p: ws[p] || ' ' || ws[p + 1]))"
+ORACLES["op13_importance_resampling"] = f"""
+WITH tab AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+       lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, CAST(b AS BIGINT))) AS tab),
+d AS (SELECT doc_id, {_WORDS13} AS ws FROM documents),
+df AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest({_RUNS13}) AS f FROM d) GROUP BY doc_id, f),
+tf AS (SELECT f, count(*) AS n FROM (SELECT unnest({_RUNS13}) AS f FROM (SELECT {_WORDS13} AS ws FROM benchmark)) GROUP BY f),
+b AS (SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i: CAST(('0x' || hex(encode(f))[2 * i + 1:2 * i + 2]) AS BIGINT)),
+        lambda c, x: xor(c // 256, tab[xor(c, x) % 256 + 1]), 4294967295), 4294967295) % 10000 AS b
+      FROM (SELECT f FROM df UNION SELECT f FROM tf), tab),
+s AS (SELECT b, sum(n) AS n FROM df JOIN b USING (f) GROUP BY b),
+t AS (SELECT b, sum(n) AS n FROM tf JOIN b USING (f) GROUP BY b),
+tot AS (SELECT (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) FROM s) AS s_all, (SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) FROM t) AS t_all),
+g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + CAST(1 AS DOUBLE)) * (s_all + 10000) / ((s.n + CAST(1 AS DOUBLE)) * (t_all + 10000)))) AS BIGINT) AS gain
+      FROM s LEFT JOIN t USING (b), tot),
+w AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM df JOIN b USING (f) JOIN g USING (b) GROUP BY doc_id),
+x AS (SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features,
+        coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+        CAST(('0x' || sha256('7:' || doc_id)[1:8]) AS BIGINT) AS h
+      FROM d LEFT JOIN w USING (doc_id)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / 4294967296))) AS BIGINT) AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (doc_id)
+"""
