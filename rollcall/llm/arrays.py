@@ -38,6 +38,13 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 PUNCT = SPACE.copy()
 PUNCT[[c for c in range(128) if not chr(c).isalnum()]] = True
 
+#: A-Z in lower case, byte by byte.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Bytes of lower-cased text outside terms: terms are digits, a-z and all that is not ASCII.
+BETWEEN = np.ones(256, bool)
+BETWEEN[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept per process."""

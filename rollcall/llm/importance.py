@@ -34,15 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrays import MASK, BASE, STEP, U, Words, chunks, mix, pieces, utf8
+from .arrays import BASE, BETWEEN, LOWER, STEP, U, Words, chunks, mix, pieces, utf8
 from .storage import ship, stage
 
 BUCKETS = 10_000
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-#: Bytes that separate words, of lower-cased text.
-BETWEEN = np.ones(256, bool)
-BETWEEN[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def _crc_table() -> np.ndarray:
@@ -95,7 +90,7 @@ def features(column, buckets: int = BUCKETS):
             word = np.repeat(np.arange(n), length)
             flat[inner + word] = w.data[inner - (at[:-1] - np.arange(n))[word] + w.start[word]]
             two = np.flatnonzero(w.doc[1:] == w.doc[:-1])
-            h = np.concatenate([w.hash, mix(w.hash[two] * U(STEP) + w.hash[two + 1] + U(BASE & MASK))])
+            h = np.concatenate([w.hash, mix(w.hash[two] * U(STEP) + w.hash[two + 1] + U(BASE))])
             start = np.concatenate([at[:-1], at[two]])
             size = np.concatenate([length, length[two] + 1 + length[two + 1]])
             _, some, which = np.unique(h, return_index=True, return_inverse=True)

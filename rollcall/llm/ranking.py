@@ -40,16 +40,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .arrays import U, Words, chunks, utf8
+from .arrays import BETWEEN, LOWER, U, Words, chunks, utf8
 from .storage import ship, stage
 
 BLOCK, TOP = 64, 20
 NO_ID = np.iinfo(np.int64).max
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-#: Bytes that separate terms, of lower-cased text.
-BETWEEN = np.ones(256, bool)
-BETWEEN[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 SEGMENT = "ids binary, factors binary, terms binary, df binary, bounds binary, last binary, peak binary, place binary, data binary"
 
 
