@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     names = {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES}
-    assert names == set(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert names == set(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_stages_equal_their_operators(spark):
