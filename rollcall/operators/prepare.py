@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import LengthLimits
 from ..functions import parsing as P
 from ..functions.text import col, py_strip, py_words
+from . import tools as T
 
 # --- fixed values: chat template text -----------------------------------------
 MODEL_IDENTITY = "You are ChatGPT, a large language model trained by OpenAI."
@@ -86,26 +87,45 @@ def completion_text(completion) -> Column:
     return F.coalesce(F.get(col(completion), 0)["content"], F.lit(""))
 
 
+def system_block(date: str, reasoning_effort: str = DEFAULT_REASONING_EFFORT, builtin: list[str] | None = None,
+                 tools_block: Column | None = None) -> Column:
+    """The system preamble. ``builtin``: names of built-in tools (None: no
+    section); a row with a tools block gets the line on their channel."""
+    text = ("<|start|>system<|message|>" + MODEL_IDENTITY + "\n" + f"Knowledge cutoff: {KNOWLEDGE_CUTOFF}\n"
+            + f"Current date: {date}\n\n" + f"Reasoning: {reasoning_effort}\n\n"
+            + ("" if builtin is None else "# Tools\n\n" + T.builtin_tools(builtin)) + CHANNELS_LINE)
+    calls = F.lit("") if tools_block is None else F.when(tools_block.isNotNull(), F.lit(T.CALLS_LINE)).otherwise(F.lit(""))
+    return F.concat(F.lit(text), calls, F.lit("<|end|>"))
+
+
+def developer_block(instructions: Column, tools_block: Column | None = None) -> Column:
+    """Instructions and tools; nothing if there are neither."""
+    block = F.lit(None).cast("string") if tools_block is None else tools_block
+    dev = F.coalesce(instructions, F.lit(""))
+    parts = F.concat(F.when(dev != "", F.concat(F.lit("# Instructions\n\n"), dev)).otherwise(F.lit("")),
+                     F.when((dev != "") & block.isNotNull(), F.lit("\n\n")).otherwise(F.lit("")),
+                     F.coalesce(F.concat(F.lit("# Tools\n\n"), block), F.lit("")))
+    return F.when(parts != "", F.concat(F.lit("<|start|>developer<|message|>"), parts, F.lit("<|end|>"))).otherwise(F.lit(""))
+
+
 def render_chat(messages, add_generation_prompt: bool = True, reasoning_effort: str = DEFAULT_REASONING_EFFORT,
-                date: str = "2025-01-01", has_thinking: bool = True) -> Column:
+                date: str = "2025-01-01", has_thinking: bool = True, tools_block: Column | None = None,
+                builtin: list[str] | None = None) -> Column:
     """Render messages to the channel-format prompt string.
 
     System preamble; a developer block from a first system/developer
-    message; user turns; assistant turns (the last one, when no generation
+    message and the tools (``tools.with_tools_block``); user turns; assistant
+    turns (the last one, when no generation
     prompt follows, as thinking + final ending ``<|end|>``; earlier ones as
     thinking only when present, else final); later system messages are not
-    rendered; optional ``<|start|>assistant`` generation prompt. Tool calls
-    are not part of this message schema.
+    rendered; optional ``<|start|>assistant`` generation prompt. Chats with tool
+    calls, which this message schema has not, go through ``render_tool_chats``.
     """
     m = col(messages)
     first = F.get(m, 0)
     is_dev = F.coalesce(first["role"].isin("developer", "system"), F.lit(False))
     loop = F.when(is_dev, F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0)))).otherwise(m)
-    dev = F.when(is_dev, F.coalesce(first["content"], F.lit(""))).otherwise(F.lit(""))
-    system = ("<|start|>system<|message|>" + MODEL_IDENTITY + "\n" + f"Knowledge cutoff: {KNOWLEDGE_CUTOFF}\n"
-              + f"Current date: {date}\n\n" + f"Reasoning: {reasoning_effort}\n\n" + CHANNELS_LINE + "<|end|>")
-    dev_block = F.when(dev != "", F.concat(F.lit("<|start|>developer<|message|># Instructions\n\n"), dev,
-                                           F.lit("<|end|>"))).otherwise(F.lit(""))
+    dev_block = developer_block(F.when(is_dev, first["content"]), tools_block)
     n = F.size(loop)
 
     def turn(x, i):
@@ -121,7 +141,7 @@ def render_chat(messages, add_generation_prompt: bool = True, reasoning_effort:
 
     body = F.array_join(F.transform(loop, turn), "")
     gen = F.lit("<|start|>assistant" if add_generation_prompt else "")
-    return F.concat(F.lit(system), dev_block, body, gen)
+    return F.concat(system_block(date, reasoning_effort, builtin, tools_block), dev_block, body, gen)
 
 
 def with_lengths(df: DataFrame, messages_col: str = "messages", date: str = "2025-01-01") -> DataFrame:
@@ -243,14 +263,16 @@ def length_histogram(lengths: DataFrame, col_name: str = "prompt_tokens") -> Dat
 def tool_turns(convs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                tool_col: str = "tool_name") -> DataFrame:
     """Context of tool calls, per turn row: ``later_answer`` (a later assistant
-    turn without a tool call) and ``last_tool`` (name of the last tool call
-    before or at the turn, forgotten after an assistant turn without one)."""
+    turn without a tool call), ``last_tool`` (name of the last tool call
+    before or at the turn, forgotten after an assistant turn without one),
+    ``first_turn`` and ``last_turn``."""
     w = Window.partitionBy(conv_col).orderBy(turn_col)
     answer = (F.col(role_col) == "assistant") & F.col(tool_col).isNull()
     after = w.rowsBetween(1, Window.unboundedFollowing)
     d = convs.withColumn("later_answer", F.coalesce(F.max(answer).over(after), F.lit(False)))
     before = F.coalesce(F.sum(answer.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("_span", before)
+    d = d.withColumn("_span", before).withColumn("first_turn", F.lag(F.lit(1)).over(w).isNull()) \
+        .withColumn("last_turn", F.lead(F.lit(1)).over(w).isNull())
     inside = Window.partitionBy(conv_col, "_span").orderBy(turn_col).rowsBetween(Window.unboundedPreceding, 0)
     return d.withColumn("last_tool", F.last(tool_col, ignorenulls=True).over(inside)).drop("_span")
 
@@ -272,20 +294,60 @@ def chat_lint(turns: DataFrame, conv_col: str = "conv_id", role_col: str = "role
 
 
 def render_turn(role: str = "role", content: str = "text", thinking: str = "thinking", tool: str = "tool_name",
-                last_tool: str = "last_tool", later: str = "later_answer") -> Column:
-    """One rendered turn of a ``tool_turns`` row, tool calls and results
-    included. Thinking beside a call is shown unless a later answer exists."""
+                arguments: str = "arguments", content_type: str = "content_type", add_generation_prompt: bool = True) -> Column:
+    """One rendered turn of a ``tool_turns`` row.
+
+    A call: its content, or else its thinking, as analysis unless a later answer
+    exists; then the arguments (text as it is, other types as JSON). An
+    assistant turn without a call: its thinking alone where the column is not
+    NULL, else its content as final; both on the last turn when no generation
+    prompt follows. A result goes by the name of the last call. A first
+    system/developer turn and later system turns render as nothing here."""
     r, c = F.col(role), F.coalesce(F.col(content), F.lit(""))
-    th = F.coalesce(F.col(thinking), F.lit(""))
-    shown = F.when((th != "") & ~F.col(later), F.concat(F.lit("<|start|>assistant<|channel|>analysis<|message|>"), th, F.lit("<|end|>"))).otherwise(F.lit(""))
-    call = F.concat(shown, F.lit("<|start|>assistant to=functions."), F.col(tool),
-                    F.lit("<|channel|>commentary json<|message|>"), c, F.lit("<|call|>"))
-    result = F.concat(F.lit("<|start|>functions."), F.coalesce(F.col(last_tool), F.lit("")),
+    th = F.col(thinking)
+
+    def analysis(x: Column) -> Column:
+        return F.concat(F.lit("<|start|>assistant<|channel|>analysis<|message|>"), x, F.lit("<|end|>"))
+
+    beside = F.when(F.col("later_answer"), F.lit("")).when(c != "", analysis(c)) \
+        .when(F.coalesce(th, F.lit("")) != "", analysis(th)).otherwise(F.lit(""))
+    call = F.concat(beside, F.lit("<|start|>assistant to=functions."), F.col(tool), F.lit("<|channel|>commentary "),
+                    F.coalesce(F.col(content_type), F.lit("json")), F.lit("<|message|>"), F.coalesce(F.col(arguments), F.lit("")), F.lit("<|call|>"))
+    result = F.concat(F.lit("<|start|>functions."), F.coalesce(F.col("last_tool"), F.lit("")),
                       F.lit(" to=assistant<|channel|>commentary<|message|>"), c, F.lit("<|end|>"))
+    final = F.concat(F.lit("<|start|>assistant<|channel|>final<|message|>"), c, F.lit("<|end|>"))
+    shut = F.concat(F.when(th.isNotNull(), analysis(th)).otherwise(F.lit("")), final)
+    plain = F.when(th.isNotNull(), analysis(th)).otherwise(final)
+    if not add_generation_prompt:
+        plain = F.when(F.col("last_turn"), shut).otherwise(plain)
     return (F.when(r == "user", F.concat(F.lit("<|start|>user<|message|>"), c, F.lit("<|end|>")))
             .when((r == "assistant") & F.col(tool).isNotNull(), call).when(r == "tool", result)
-            .when(r == "assistant", F.concat(F.lit("<|start|>assistant<|channel|>final<|message|>"), c, F.lit("<|end|>")))
-            .otherwise(F.lit("")))
+            .when(r == "assistant", plain).otherwise(F.lit("")))
+
+
+def arguments_text(df: DataFrame, arguments: str = "arguments") -> Column:
+    """Call arguments as text: strings as they are, other types as spaced JSON."""
+    return F.col(arguments) if dict(df.dtypes)[arguments] == "string" else T.spaced_json(F.to_json(F.col(arguments)))
+
+
+def render_tool_chats(turns: DataFrame, tools: DataFrame | None = None, conv_col: str = "conv_id", turn_col: str = "turn",
+                      tools_col: str = "tools", date: str = "2025-01-01", reasoning_effort: str = DEFAULT_REASONING_EFFORT,
+                      builtin: list[str] | None = None, add_generation_prompt: bool = True) -> DataFrame:
+    """(conv, rendered) of whole conversations from ``tool_turns`` rows
+    (role, text, thinking, tool_name, arguments, content_type). ``tools`` holds
+    each conversation's tool list as JSON text; it need not hold every conversation."""
+    d = turns.withColumn("arguments", arguments_text(turns))
+    d = d.withColumn("_r", render_turn(add_generation_prompt=add_generation_prompt))
+    first = F.col("first_turn") & F.col("role").isin("developer", "system")
+    chats = d.groupBy(conv_col).agg(  # one conversation's turns
+        F.array_sort(F.collect_list(F.struct(turn_col, "_r"))).alias("_t"), F.max(F.when(first, F.col("text"))).alias("_dev"))
+    block = F.lit(None).cast("string")
+    if tools is not None:
+        made = T.with_tools_block(tools.select(conv_col, tools_col), tools_col, "_block").select(conv_col, "_block")
+        chats, block = chats.join(made, conv_col, "left"), F.col("_block")
+    return chats.select(conv_col, F.concat(
+        system_block(date, reasoning_effort, builtin, block), developer_block(F.col("_dev"), block),
+        F.array_join(F.transform("_t", lambda x: x["_r"]), ""), F.lit("<|start|>assistant" if add_generation_prompt else "")).alias("rendered"))
 
 
 def length_budget(lengths: DataFrame, max_seq_length: int) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import matching as M
 from ..operators import prepare as Pr
 from ..operators import rewards as R
 from ..operators import scores as S
+from ..operators import tools as T
 from ..operators import windows as Wn
 from ..sources.fixtures import duck_with, fixture
 from .code_queries import CODE_CTE, _audited, _band_sql
@@ -188,12 +189,67 @@ def q_chat_lint(spark, sf):
     return Pr.chat_lint(Pr.tool_turns(fixture(spark, sf, "fx_tools")))
 
 
-@register("render_tool_turns", TOOLS_CTE + """
-SELECT conv_id, turn, CASE WHEN role = 'user' THEN '<|start|>user<|message|>' || coalesce(text, '') || '<|end|>'
-  WHEN role = 'assistant' AND tool_name IS NOT NULL THEN
-    CASE WHEN coalesce(thinking, '') <> '' AND NOT later_answer THEN '<|start|>assistant<|channel|>analysis<|message|>' || thinking || '<|end|>' ELSE '' END
-    || '<|start|>assistant to=functions.' || tool_name || '<|channel|>commentary json<|message|>' || coalesce(text, '') || '<|call|>'
+# The rules of a turn, branch by branch.
+ANALYSIS, FINAL = "'<|start|>assistant<|channel|>analysis<|message|>'", "'<|start|>assistant<|channel|>final<|message|>'"
+TURN_SQL = f"""CASE WHEN role = 'user' THEN '<|start|>user<|message|>' || coalesce(text, '') || '<|end|>'
   WHEN role = 'tool' THEN '<|start|>functions.' || coalesce(last_tool, '') || ' to=assistant<|channel|>commentary<|message|>' || coalesce(text, '') || '<|end|>'
-  WHEN role = 'assistant' THEN '<|start|>assistant<|channel|>final<|message|>' || coalesce(text, '') || '<|end|>' ELSE '' END AS rendered FROM t""")
+  WHEN role <> 'assistant' THEN ''
+  WHEN tool_name IS NOT NULL THEN
+    CASE WHEN later_answer THEN '' WHEN coalesce(text, '') <> '' THEN {ANALYSIS} || text || '<|end|>'
+         WHEN coalesce(thinking, '') <> '' THEN {ANALYSIS} || thinking || '<|end|>' ELSE '' END
+    || '<|start|>assistant to=functions.' || tool_name || '<|channel|>commentary ' || coalesce(content_type, 'json') || '<|message|>' || coalesce(arguments, '') || '<|call|>'
+  WHEN thinking IS NOT NULL THEN {ANALYSIS} || thinking || '<|end|>'
+  ELSE {FINAL} || coalesce(text, '') || '<|end|>' END"""
+
+
+@register("render_tool_turns", TOOLS_CTE + f"SELECT conv_id, turn, {TURN_SQL} AS rendered FROM t")
 def q_render_tools(spark, sf):
     return Pr.tool_turns(fixture(spark, sf, "fx_tools")).select("conv_id", "turn", Pr.render_turn().alias("rendered"))
+
+
+# ---- tools in the prompt: the expected block of each layout, written out by hand
+_SPACE = " " * 16
+BLOCKS = [
+    "// Time of part @key.\ntype now = () => any;\n\n",
+    "// Finds @brand.\ntype find = (_: {\n// what to find\nquery: string,\ntop?: number, // default: @size,\n}) => any;\n\n// Time.\ntype now = () => any;\n\n",
+    "// Picks.\ntype pick = (_: {\nkind?: \"small\" | \"@brand\", // default: small,\nname?: string | null, // default: \"a, b: @key\",\n}) => any;\n\n",
+    "// Lists.\ntype lists = (_: {\ntags?: string[], // default: [\"x,y\", \"@brand\"],\nnums?: number[] | null,\ngrid: number[][],\nrest?: any[],\nflags?: boolean[],\n}) => any;\n\n",
+    "// Nested.\ntype deep = (_: {\nbox?: {\nb: \n" + _SPACE + "boolean, a?: \n" + _SPACE + "{\nz?: \n" + _SPACE + "string | null}}, // default: {\"b\": true, \"a\": {\"z\": null}},\n"
+    "bag?: object,\nfar?: any[],\nnear?: {\nx?: \n" + _SPACE + "number}[],\n}) => any;\n\n",
+    "// Unions.\ntype either = (_: {\none?: string// a name" + " " * 20 + "// default: \"x\" | \nnumber// default: y,\ntwo?: any,\nthree?: string | null,\nfour?: any[],\nfive?: any,\n}) => any;\n\n",
+]
+
+
+def _block_sql() -> str:
+    def text(t: str) -> str:
+        quoted = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in t.split("\n"))
+        return f"replace(replace(replace({quoted}, '@key', CAST(set_id AS VARCHAR)), '@brand', p_brand), '@size', CAST(p_size AS VARCHAR))"
+    cases = " ".join(f"WHEN {i} THEN " + text("## functions\n\nnamespace functions {\n\n" + b + "} // namespace functions") for i, b in enumerate(BLOCKS))
+    return f"CASE layout {cases} END"
+
+
+@register("tools_block", duck_with("fx_tool_lists") + f"SELECT set_id, {_block_sql()} AS tools_block FROM fx_tool_lists")
+def q_tools_block(spark, sf):
+    return T.with_tools_block(fixture(spark, sf, "fx_tool_lists").select("set_id", "tools")).select("set_id", "tools_block")
+
+
+def _system_sql(date: str) -> str:
+    head = f"{Pr.MODEL_IDENTITY}\nKnowledge cutoff: {Pr.KNOWLEDGE_CUTOFF}\nCurrent date: {date}\n\nReasoning: {Pr.DEFAULT_REASONING_EFFORT}\n\n{Pr.CHANNELS_LINE}"
+    quoted = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in head.split("\n"))
+    return (f"'<|start|>system<|message|>' || {quoted} || CASE WHEN b IS NULL THEN '' ELSE chr(10) || 'Calls to these tools must go to the commentary channel: ''functions''.' END || '<|end|>'")
+
+
+_BOTH = "coalesce(CASE WHEN coalesce(dev, '') <> '' THEN '# Instructions' || chr(10) || chr(10) || dev END, '') || CASE WHEN coalesce(dev, '') <> '' AND b IS NOT NULL THEN chr(10) || chr(10) ELSE '' END || coalesce('# Tools' || chr(10) || chr(10) || b, '')"
+
+
+@register("render_tool_chats", TOOLS_CTE + f""", {duck_with("fx_tool_lists")[5:].strip()}
+, r AS (SELECT conv_id, string_agg({TURN_SQL}, '' ORDER BY turn) AS body,
+          max(CASE WHEN role IN ('system', 'developer') AND turn = f THEN text END) AS dev
+        FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS f FROM t) GROUP BY conv_id),
+c AS (SELECT r.*, {_block_sql()} AS b FROM r LEFT JOIN fx_tool_lists l ON l.set_id = r.conv_id)
+SELECT conv_id, {_system_sql("2025-01-01")} || CASE WHEN {_BOTH} = '' THEN '' ELSE '<|start|>developer<|message|>' || {_BOTH} || '<|end|>' END
+  || body || '<|start|>assistant' AS rendered FROM c""")
+def q_render_tool_chats(spark, sf):
+    """Whole conversations with calls, each with the tool list of the part of its number."""
+    lists = fixture(spark, sf, "fx_tool_lists").select(F.col("set_id").alias("conv_id"), "tools")
+    return Pr.render_tool_chats(Pr.tool_turns(fixture(spark, sf, "fx_tools")), lists)

@@ -146,15 +146,59 @@ def _long_chats(engine: str) -> str:
 
 
 # Turns with tool calls: every third conversation's assistant calls a tool on its
-# first turn, the next turn holds the result; some chats break the rules.
+# first turn (beside content, thinking, both or nothing), the next turn holds the
+# result; some of these chats end there, some break the rules.
 FX_TOOLS = """
-SELECT conv_id, turn,
-       CASE WHEN conv_id % 3 = 0 AND turn = 2 THEN 'tool' WHEN conv_id % 7 = 1 AND turn = 0 THEN 'tool' ELSE role END AS role, text,
-       CASE WHEN conv_id % 3 = 0 AND turn = 1 AND role = 'assistant' THEN concat('search', CAST(conv_id % 2 AS VARCHAR(2))) END AS tool_name,
-       CASE WHEN conv_id % 11 = 0 AND turn = 1 THEN '<|channel|>final<|message|>x' WHEN conv_id % 4 = 0 AND turn = 1 THEN 'thought' END AS thinking
-FROM conversations
+SELECT conv_id, turn, role,
+       CASE WHEN tool_name IS NOT NULL AND conv_id % 5 < 3 THEN '' ELSE text END AS text, tool_name,
+       CASE WHEN conv_id % 11 = 0 AND turn = 1 THEN '<|channel|>final<|message|>x' WHEN conv_id % 4 = 0 AND turn = 1 THEN 'thought' END AS thinking,
+       CASE WHEN tool_name IS NOT NULL THEN concat('{"query": "', CAST(conv_id AS VARCHAR(20)), '"}') END AS arguments,
+       CASE WHEN tool_name IS NOT NULL AND conv_id % 9 = 0 THEN 'code' END AS content_type
+FROM (SELECT conv_id, turn, text,
+       CASE WHEN conv_id % 3 = 0 AND turn = 2 THEN 'tool' WHEN conv_id % 7 = 1 AND turn = 0 THEN 'tool'
+            WHEN conv_id % 13 = 2 AND turn = 0 THEN 'system' ELSE role END AS role,
+       CASE WHEN conv_id % 3 = 0 AND turn = 1 AND role = 'assistant' THEN concat('search', CAST(conv_id % 2 AS VARCHAR(2))) END AS tool_name
+FROM conversations)
 """
 
+# Tool lists as JSON, one a part: eight layouts, with values of the part inside.
+def _tool(name: str, about: str, params: str | None) -> str:
+    body = f'"name": "{name}", "description": "{about}"' + (f', "parameters": {{"type": "object", {params}}}' if params else "")
+    return f'{{"type": "function", "function": {{{body}}}}}'
+
+
+TOOL_LISTS = [
+    [_tool("now", "Time of part @key.", None)],
+    [_tool("find", "Finds @brand.", '"properties": {"query": {"type": "string", "description": "what to find"}, "top": {"type": "integer", "default": @size}}, "required": ["query"]'),
+     _tool("now", "Time.", '"properties": {}')],
+    [_tool("pick", "Picks.", '"properties": {"kind": {"type": "string", "enum": ["small", "@brand"], "default": "small"}, "name": {"type": "string", "nullable": true, "default": "a, b: @key"}}')],
+    [_tool("lists", "Lists.", '"properties": {"tags": {"type": "array", "items": {"type": "string"}, "default": ["x,y", "@brand"]}, "nums": {"type": "array", "items": {"type": "integer"}, "nullable": true}, '
+           '"grid": {"type": "array", "items": {"type": "array", "items": {"type": "number"}}}, "rest": {"type": "array"}, "flags": {"type": "array", "items": {"type": "boolean"}}}, "required": ["grid"]')],
+    [_tool("deep", "Nested.", '"properties": {"box": {"type": "object", "required": ["b"], "properties": {"b": {"type": "boolean"}, "a": {"type": "object", "properties": {"z": {"type": "string", "nullable": true}}}}, '
+           '"default": {"b": true, "a": {"z": null}}}, "bag": {"type": "object"}, "far": {"type": "array", "items": {"type": "object", "properties": {"first_long_name": {"type": "string"}, "second_long_name": {"type": "integer"}}}}, '
+           '"near": {"type": "array", "items": {"type": "object", "properties": {"x": {"type": "number"}}}}}')],
+    [_tool("either", "Unions.", '"properties": {"one": {"oneOf": [{"type": "string", "description": "a name", "default": "x"}, {"type": "integer"}], "default": "y"}, '
+           '"two": {"oneOf": [{"type": "object"}, {"type": "integer"}]}, "three": {"type": ["string", "null"]}, "four": {"type": "array", "items": {"type": ["object", "object"]}}, "five": {}}')],
+    [],
+    None,
+]
+
+
+def _tool_lists_sql() -> str:
+    def text(tools: list | None) -> str:
+        if tools is None:
+            return "NULL"
+        quoted = "'" + ("[" + ", ".join(tools) + "]").replace("'", "''") + "'"
+        for mark, value in (("@key", "CAST(p_partkey AS VARCHAR(20))"), ("@brand", "p_brand"), ("@size", "CAST(p_size AS VARCHAR(20))")):
+            quoted = f"replace({quoted}, '{mark}', {value})"
+        return quoted
+    cases = " ".join(f"WHEN {i} THEN {text(t)}" for i, t in enumerate(TOOL_LISTS))
+    n = len(TOOL_LISTS)
+    return f"\nSELECT p_partkey AS set_id, p_brand, p_size, CAST(p_partkey % {n} AS INT) AS layout, CASE CAST(p_partkey % {n} AS INT) {cases} END AS tools\nFROM part\n"
+
+
+FX_TOOL_LISTS = _tool_lists_sql()
+
 # Recorded outcomes of the distinct statements, and of code answers.
 FX_CODE_RUNS = """
 SELECT p_partkey AS completion_id, p_partkey % 5 <> 0 AS define_ok,
@@ -190,6 +234,7 @@ VIEWS = {
     "fx_chat": (FX_CHAT_SPARK, FX_CHAT_DUCK, ("conversations",)),
     "fx_chat_long": (_long_chats("spark"), _long_chats("duck"), ("documents",)),
     "fx_tools": (FX_TOOLS, FX_TOOLS, ("conversations",)),
+    "fx_tool_lists": (FX_TOOL_LISTS, FX_TOOL_LISTS, ("part",)),
     "fx_code_runs": (FX_CODE_RUNS, FX_CODE_RUNS, ("part",)),
     "fx_weights": (FX_WEIGHTS_SPARK, FX_WEIGHTS_DUCK, ("embeddings",)),
     "fx_matrix": (FX_MATRIX_SPARK, FX_MATRIX_DUCK, ("embeddings",)),
@@ -200,6 +245,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Build a derived view as a DataFrame (lazy; no temp view registered)."""
     sql, _, bases = VIEWS[name]
     params = {b: table(spark, sf_dir, b) for b in bases}
+    sql = sql.replace("{", "{{").replace("}", "}}")  # spark.sql formats the text
     for b in bases:
         # only the view's own FROM (the last one); string literals may contain "FROM <name>"
         head, sep, tail = sql.rpartition(f"FROM {b}")
