@@ -4,8 +4,7 @@ reasons, length statistics.
 Every chat record is one row with ``messages array<struct<role, content,
 thinking>>``; all per-record work is array higher-order functions inside a
 projection (no explode, no shuffle). Reports aggregate with partial
-aggregation; exact percentiles are over integer token lengths, whose
-distinct-value map stays small at any row count.
+aggregation; exact percentiles select ranks among counted lengths.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from ..config import LengthLimits
 from ..functions import parsing as P
 from ..functions.text import col, py_strip, py_words
 from . import tools as T
+from .ranks import counted_values, quantiles
 
 # --- fixed values: chat template text -----------------------------------------
 MODEL_IDENTITY = "You are ChatGPT, a large language model trained by OpenAI."
@@ -225,24 +225,24 @@ def truncation_report(lengths: DataFrame, limits: LengthLimits = LengthLimits())
 def token_stats(lengths: DataFrame) -> DataFrame:
     """min/max/mean/median/population std/P90/P95/P99 (linear interpolation)
     per length series; completion-side series only over records with an
-    assistant message. One wide aggregate, reshaped to one row per series."""
-    series = {"prompt": (F.col("prompt_tokens"), None),
-              "completion": (F.col("completion_tokens"), F.col("has_assistant")),
-              "thinking": (F.col("thinking_tokens"), F.col("has_assistant")),
-              "sql": (F.col("content_tokens"), F.col("has_assistant")),
-              "total": (F.col("total_tokens"), None)}
-    aggs, parts = [], []
-    for name, (c, cond) in series.items():
-        v = c if cond is None else F.when(cond, c)
-        at = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}  # one buffer of distinct lengths a series
-        stats = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_pop(v), "n": F.count(v),
-                 "at": F.percentile(v, F.array(*[F.lit(q) for q in at.values()]))}
-        aggs += [e.alias(f"{name}__{k}") for k, e in stats.items()]
-        parts.append(F.struct(
-            F.lit(name).alias("series"), *[F.col(f"{name}__{k}").cast("bigint" if k in ("min", "max", "n") else "double").alias(k)
-                                           for k in stats if k != "at"],
-            *[F.get(f"{name}__at", i).alias(k) for i, k in enumerate(at)]))
-    return lengths.agg(*aggs).select(F.inline(F.array(*parts)))
+    assistant message; every series has a row. Lengths are counted first
+    (map-side); all statistics, the quantiles by rank, come from these counts,
+    in whole numbers as far as possible."""
+    spark = lengths.sparkSession
+    told = F.col("has_assistant")
+    series = {"prompt": F.col("prompt_tokens"), "completion": F.when(told, F.col("completion_tokens")),
+              "thinking": F.when(told, F.col("thinking_tokens")), "sql": F.when(told, F.col("content_tokens")), "total": F.col("total_tokens")}
+    long = lengths.select(F.explode(F.array(*[F.struct(F.lit(k).alias("series"), v.cast("bigint").alias("v")) for k, v in series.items()])).alias("x")).select("x.*")
+    counted = counted_values(long, ["series"], "v")
+    v, n = F.col("v").cast("decimal(19,0)"), F.col("_n").cast("decimal(19,0)")
+    sums = counted.groupBy("series").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sum("_n").alias("n"),
+                                         F.sum((v * n).cast("decimal(38,0)")).alias("s"), F.sum((v * v * n).cast("decimal(38,0)")).alias("ss"))
+    spread = F.sqrt(F.greatest((F.col("ss") * F.col("n") - F.col("s") * F.col("s")).cast("double"), F.lit(0.0))) / F.col("n")
+    at = quantiles(counted, ["series"], "v", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
+    names = spark.createDataFrame([(k,) for k in series], "series string")  # five rows
+    return F.broadcast(names).join(sums, "series", "left").join(at, "series", "left").select(
+        "series", "min", "max", (F.col("s").cast("double") / F.col("n")).alias("mean"), spread.alias("std"),
+        F.coalesce("n", F.lit(0)).alias("n"), "median", "p90", "p95", "p99")
 
 
 def length_histogram(lengths: DataFrame, col_name: str = "prompt_tokens") -> DataFrame:

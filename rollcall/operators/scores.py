@@ -7,8 +7,7 @@ explicit keys, never row positions.
 Scale notes: every report aggregates first (partial aggregation on the map
 side) and reshapes the small aggregate afterwards, so no per-rollout row
 expansion reaches a shuffle. Group statistics are joined back instead of
-computed in a window, so one huge prompt group is split by AQE's skew join
-rather than sorted inside a single task.
+computed in a window, and the rows of a huge prompt group are salted for it.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import RewardConfig
+from ..session import staged
+from .ranks import salted_join
 
 SCORE_COLS = {
     "format_reward": "format_score",
@@ -186,18 +187,18 @@ def group_diagnostics(df: DataFrame, cfg: RewardConfig, step_col: str = "step",
 
 
 def group_advantage(df: DataFrame, reward_col: str = "composite", keys: list[str] = ("step", "prompt_id"),
-                    eps: float = 1e-4) -> DataFrame:
+                    eps: float = 1e-4, hot_rows: int = 100_000) -> DataFrame:
     """Group-relative advantage ``(r - mean_g) / (std_g + eps)``.
 
     ``std_g`` is the sample standard deviation (NULL → 0 for one-row groups).
-    Group statistics come from a hash aggregate joined back on the group key
-    (skewed groups are split by AQE's skew join; a window would sort one hot
-    group inside one task).
+    Group statistics come from a hash aggregate, written once and joined back;
+    the rows of groups above ``hot_rows`` are salted (``ranks.salted_join``).
     """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(F.avg(reward_col).alias("group_mean"),
-                                  F.coalesce(F.stddev_samp(reward_col), F.lit(0.0)).alias("group_std"))
-    return (df.join(stats, keys)
+    stats = staged(df.groupBy(*keys).agg(
+        F.avg(reward_col).alias("group_mean"), F.coalesce(F.stddev_samp(reward_col), F.lit(0.0)).alias("group_std"),
+        F.count(F.lit(1)).alias("_rows")), "group-stats")
+    return (salted_join(df, stats, keys, "_rows", hot_rows)
             .withColumn("advantage", (F.col(reward_col) - F.col("group_mean")) / (F.col("group_std") + F.lit(eps))))
 
 

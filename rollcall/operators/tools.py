@@ -15,12 +15,9 @@ name or description is empty.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import checkpoint_dir
+from ..session import staged
 
 # --- fixed values: layout of the tools text --------------------------------------
 CALLS_LINE = "\nCalls to these tools must go to the commentary channel: 'functions'."
@@ -94,12 +91,6 @@ def spaced_json(compact: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t)), "")
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _truthy(text: Column) -> Column:
     """A JSON value, as text, that counts as given: not empty, zero, false or null."""
     return F.coalesce(~text.isin("", "{}", "[]", "null", "false", "0"), F.lit(False))
@@ -175,7 +166,7 @@ def schema_types(schemas: DataFrame) -> DataFrame:
     """(json, text): the type of every distinct JSON schema text in column ``json``."""
     levels, level = [], _described(schemas.select("json").where("json is not null").distinct())
     while True:
-        level = _staged(level, "schema-level")
+        level = staged(level, "schema-level")
         if not level.head(1):
             break
         levels.append(level)
@@ -187,7 +178,7 @@ def schema_types(schemas: DataFrame) -> DataFrame:
             .join(types, "json", "left").select("of", "at", "name", F.coalesce("text", F.lit("any")).alias("text"), *_with_default("json"))
         kids = kid.groupBy("of").agg(F.array_sort(F.collect_list(F.struct(
             "at", "name", "text", "description", "has_default", "default"))).alias("kids"))  # bounded by one schema's text
-        types = _staged(level.join(kids, level["json"] == kids["of"], "left").select("json", _text(F.col("kids")).alias("text")), "schema-types")
+        types = staged(level.join(kids, level["json"] == kids["of"], "left").select("json", _text(F.col("kids")).alias("text")), "schema-types")
     return types
 
 
@@ -197,7 +188,7 @@ def tool_namespaces(lists: DataFrame, tools_col: str = "tools", namespace: str =
         .withColumn("list", F.from_json("tools", "array<string>")).where("size(list) > 0") \
         .select("tools", F.posexplode("list").alias("tool", "json")).select("tools", "tool", F.from_json("json", _TOOL)["function"].alias("f")) \
         .withColumn("p", F.from_json("f.parameters", "properties MAP<STRING, STRING>, required ARRAY<STRING>"))
-    tool = _staged(tool.select("tools", "tool", F.coalesce("f.name", F.lit("")).alias("name"), F.coalesce("f.description", F.lit("")).alias("description"),
+    tool = staged(tool.select("tools", "tool", F.coalesce("f.name", F.lit("")).alias("name"), F.coalesce("f.description", F.lit("")).alias("description"),
                                F.map_entries("p.properties").alias("entries"), F.coalesce("p.required", F.array().cast("array<string>")).alias("required")), "tools")
     param = tool.select("tools", "tool", "required", F.posexplode("entries").alias("at", "e")).select(
         "tools", "tool", "required", "at", F.col("e.key").alias("param"), F.col("e.value").alias("json"))

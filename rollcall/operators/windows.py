@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import checkpoint_dir
+from ..session import staged
 
 
 def first_k_per_step(df: DataFrame, k: int, step_col: str = "step",
@@ -26,12 +23,8 @@ def _numbered(df: DataFrame, by: str, order: str, out: str) -> DataFrame:
     partitions before it end. The offsets are one row per partition and key. The
     numbered rows are written once to the shared folder: offsets and result must
     see the same partitions, which a second range exchange does not promise."""
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"positions-{uuid.uuid4().hex}")
     parts = df.repartitionByRange(by, order).withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn("_at", F.row_number().over(W.partitionBy("_part", by).orderBy(order)))
-    inside.write.parquet(path)
-    inside = spark.read.schema(inside.schema).parquet(path)
+    inside = staged(parts.withColumn("_at", F.row_number().over(W.partitionBy("_part", by).orderBy(order))), "positions")
     ends = inside.groupBy(F.col("_part").alias("_p"), F.col(by).alias("_by")).agg(F.max("_at").alias("_n"))
     before = ends.withColumn("_before", F.coalesce(F.sum("_n").over(
         W.partitionBy("_by").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -49,12 +42,13 @@ def positional_groups(df: DataFrame, num_generations: int, step_col: str = "step
 
 
 def call_counter(df: DataFrame, batch_col: str = "step") -> DataFrame:
-    """Sequential call number per batch key (dense rank): the distinct keys are
-    range-partitioned and numbered, then joined back."""
-    keys = df.select(batch_col).distinct().repartitionByRange(batch_col).withColumn("_part", F.spark_partition_id())
-    inside = keys.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(batch_col)))
+    """Sequential call number per batch key (dense rank; a null key comes first):
+    the distinct keys are range-partitioned and numbered, written once, then
+    joined back. The offsets and the numbers see the same written partitions."""
+    keys = df.select(F.col(batch_col).alias("_key")).distinct().repartitionByRange("_key").withColumn("_part", F.spark_partition_id())
+    inside = staged(keys.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy("_key"))), "call-numbers")
     # one row per partition: the only window without a key
     ends = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) \
         .withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = inside.join(ends, "_part").select(batch_col, (F.col("_at") + F.col("_before")).cast("bigint").alias("call_no"))
-    return df.join(ranked, batch_col)
+    ranked = inside.join(ends, "_part").select("_key", (F.col("_at") + F.col("_before")).cast("bigint").alias("call_no"))
+    return df.join(ranked, F.col(batch_col).eqNullSafe(F.col("_key"))).drop("_key")

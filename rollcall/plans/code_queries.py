@@ -102,6 +102,22 @@ def q_timing(spark, sf):
     return C.timing_summary(fixture(spark, sf, "fx_timing"))
 
 
+@register("timing_per_loop", TM + """
+, d AS (SELECT kernel_id, outcome, elapsed_ns // greatest(loops, 1) AS ns FROM fx_timing)
+SELECT kernel_id, CAST(trunc(quantile_cont(ns, 0.5)) AS BIGINT) AS median_ns, CAST(trunc(avg(ns)) AS BIGINT) AS mean_ns,
+  CAST(trunc(CASE WHEN count(ns) > 1 THEN stddev_pop(ns) ELSE 0 END) AS BIGINT) AS stdev_ns,
+  CAST(count_if(outcome = 'timeout') AS BIGINT) AS timeouts, CAST(count_if(outcome = 'exception') AS BIGINT) AS exceptions, count(*) AS trials
+FROM d GROUP BY kernel_id""")
+def q_timing_per_loop(spark, sf):
+    return C.timing_summary(fixture(spark, sf, "fx_timing"), loops_col="loops")
+
+
+@register("timing_exceptions", TM + """
+SELECT kernel_id, coalesce(error, '') AS text, count(*) AS n FROM fx_timing WHERE outcome = 'exception' GROUP BY 1, 2""")
+def q_timing_exceptions(spark, sf):
+    return C.timing_exceptions(fixture(spark, sf, "fx_timing"))
+
+
 @register("speed_check", SUMMARY_CTE + """
 , b AS (SELECT *, first_value(median_ns) OVER (ORDER BY kernel_id) AS base_ns FROM s)
 SELECT kernel_id, median_ns, base_ns, round(greatest(-10.0, least(10.0, CASE WHEN median_ns >= base_ns
@@ -149,6 +165,26 @@ def q_matrix_error(spark, sf):
     return e.select(F.round("amax_error", 4).alias("amax_error"), F.round("mse_error", 4).alias("mse_error"))
 
 
+@register("gram_matrix", duck_with("fx_matrix") + """
+SELECT a.j AS i, b.j, round(sum(a.v * b.v), 4) AS v FROM fx_matrix a JOIN fx_matrix b ON a.i = b.i GROUP BY a.j, b.j""")
+def q_gram(spark, sf):
+    """The embeddings' transpose times the embeddings: two matrices that both
+    grow, a result bounded by the width."""
+    e = fixture(spark, sf, "fx_matrix")
+    return C.matmul_blocks(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), e).select("i", "j", F.round("v", 4).alias("v"))
+
+
+@register("matrix_errors", duck_with("fx_real_cells", "fx_pred_cells") + """
+, n AS (SELECT task_id, count(*) AS cells FROM fx_real_cells GROUP BY task_id),
+d AS (SELECT completion_id, p.task_id, p.v - r.v AS d FROM fx_pred_cells p LEFT JOIN fx_real_cells r USING (task_id, i, j)),
+e AS (SELECT completion_id, task_id, count(*) AS n, count(d) AS both_sides, max(d) AS amax, avg(d * d) AS mse FROM d GROUP BY completion_id, task_id)
+SELECT completion_id, CASE WHEN n <> cells OR both_sides <> n THEN 5.0 ELSE amax END AS amax_error,
+  round(CASE WHEN n <> cells OR both_sides <> n THEN 5.0 ELSE mse END, 6) AS mse_error FROM e JOIN n USING (task_id)""")
+def q_matrix_errors(spark, sf):
+    out = C.matrix_errors(fixture(spark, sf, "fx_pred_cells"), fixture(spark, sf, "fx_real_cells"))
+    return out.select("completion_id", "amax_error", F.round("mse_error", 6).alias("mse_error"))
+
+
 def _band_sql(x):
     return (f"CASE WHEN {x} >= 3 THEN -3.0 WHEN {x} >= 2 THEN -2.5 WHEN {x} >= 1 THEN -2.0 WHEN {x} >= 0.5 THEN -1.0 "
             f"WHEN {x} >= {100 * C.BAND_EPS!r} THEN 0.0 WHEN {x} >= {C.BAND_EPS!r} THEN 1.0 ELSE 3.0 END")

@@ -82,10 +82,24 @@ FROM events GROUP BY CAST(floor(event_id / 1000) AS BIGINT), CAST(floor((event_i
 FX_TIMING = """
 SELECT user_id AS kernel_id, event_id AS trial,
        CAST(floor(value * 1000) AS BIGINT) + 1 AS elapsed_ns,
-       CASE event_type WHEN 'error' THEN 'exception' WHEN 'signup' THEN 'timeout' ELSE 'ok' END AS outcome
+       CASE event_type WHEN 'error' THEN 'exception' WHEN 'signup' THEN 'timeout' ELSE 'ok' END AS outcome,
+       CAST(event_id % 4 AS INT) AS loops,
+       CASE WHEN event_type = 'error' AND event_id % 6 <> 0 THEN concat('ValueError: ', CAST(event_id % 5 AS VARCHAR(4))) END AS error
 FROM events
 """
 
+# Predicted matrices (two completions a task) against the tasks' matrices: a column
+# of quantities; some predictions are off, miss a cell or hold a NULL.
+FX_REAL_CELLS = """
+SELECT l_orderkey AS task_id, CAST(l_linenumber AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(l_quantity AS DOUBLE) AS v FROM lineitem
+"""
+FX_PRED_CELLS = """
+SELECT l_orderkey * 2 + r AS completion_id, l_orderkey AS task_id, CAST(l_linenumber AS BIGINT) AS i, CAST(0 AS BIGINT) AS j,
+       CASE WHEN l_orderkey % 11 = 0 AND r = 1 AND l_linenumber = 2 THEN NULL
+            ELSE CAST(l_quantity AS DOUBLE) + CAST((l_orderkey * 3 + r * l_linenumber) % 5 AS DOUBLE) / 4 - 0.5 END AS v
+FROM lineitem, (SELECT 0 AS r UNION ALL SELECT 1) copies WHERE NOT (l_orderkey % 7 = 0 AND r = 0 AND l_linenumber = 1)
+"""
+
 FX_CODE = """
 SELECT p_partkey AS completion_id, CAST(p_partkey % 8 AS INT) AS template,
        CASE CAST(p_partkey % 8 AS INT)
@@ -236,6 +250,8 @@ VIEWS = {
     "fx_tools": (FX_TOOLS, FX_TOOLS, ("conversations",)),
     "fx_tool_lists": (FX_TOOL_LISTS, FX_TOOL_LISTS, ("part",)),
     "fx_code_runs": (FX_CODE_RUNS, FX_CODE_RUNS, ("part",)),
+    "fx_real_cells": (FX_REAL_CELLS, FX_REAL_CELLS, ("lineitem",)),
+    "fx_pred_cells": (FX_PRED_CELLS, FX_PRED_CELLS, ("lineitem",)),
     "fx_weights": (FX_WEIGHTS_SPARK, FX_WEIGHTS_DUCK, ("embeddings",)),
     "fx_matrix": (FX_MATRIX_SPARK, FX_MATRIX_DUCK, ("embeddings",)),
 }
