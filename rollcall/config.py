@@ -69,6 +69,8 @@ class RewardConfig:
     num_generations: int = NUM_GENERATIONS
     #: Registered rewards: name -> (score column, (min, max)).
     extra: dict = field(default_factory=dict)
+    #: Rewards computed by functions (``operators.reward_functions``).
+    functions: tuple = ()
 
     def with_reward(self, name: str, score_col: str, span: tuple[float, float], weight: float = 1.0,
                     enabled: bool = True) -> "RewardConfig":

@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import parsing as P
 from ..functions.text import col, count_occurrences, find, py_lstrip, py_strip, py_words
+from .execution import resolve_database, syntax_score
+from .matching import result_score
 
 
-def _gold_features(df: DataFrame, gt_col: str, features) -> DataFrame:
+def _gold_features(df: DataFrame, gt_col: str, features, gold: DataFrame | None = None) -> DataFrame:
     """Gold SQL and its features (``features(frame with _g)``), once for each
-    distinct gold text, joined back: generations of one prompt share it."""
-    gold = features(P.add_gt_sql(df.select(F.col(gt_col).alias("_gold")).distinct(), "_gold", "_g"))
-    return df.join(gold, F.col(gt_col).eqNullSafe(F.col("_gold")), "left").drop("_gold")
+    distinct gold text, joined back: generations of one prompt share it. ``gold``
+    is a static frame with the texts, for a stream, which has no distinct ones."""
+    texts = (df if gold is None else gold).select(F.col(gt_col).alias("_gold")).distinct()
+    return df.join(features(P.add_gt_sql(texts, "_gold", "_g")), F.col(gt_col).eqNullSafe(F.col("_gold")), "left").drop("_gold")
 
 
-def ngram_similarity_reward(df: DataFrame, sql_col: str, gt_col: str, out: str = "ngram_score") -> DataFrame:
+def ngram_similarity_reward(df: DataFrame, sql_col: str, gt_col: str, out: str = "ngram_score", gold: DataFrame | None = None) -> DataFrame:
     """2 × mean Jaccard of token 1/2/3-gram sets; 0 when either SQL or
     either token list is empty. ``gt_col`` holds raw gold text. Token lists and
     n-gram sets are columns of their own, computed once."""
@@ -28,7 +31,7 @@ def ngram_similarity_reward(df: DataFrame, sql_col: str, gt_col: str, out: str =
         d = d.withColumn(f"_t{side}", P.tokenize_sql(F.col(sql)))
         return d.withColumns({f"_{side}{n}": P.ngram_set(f"_t{side}", n) for n in (1, 2, 3)})
 
-    d = grams(_gold_features(df, gt_col, lambda g: grams(g, "_g", "g")), sql_col, "p")
+    d = grams(_gold_features(df, gt_col, lambda g: grams(g, "_g", "g"), gold), sql_col, "p")
     sims = [P.jaccard(f"_p{n}", f"_g{n}") for n in (1, 2, 3)]
     score = F.when((F.col(sql_col) == "") | (F.col("_g") == "") | (F.size("_tp") == 0) | (F.size("_tg") == 0),
                    F.lit(0.0)).otherwise((sims[0] + sims[1] + sims[2]) / 3 * 2.0)
@@ -36,10 +39,10 @@ def ngram_similarity_reward(df: DataFrame, sql_col: str, gt_col: str, out: str =
 
 
 def schema_linking_reward(df: DataFrame, sql_col: str, gt_col: str, out: str = "schema_score",
-                          strict: bool = False) -> DataFrame:
+                          strict: bool = False, gold: DataFrame | None = None) -> DataFrame:
     """2 × Jaccard of referenced schema items (aliases resolved); 0 when
     either SQL is missing. Item sets are columns of their own, computed once."""
-    d = _gold_features(df, gt_col, lambda g: P.add_schema_items(g, "_g", "_ig", strict))
+    d = _gold_features(df, gt_col, lambda g: P.add_schema_items(g, "_g", "_ig", strict), gold)
     d = P.add_schema_items(d, sql_col, "_ip", strict)
     score = F.when((F.col(sql_col) == "") | (F.col("_g") == ""), F.lit(0.0)).otherwise(2.0 * P.jaccard("_ip", "_ig"))
     return d.withColumn(out, score).drop("_g", "_ig", "_ip")
@@ -181,17 +184,27 @@ def schema_mentions(df: DataFrame, thinking_col: str, sql_col: str, schema_col:
             .withColumn("columns_in_sql", F.filter(cols, lambda x: F.instr(sq, x) > 0)))
 
 
-def thinking_quality_reward(df: DataFrame, text_col: str, prompt_col: str, out: str = "thinking_score") -> DataFrame:
+def with_prompt_schema(df: DataFrame, prompt_col: str, out: str = "schema") -> DataFrame:
+    """Adds the tables and columns that the prompt names, extracted once for each
+    distinct prompt and joined back: generations of one prompt share it."""
+    known = df.select(F.col(prompt_col).alias("_prompt")).distinct().withColumn(out, P.extract_prompt_schema(F.col("_prompt")))
+    return df.join(known, F.col(prompt_col).eqNullSafe(F.col("_prompt")), "left").drop("_prompt")
+
+
+def thinking_quality_reward(df: DataFrame, text_col: str, prompt_col: str, out: str = "thinking_score",
+                            schema_col: str | None = None) -> DataFrame:
     """Schema grounding, length band and thinking→SQL coherence, in [0, 2].
 
     Tables/columns named in the prompt are tested as substrings of the
     lower-cased thinking and SQL with ``filter`` over the (per-row, small)
-    name arrays: no join, no explode.
+    name arrays. ``schema_col``: the prompt's schema where it is known already
+    (``with_prompt_schema`` over the prompts); else it is extracted once for
+    each distinct prompt.
     """
+    df = with_prompt_schema(df, prompt_col, "_schema") if schema_col is None else df.withColumn("_schema", F.col(schema_col))
     d = P.add_parsed(df, text_col, "_tparsed")
     d = P.add_sql(d, text_col, "_sql", content_col="_tparsed.content")
-    d = (d.withColumn("_th", F.col("_tparsed.thinking")).drop("_tparsed")
-         .withColumn("_schema", P.extract_prompt_schema(F.col(prompt_col))))
+    d = d.withColumn("_th", F.col("_tparsed.thinking")).drop("_tparsed")
     th = F.lower(F.col("_th"))
     sq = F.lower(F.col("_sql"))
     tabs, cols = F.col("_schema.tables"), F.col("_schema.columns")
@@ -218,10 +231,27 @@ def thinking_quality_reward(df: DataFrame, text_col: str, prompt_col: str, out:
 
 def syntax_execution_reward(df: DataFrame, sql_col: str, db_path_col: str, success_col: str,
                             out: str = "syntax_score") -> DataFrame:
-    """0 without SQL or database; +2 when the statement ran; -2 when it failed.
-    ``success_col`` comes from the execution table (joined on (db, sql))."""
-    s = F.col(sql_col)
-    score = (F.when((s.isNull()) | (py_strip(s) == ""), 0.0)
-             .when(F.coalesce(F.col(db_path_col), F.lit("")) == "", 0.0)
-             .when(F.col(success_col), 2.0).otherwise(-2.0))
-    return df.withColumn(out, score)
+    """0 without SQL, database or recorded outcome; +2 when the statement ran; -2
+    when it failed. ``success_col`` comes from the execution table (joined on
+    (db, sql))."""
+    has_sql = F.coalesce(py_strip(F.col(sql_col)), F.lit("")) != ""
+    return df.withColumn(out, syntax_score(has_sql, F.coalesce(F.col(db_path_col), F.lit("")) != "", F.col(success_col)))
+
+
+def score_with_outcomes(df: DataFrame, gold: DataFrame, catalogue: DataFrame, text_col: str = "completion",
+                        gt_col: str = "ground_truth_sql", db_col: str = "database_name") -> DataFrame:
+    """All four scores of raw completions that carry their recorded outcome
+    (``success``, ``n_pred``, ``n_gt``, ``n_common``, ``pred_cols``, ``gt_cols``;
+    NULL where there is none). Works on a batch and on a stream: gold texts and
+    databases are static frames."""
+    d = P.add_parsed(df, text_col)
+    d = P.add_sql(d, text_col, "sql", content_col="parsed.content")
+    d = resolve_database(d, db_col, catalogue)
+    d = syntax_execution_reward(d, "sql", "db_path", "success")
+    for c in ("n_pred", "n_gt", "n_common", "pred_cols", "gt_cols"):
+        d = d.withColumn(c, F.coalesce(F.col(c), F.lit(0)))
+    has = py_strip(F.col("sql")) != ""
+    d = d.withColumn("exact_match", (F.col("n_common") == F.col("n_pred")) & (F.col("n_common") == F.col("n_gt")))
+    d = result_score(d, has_gold=F.col("db_path") != "", pred_ok=has & F.coalesce(F.col("success"), F.lit(False)))
+    d = schema_linking_reward(d, "sql", gt_col, gold=gold)
+    return ngram_similarity_reward(d, "sql", gt_col, gold=gold)

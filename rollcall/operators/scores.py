@@ -102,6 +102,16 @@ def apply_weights_long(long_scores: DataFrame, weights: DataFrame, keys: list[st
             .agg(F.sum(F.coalesce(F.col("weight"), F.lit(0.0)) * F.col("score")).alias("composite")))
 
 
+def apply_weights(df: DataFrame, weights: DataFrame, cfg: RewardConfig, name: str = "composite") -> DataFrame:
+    """The weighted sum with weights from a table: they become one map, a scalar
+    subquery (one entry a component), and the sum is a projection. A component
+    without an enabled weight counts 0."""
+    one = weights.where("enabled").agg(F.map_from_entries(F.collect_list(F.struct("component", "weight"))).alias("w"))
+    w = one.scalar()
+    terms = [F.coalesce(F.try_element_at(w, F.lit(c)), F.lit(0.0)) * _score(df, c, cfg) for c in cfg.enabled_components()]
+    return df.withColumn(name, reduce(lambda a, b: a + b, terms, F.lit(0.0)))
+
+
 def reward_breakdown(df: DataFrame, cfg: RewardConfig, by: list[str] | None = None) -> DataFrame:
     """Per component: weight, mean, min, max, weight×mean; plus a TOTAL row.
 

@@ -128,9 +128,16 @@ def metric_points(df: DataFrame, value_cols: list[str], step_col: str = "step",
     return casted.unpivot(ids, value_cols, "tag", "value").where(F.col("value").isNotNull())
 
 
-def append_metric_points(points: DataFrame, path: str) -> None:
-    """Append sink, partitioned by tag (one folder per series)."""
-    points.write.mode("append").partitionBy("tag").parquet(path)
+def append_metric_points(points: DataFrame, path: str, batch: int) -> None:
+    """Append sink: every batch has a folder of its own, partitioned by tag, so
+    that writing a batch again (a retry) replaces it instead of doubling it."""
+    points.write.mode("overwrite").partitionBy("tag").parquet(f"{path}/batch={int(batch)}")
+
+
+def read_metric_points(spark, path: str) -> DataFrame:
+    """The points of all batches; the tag stays text."""
+    d = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    return d.withColumn("tag", F.col("tag").cast("string")).drop("batch")
 
 
 def sample_every_n(df: DataFrame, n: int, step_col: str = "step") -> DataFrame:

@@ -80,6 +80,14 @@ k AS (SELECT *, list_filter(tables, lambda v: contains(th, v)) AS tt, list_filte
 """
 
 
+def _with_schema(spark, sf):
+    """Completions with their prompt and its schema, extracted once a prompt."""
+    p = R.with_prompt_schema(fixture(spark, sf, "fx_prompts").select("prompt_id", "prompt"), "prompt")
+    d = dealt(fixture(spark, sf, "fx_completions"), "completion_id").join(p, "prompt_id", "left")
+    none = F.struct(F.array().cast("array<string>").alias("tables"), F.array().cast("array<string>").alias("columns"))
+    return d.withColumns({"prompt": F.coalesce("prompt", F.lit("")), "schema": F.coalesce("schema", none)})
+
+
 def _tq_cte():
     base = duck_with("fx_completions", "fx_prompts")
     ch = CHANNELS_CTE[CHANNELS_CTE.index(", a AS ("):]
@@ -101,22 +109,16 @@ SELECT completion_id, CAST(round(CASE WHEN length(regexp_replace(thinking, '^\\s
              WHEN len(list_filter(ct, lambda v: contains(sq, v))) / len(ct) >= 0.15 THEN 0.2 ELSE 0.0 END) ELSE 0.0 END)))
   END, 6) AS DOUBLE) AS thinking_score FROM k""")
 def q_thinking(spark, sf):
-    c = dealt(fixture(spark, sf, "fx_completions"), "completion_id")
-    p = fixture(spark, sf, "fx_prompts").select("prompt_id", "prompt")
-    d = c.join(p, "prompt_id", "left").withColumn("prompt", F.coalesce("prompt", F.lit("")))
-    return rounded(R.thinking_quality_reward(d, "completion", "prompt").select("completion_id", "thinking_score"))
+    return rounded(R.thinking_quality_reward(_with_schema(spark, sf), "completion", "prompt", schema_col="schema")
+                   .select("completion_id", "thinking_score"))
 
 
 @register("schema_mentions", _tq_cte() + """
 SELECT completion_id, CAST(len(tt) AS INTEGER) AS n_tables_in_thinking, CAST(len(ct) AS INTEGER) AS n_columns_in_thinking,
   CAST(len(ts) AS INTEGER) AS n_tables_in_sql, CAST(len(cs) AS INTEGER) AS n_columns_in_sql FROM k""")
 def q_mentions(spark, sf):
-    c = dealt(fixture(spark, sf, "fx_completions"), "completion_id")
-    p = fixture(spark, sf, "fx_prompts").select("prompt_id", "prompt")
-    d = c.join(p, "prompt_id", "left").withColumn("prompt", F.coalesce("prompt", F.lit("")))
-    d = P.add_parsed(d, "completion")
+    d = P.add_parsed(_with_schema(spark, sf), "completion")
     d = P.add_sql(d, "completion", "sql", content_col="parsed.content")
-    d = d.withColumn("schema", P.extract_prompt_schema(F.col("prompt")))
     m = R.schema_mentions(d, "parsed.thinking", "sql", "schema")
     return m.select("completion_id", *[F.size(c).alias(f"n_{c}") for c in
                                        ("tables_in_thinking", "columns_in_thinking", "tables_in_sql", "columns_in_sql")])

@@ -51,8 +51,15 @@ SELECT rollout_id, round(sum(CAST(w.weight AS DOUBLE) * l.score), 6) AS composit
 FROM l JOIN w USING (component) GROUP BY rollout_id""")
 def q_apply_weights(spark, sf):
     df = fixture(spark, sf, "fx_rollouts")
-    long = S.to_long(df, ["rollout_id"], CFG)
-    return rounded(S.apply_weights_long(long, S.weights_frame(spark, CFG), ["rollout_id"]))
+    return rounded(S.apply_weights(df, S.weights_frame(spark, CFG), CFG).select("rollout_id", "composite"))
+
+
+@register("apply_weights_long", RO + f"""
+SELECT step, prompt_id, round(sum({COMPOSITE_SQL}), 6) AS composite FROM fx_rollouts GROUP BY step, prompt_id""")
+def q_apply_weights_long(spark, sf):
+    """Scores that come as one row a component, summed by prompt group."""
+    long = S.to_long(fixture(spark, sf, "fx_rollouts"), ["step", "prompt_id"], CFG)
+    return rounded(S.apply_weights_long(long, S.weights_frame(spark, CFG), ["step", "prompt_id"]))
 
 
 _BREAK_PARTS = [("syntax_execution_reward", "syntax_score", 0.2), ("result_reward", "result_score", 1.0),

@@ -11,6 +11,7 @@ from ..operators import code as C
 from ..operators import execution as X
 from ..operators import matching as M
 from ..operators import prepare as Pr
+from ..operators import reward_functions as Rf
 from ..operators import rewards as R
 from ..operators import scores as S
 from ..operators import tools as T
@@ -94,6 +95,54 @@ def q_register_reward(spark, sf):
     return S.component_means(d, cfg, ["step"])
 
 
+# ---- rewards given as functions
+STEADY = "CASE WHEN gen_idx = 3 THEN 0.0 WHEN syntax_score > 0 THEN 0.75 ELSE -0.5 END"
+
+
+def _steady(gen_idx, syntax_score):
+    """No score for the last generation, else by the syntax score."""
+    return [None if g == 3 else 0.75 if s > 0 else -0.5 for g, s in zip(gen_idx, syntax_score)]
+
+
+def _with_function():
+    return Rf.with_function(RewardConfig(), Rf.reward_function("steady", _steady, ["gen_idx", "syntax_score"], (-0.5, 0.75)), 0.4)
+
+
+FUNCTION_CTE = duck_with("fx_rollouts") + f", s AS (SELECT *, CAST({STEADY} AS DOUBLE) AS steady_score FROM fx_rollouts)\n"
+FUNCTION_COMPOSITE = "(" + EXACT_COMPOSITE + " + CAST(0.4 AS DECIMAL(6,4)) * CAST(steady_score AS DECIMAL(18,6)))"
+
+
+@register("function_reward", FUNCTION_CTE + f"""
+SELECT step, 'steady' AS component, CAST(0.4 AS DOUBLE) AS weight, {exact_avg('CAST(steady_score AS DECIMAL(18,6))')} AS mean, min(steady_score) AS min,
+  max(steady_score) AS max, 0.4 * ({exact_avg('CAST(steady_score AS DECIMAL(18,6))')}) AS weighted_mean FROM s GROUP BY step
+UNION ALL SELECT step, 'total', NULL, {exact_avg(FUNCTION_COMPOSITE)}, CAST(min({FUNCTION_COMPOSITE}) AS DOUBLE),
+  CAST(max({FUNCTION_COMPOSITE}) AS DOUBLE), NULL FROM s GROUP BY step""")
+def q_function_reward(spark, sf):
+    """A Python function as a reward in the breakdown."""
+    cfg = _with_function()
+    out = S.reward_breakdown(Rf.add_function_scores(fixture(spark, sf, "fx_rollouts"), cfg), cfg, ["step"])
+    return out.where("component IN ('steady', 'total')")
+
+
+@register("function_dominance", FUNCTION_CTE + f"""
+, g AS (SELECT step, prompt_id, min(CASE WHEN result_score > 0 THEN {COMPOSITE_SQL} + 0.4 * steady_score END) AS min_right,
+          max(CASE WHEN result_score < 0 THEN {COMPOSITE_SQL} + 0.4 * steady_score END) AS max_wrong FROM s GROUP BY step, prompt_id)
+SELECT CAST(6.0 AS DOUBLE) AS result_gap, round(CAST(0.2 * 4 + 0.3 * 2 + 0.3 * 2 + 0.4 * 1.25 AS DOUBLE), 6) AS max_other_advantage, true AS is_valid,
+  round(CAST((0.2 * 4 + 0.3 * 2 + 0.3 * 2 + 0.4 * 1.25) / 6 AS DOUBLE), 6) AS min_safe_result_weight,
+  count(*) AS n_groups, CAST(count_if(max_wrong >= min_right) AS BIGINT) AS n_groups_wrong_beats_right FROM g""")
+def q_function_dominance(spark, sf):
+    cfg = _with_function()
+    return rounded(S.dominance_check(Rf.add_function_scores(fixture(spark, sf, "fx_rollouts"), cfg), cfg))
+
+
+@register("function_sql", FUNCTION_CTE + "SELECT prompt_id, sum(CASE WHEN gen_idx <> 3 THEN steady_score END) AS steady, count(*) AS n FROM s GROUP BY prompt_id")
+def q_function_sql(spark, sf):
+    """The same function called from SQL."""
+    Rf.register(spark, _with_function().functions[0])
+    return spark.sql("SELECT prompt_id, sum(steady(gen_idx, syntax_score)) AS steady, count(*) AS n FROM {r} GROUP BY prompt_id",
+                     r=fixture(spark, sf, "fx_rollouts"))
+
+
 # ---- raw completion samples
 @register("sample_raw_completions", duck_with("fx_completions") + f"""
 , s AS (SELECT *, CAST(floor(prompt_id / 8) AS BIGINT) + 1 AS step FROM fx_completions),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..config import MAX_STEPS, NUM_GENERATIONS
 from ..operators import tracking as T
 from ..operators import windows as Wn
+from ..session import checkpoint_dir
 from ..sources.fixtures import duck_with, fixture
 from .registry import register, rounded
 
@@ -164,3 +168,15 @@ SELECT rollout_id, CAST(dense_rank() OVER (ORDER BY step) AS BIGINT) AS call_no
 def q_call_counter(spark, sf):
     d = Wn.call_counter(fixture(spark, sf, "fx_rollouts"))
     return d.select("rollout_id", F.col("call_no").cast("bigint"))
+
+
+@register("append_metric_points", duck_with("fx_metrics") + """
+SELECT tag, round(value, 6) AS value, step FROM (SELECT 'reward' AS tag, reward AS value, step FROM fx_metrics
+  UNION ALL SELECT 'reward_std', reward_std, step FROM fx_metrics) WHERE value IS NOT NULL""")
+def q_append_points(spark, sf):
+    """Points appended in two batches, the second one written twice (a retry)."""
+    path = os.path.join(checkpoint_dir(spark), f"points-{uuid.uuid4().hex}")
+    points = T.metric_points(fixture(spark, sf, "fx_metrics"), ["reward", "reward_std"])
+    for batch in (0, 1, 1):
+        T.append_metric_points(points.where(F.col("step") % 2 == batch), path, batch)
+    return rounded(T.read_metric_points(spark, path).select("tag", "value", "step"))

@@ -54,6 +54,38 @@ SELECT o_orderkey AS completion_id,
 FROM orders
 """
 
+# Completions with an arrival time, and when their outcome comes, in minutes (some
+# after the patience of ten, some never).
+FX_ARRIVALS_SPARK = FX_COMPLETIONS.replace("SELECT o_orderkey AS completion_id,", "SELECT o_orderkey AS completion_id, timestamp_seconds(1704067200 + o_orderkey) AS ts,")
+FX_ARRIVALS_DUCK = FX_COMPLETIONS.replace("SELECT o_orderkey AS completion_id,", "SELECT o_orderkey AS completion_id, make_timestamp((1704067200 + o_orderkey) * 1000000) AS ts,")
+FX_OUTCOMES = """
+SELECT o_orderkey AS completion_id, o_orderkey % 13 AS delay, o_custkey % 5 <> 0 AS success FROM orders WHERE o_orderkey % 17 <> 0
+"""
+
+# Recorded executions: sixty statements on four databases, one without files, one
+# statement never run; their rows come from the line items.
+FX_EXEC_ROLLOUTS = """
+SELECT o_orderkey AS rollout_id, concat('db', CAST(o_orderkey % 4 AS VARCHAR(4))) AS db,
+       CASE WHEN o_orderkey % 19 = 0 THEN '' WHEN o_orderkey % 23 = 0 THEN NULL
+            ELSE concat('SELECT a, b FROM t WHERE k = ', CAST(o_orderkey % 60 AS VARCHAR(4))) END AS sql,
+       CASE WHEN o_orderkey % 17 = 0 THEN ''
+            ELSE concat('SELECT a, b FROM t WHERE k = ', CAST((o_orderkey + o_orderkey % 3) % 60 AS VARCHAR(4))) END AS gt_sql
+FROM orders
+"""
+FX_EXECUTIONS = """
+SELECT concat('db', CAST(d AS VARCHAR(4))) AS db, concat('SELECT a, b FROM t WHERE k = ', CAST(s AS VARCHAR(4))) AS sql,
+       d <> 3 AND s % 13 <> 0 AS success, CASE WHEN d = 3 THEN 'Database not found' WHEN s % 13 = 0 THEN 'near "FROM": syntax error' END AS error
+FROM (SELECT DISTINCT o_orderkey % 60 AS s FROM orders) st, (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) dbs
+WHERE s <> 59
+"""
+FX_EXEC_ROWS = """
+SELECT concat('db', CAST(d AS VARCHAR(4))) AS db, concat('SELECT a, b FROM t WHERE k = ', CAST(s AS VARCHAR(4))) AS sql,
+       CASE WHEN s % 7 = 5 THEN concat(l_linestatus, CAST(l_linenumber AS VARCHAR(4)), CAST(s AS VARCHAR(4))) ELSE concat(l_returnflag, l_linestatus) END AS row_key,
+       CASE WHEN s % 10 = 3 THEN 1 ELSE 2 END AS n_cols
+FROM (SELECT l_orderkey % 60 AS s, l_returnflag, l_linestatus, l_linenumber FROM lineitem) r, (SELECT 0 AS d UNION ALL SELECT 1 UNION ALL SELECT 2) dbs
+WHERE s <> 59 AND s % 13 <> 0 AND s % 12 <> 0
+"""
+
 FX_PRED_ROWS = """
 SELECT l_orderkey AS candidate_id,
        concat(' ', upper(l_returnflag), ' ') AS c0, lower(l_linestatus) AS c1, CAST(l_quantity AS DOUBLE) AS c2
@@ -238,6 +270,11 @@ VIEWS = {
     "fx_rollouts": (FX_ROLLOUTS, FX_ROLLOUTS, ("events",)),
     "fx_rollouts_ts": (FX_ROLLOUTS_TS, FX_ROLLOUTS_TS, ("events",)),
     "fx_completions": (FX_COMPLETIONS, FX_COMPLETIONS, ("orders",)),
+    "fx_arrivals": (FX_ARRIVALS_SPARK, FX_ARRIVALS_DUCK, ("orders",)),
+    "fx_outcomes": (FX_OUTCOMES, FX_OUTCOMES, ("orders",)),
+    "fx_exec_rollouts": (FX_EXEC_ROLLOUTS, FX_EXEC_ROLLOUTS, ("orders",)),
+    "fx_executions": (FX_EXECUTIONS, FX_EXECUTIONS, ("orders",)),
+    "fx_exec_rows": (FX_EXEC_ROWS, FX_EXEC_ROWS, ("lineitem",)),
     "fx_pred_rows": (FX_PRED_ROWS, FX_PRED_ROWS, ("lineitem",)),
     "fx_gt_rows": (FX_GT_ROWS, FX_GT_ROWS, ("lineitem",)),
     "fx_metrics": (FX_METRICS, FX_METRICS, ("events",)),
