@@ -40,22 +40,12 @@ TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t\n\x0B\f\r ]"
 
 
 def count_tokens(text) -> Column:
-    """Token count with the native rule (JVM-side). A user tokenizer can be
-    plugged in with ``count_tokens_udf``."""
+    """Token count with the native rule (JVM-side). A vocabulary's own count
+    (``tokens.Vocabulary.count``) can stand in its place wherever ``count`` is a
+    parameter."""
     return F.size(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(TOKEN_RE), 0))
 
 
-def count_tokens_udf(encode):
-    """Arrow UDF around any ``encode(str) -> list[int]`` tokenizer."""
-    import pandas as pd
-    from pyspark.sql.types import IntegerType
-
-    @F.pandas_udf(IntegerType())
-    def _count(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: len(encode(t)) if t else 0).astype("int32")
-    return _count
-
-
 def prompt_messages(messages) -> Column:
     """Non-assistant messages as ``struct<role, content>``."""
     return F.transform(F.filter(col(messages), lambda m: m["role"] != "assistant"),
@@ -144,7 +134,7 @@ def render_chat(messages, add_generation_prompt: bool = True, reasoning_effort:
     return F.concat(system_block(date, reasoning_effort, builtin, tools_block), dev_block, body, gen)
 
 
-def with_lengths(df: DataFrame, messages_col: str = "messages", date: str = "2025-01-01") -> DataFrame:
+def with_lengths(df: DataFrame, messages_col: str = "messages", date: str = "2025-01-01", count=count_tokens) -> DataFrame:
     """Per record: rendered prompt and its tokens, first assistant's content /
     thinking tokens (0 without assistant), completion and total tokens."""
     pm = prompt_messages(F.col(messages_col))
@@ -153,9 +143,9 @@ def with_lengths(df: DataFrame, messages_col: str = "messages", date: str = "202
     content = F.coalesce(F.col("_asst.content"), F.lit(""))
     thinking = F.coalesce(F.col("_asst.thinking"), F.lit(""))
     return (d.withColumn("has_assistant", F.col("_asst").isNotNull())
-            .withColumn("prompt_tokens", count_tokens("prompt_text"))
-            .withColumn("content_tokens", F.when(F.col("has_assistant"), count_tokens(content)).otherwise(F.lit(0)))
-            .withColumn("thinking_tokens", F.when(F.col("has_assistant"), count_tokens(thinking)).otherwise(F.lit(0)))
+            .withColumn("prompt_tokens", count("prompt_text"))
+            .withColumn("content_tokens", F.when(F.col("has_assistant"), count(content)).otherwise(F.lit(0)))
+            .withColumn("thinking_tokens", F.when(F.col("has_assistant"), count(thinking)).otherwise(F.lit(0)))
             .withColumn("completion_tokens", F.col("content_tokens") + F.col("thinking_tokens"))
             .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
             .drop("_asst"))
@@ -163,7 +153,7 @@ def with_lengths(df: DataFrame, messages_col: str = "messages", date: str = "202
 
 def prepare_examples(df: DataFrame, limits: LengthLimits = LengthLimits(), messages_col: str = "messages",
                      db_cols: tuple = ("db_id", "database"), date: str = "2025-01-01",
-                     keep_dropped: bool = False) -> DataFrame:
+                     keep_dropped: bool = False, count=count_tokens) -> DataFrame:
     """Filter records with one ``drop_reason`` (first reason wins, in the
     reference's order) and project prepared examples. Never truncates.
 
@@ -176,13 +166,13 @@ def prepare_examples(df: DataFrame, limits: LengthLimits = LengthLimits(), messa
     d = df.withColumn("prompt", prompt_messages(m))
     d = d.withColumn("has_user", F.exists("prompt", lambda x: x["role"] == "user"))
     d = d.withColumn("prompt_text", render_chat(F.col("prompt"), True, date=date, has_thinking=False))
-    d = d.withColumn("prompt_tokens", count_tokens("prompt_text"))
+    d = d.withColumn("prompt_tokens", count("prompt_text"))
     d = d.withColumn("_asst", first_by_role(m, "assistant"))
     raw = F.coalesce(F.col("_asst.content"), F.lit(""))
     th = F.coalesce(F.col("_asst.thinking"), F.lit(""))
     d = (d.withColumn("gt_raw", raw).withColumn("ground_truth_thinking", th)
          .withColumn("gt_completion", F.concat(F.when(th != "", F.concat(th, F.lit("\n"))).otherwise(F.lit("")), raw))
-         .withColumn("gt_completion_tokens", F.when(F.col("_asst").isNotNull(), count_tokens("gt_completion"))
+         .withColumn("gt_completion_tokens", F.when(F.col("_asst").isNotNull(), count("gt_completion"))
                      .otherwise(F.lit(0))))
     reason = (F.when(~F.col("has_user"), "no_user_msg")
               .when(F.col("prompt_tokens") > limits.max_prompt_length, "prompt_too_long")

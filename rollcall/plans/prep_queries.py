@@ -11,6 +11,7 @@ from ..config import LengthLimits, MAX_SEQ_LENGTH, NUM_GENERATIONS
 from ..functions import parsing as P
 from ..functions.text import py_words
 from ..operators import prepare as Pr
+from ..operators import tokens as Tk
 from ..session import checkpoint_dir
 from ..sources import jsonl as J
 from ..sources.fixtures import duck_with, fixture
@@ -284,3 +285,20 @@ def q_write_prepared(spark, sf):
     path = _scratch(spark, "prepared")
     J.write_prepared(_prepared(spark, sf), path)
     return spark.read.parquet(path).select("conv_id", "ground_truth_sql", "database_name")
+
+
+# ---- token ids by a public vocabulary: no SQL form (byte-pair merges), tested against its library
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@register("token_ids")
+def q_token_ids(spark, sf):
+    from ..sources.tables import table
+    d = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return Tk.token_dump(d, "text", Tk.Vocabulary(spark, VOCABULARY)).select("conv_id", "turn", "pos", "id", "token", "more")
+
+
+@register("token_id_stats")
+def q_token_id_stats(spark, sf):
+    """Length statistics with the vocabulary's counts."""
+    return rounded(Pr.token_stats(Pr.with_lengths(_chat(spark, sf), count=Tk.Vocabulary(spark, VOCABULARY).count)))

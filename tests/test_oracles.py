@@ -24,7 +24,8 @@ def test_query_matches_oracle(spark, con, name):
 def test_only_the_training_data_queries_lack_sql():
     import re
 
-    assert all(re.match(r"op\d+_|pipeline$", n) for n in set(E.queries()) - set(NAMES))
+    # byte-pair merges have no SQL form either (tests/test_tokens.py)
+    assert all(re.match(r"op\d+_|pipeline$|token_id", n) for n in set(E.queries()) - set(NAMES))
 
 
 def test_entry_smoke(spark):
