@@ -171,17 +171,18 @@ def test_odd_rows(spark):
 
 def test_blocks_cover_the_radius(spark):
     """Any two fingerprints within the radius are found, by whatever bits they differ."""
-    rng = random.Random(1)
+    rng, n_words = random.Random(1), decontam.WORDS
     rows = []
     for n in range(200):
-        a = rng.getrandbits(128)
+        a = rng.getrandbits(64 * n_words)
         b = a
-        for bit in rng.sample(range(128), decontam.RADIUS + n % 2):
+        for bit in rng.sample(range(64 * n_words), decontam.RADIUS + n % 2):
             b ^= 1 << bit
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        rows.append((n, 30, *(signed(x >> (64 * w) & ((1 << 64) - 1)) for x in (a, b) for w in (0, 1))))
-    df = spark.createDataFrame(rows, "n long, len int, a0 long, a1 long, b0 long, b1 long")
-    left = df.select("n", "len", df.a0.alias("f0"), df.a1.alias("f1"))
-    right = df.select(df.n.alias("m"), "len", df.b0.alias("f0"), df.b1.alias("f1"))
+        rows.append((n, 30, *(signed(x >> (64 * w) & ((1 << 64) - 1)) for x in (a, b) for w in range(n_words))))
+    names = [f"{x}{w} long" for x in "ab" for w in range(n_words)]
+    df = spark.createDataFrame(rows, "n long, len int, " + ", ".join(names))
+    left = df.select("n", "len", *[df[f"a{w}"].alias(f"f{w}") for w in range(n_words)])
+    right = df.select(df.n.alias("m"), "len", *[df[f"b{w}"].alias(f"f{w}") for w in range(n_words)])
     found = {(r.n, r.m) for r in decontam.near_fingerprints(left, right, "n", "m", decontam.RADIUS).collect()}
     assert {(n, n) for n in range(0, 200, 2)} == {p for p in found if p[0] == p[1]}
