@@ -5,16 +5,24 @@ binned measures of a text and hits of a lexicon, learnt from the labelled rows,
 gives every document the posterior of each domain (rounded to ``STEP``).
 Documents get a nonnegative rate; the expected tokens of domain k are
 sum(rate x tokens x posterior_k). Projected gradient descent, from rate 1,
-minimises the squared relative errors against the targets:
+minimises sum_k (expected_k - target_k)**2 / natural_k, natural_k being the
+expected tokens at rate 1, with steps that are scaled by the tokens of a group:
 
-    e_k = (sum(rate x tokens x posterior_k) - target_k) / natural_k
+    e_k = (expected_k - target_k) / natural_k
     rate <- max(0, rate - sum_k(posterior_k x e_k))
 
+It ends when no rate moves by more than ``tolerance`` in a step, that is when
+the projected gradient is that small, or after ``rounds`` steps; domains whose
+posteriors hardly differ need many. The result tells which: ``unsettled`` is the
+largest move of the last step, 0 if within the tolerance, and ``residual`` what
+stays of the objective, as the root of its share of all tokens: 0 where the
+targets are met, more where nonnegative rates cannot meet them all.
+
 Documents with equal posteriors always have equal rates, so the descent runs
 over the table of distinct posteriors with their token sums; each iteration is
-one aggregation of K sums, and the rates follow from the history of the errors
-(at most ``rounds`` x K numbers on the driver). The number of distinct posteriors
-is bounded by the number of bin combinations, whatever the corpus.
+one aggregation of K sums, and every ``WRITTEN`` steps the rates are written. The
+number of distinct posteriors is bounded by the number of bin combinations
+(6048), whatever the corpus, so that table is broadcast to the documents.
 
 Main path: DataFrame functions only.
 
@@ -35,6 +43,8 @@ from .storage import stage
 #: Domains by (quality, toxic), and their default target shares.
 DOMAINS = {"good": 0.90, "good_toxic": 0.02, "low": 0.06, "low_toxic": 0.02}
 STEP = 1e-3
+#: Steps between two written tables of rates.
+WRITTEN = 30
 #: Upper edges of the bins of each measure.
 EDGES = {
     "word_length": (3.0, 4.5, 5.5, 7.0, 9.0),
@@ -112,39 +122,43 @@ def posteriors(rows: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[
 
 
 def _rate(history: list[list[float]], names: list[str]) -> Column:
-    """The rate after the steps of ``history``, for the posteriors of the row."""
+    """The rate after the steps of ``history``, from the row's rate and posteriors."""
     if not history:
-        return F.lit(1.0)
+        return F.col("rate")
     p = [F.col(f"p_{d}") for d in names]
     steps = F.array(*[reduce(lambda a, b: a + b, [F.lit(e) * x for e, x in zip(step, p)]) for step in history])
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - g))
-
+    return F.aggregate(steps, F.col("rate"), lambda r, g: F.greatest(F.lit(0.0), r - g))
 
-def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int = 60, tolerance: float = 1e-6):
-    """The error vectors of the descent over ``groups`` (n_tokens, p_*), until
-    no error changes by more than ``tolerance`` (targets met, or as near as
-    nonnegative rates get)."""
-    def totals(history):
-        r = groups.withColumn("r", _rate(history, names)).agg(
-            *[F.sum(F.col("r") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in names]).first()
-        return [float(r[d] or 0) for d in names]
 
-    natural = totals([])
+def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int = 120, tolerance: float = 1e-6) -> tuple[DataFrame, float, float]:
+    """(``groups`` with their ``rate``, residual, unsettled). ``groups``: n_tokens, p_*."""
+    groups = groups.withColumn("rate", F.lit(1.0))
+    p = [F.col(f"p_{d}") for d in names]
+    expected = [F.sum(F.col("r") * F.col("n_tokens") * x).alias(d) for x, d in zip(p, names)]
+    r = groups.withColumn("r", F.lit(1.0)).agg(*expected).first()
+    natural = [float(r[d] or 0) for d in names]
     whole = sum(natural)
-    target = [s / sum(shares) * whole for s in shares]
-    history: list[list[float]] = []
-    for _ in range(rounds):
-        now = natural if not history else totals(history)
-        error = [(x - t) / n if n > 0 else 0.0 for x, t, n in zip(now, target, natural)]
-        if max((abs(a - b) for a, b in zip(error, history[-1] if history else [0.0] * len(names))), default=0) <= tolerance:
-            break
-        history.append(error)
-    return history
+    target = [x / sum(shares) * whole for x in shares]
+    now, history, moved, step = natural, [], 0.0, 0
+
+    def errors(now: list[float]) -> list[float]:
+        return [(x - t) / n if n > 0 else 0.0 for x, t, n in zip(now, target, natural)]
+
+    while whole > 0 and step < rounds and (not step or moved > tolerance):
+        if len(history) == WRITTEN:
+            groups, history = stage(groups.withColumn("rate", _rate(history, names)), "mixing-rates"), []
+        history.append(errors(now))
+        r = groups.withColumn("r", _rate(history, names)).withColumn("m", F.abs(F.col("r") - _rate(history[:-1], names))) \
+            .agg(*expected, F.max("m").alias("__moved")).first()
+        now, moved, step = [float(r[d] or 0) for d in names], float(r["__moved"]), step + 1
+    left = sum(n * e * e for n, e in zip(natural, errors(now)))
+    residual = math.sqrt(left / whole) if whole > 0 else 0.0
+    return groups.withColumn("rate", _rate(history, names)), residual, moved if moved > tolerance else 0.0
 
 
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id",
-        targets: dict[str, float] | None = None, rounds: int = 60) -> DataFrame:
-    """(id, key, n_tokens, rate, p_<domain>...) of every row; ``key`` is the
+        targets: dict[str, float] | None = None, rounds: int = 120) -> DataFrame:
+    """(id, key, n_tokens, rate, residual, unsettled, p_<domain>...) of every row; ``key`` is the
     xxhash64 of its text. ``labels`` has columns quality and toxic."""
     targets = targets or DOMAINS
     names = list(targets)
@@ -159,5 +173,8 @@ def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     score, share = posteriors(measured, labelled, names)
     soft = measured.select("id", "key", "n_tokens", *score).select("id", "key", "n_tokens", *share)
     groups = stage(soft.groupBy(*[f"p_{d}" for d in names]).agg(F.sum("n_tokens").alias("n_tokens")), "mixing-groups")
-    history = solve(groups, names, list(targets.values()), rounds)
-    return soft.select("id", "key", "n_tokens", _rate(history, names).alias("rate"), *[f"p_{d}" for d in names])
+    rates, residual, unsettled = solve(groups, names, list(targets.values()), rounds)
+    rates = stage(rates.select(F.col("rate"), *[F.col(f"p_{d}").alias(f"q_{d}") for d in names]), "mixing-rates")
+    same = reduce(lambda a, b: a & b, [F.col(f"p_{d}").eqNullSafe(F.col(f"q_{d}")) for d in names])
+    return soft.join(F.broadcast(rates), same).select(
+        "id", "key", "n_tokens", "rate", F.lit(residual).alias("residual"), F.lit(unsettled).alias("unsettled"), *[f"p_{d}" for d in names])

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rollcall.session import checkpoint_dir, ship_package
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of this process's
-    own only where the session names none (tests, local runs)."""
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not d:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="llm-ckpt-"))
-        d = sc.getCheckpointDir()
-    return d.rstrip("/")
+    """The folder named by ``spark.checkpoint.dir``; without one this raises."""
+    return checkpoint_dir(spark).rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -37,8 +32,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers."""
-    from rollcall.session import ship_package
-
     ship_package(spark)
-
-

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from llm_cases import empty_documents, odd_documents, odd_labels, prose
@@ -98,33 +99,67 @@ def test_odd_tables(spark):
         assert all(r.lang_pred == "und" for r in rows if r.id in (3, 4, 5)) and all(0 <= r.score <= 1 for r in rows)
 
 
-def brute_rates(p, n, target, rounds):
+def brute_rates(p, n, target, tolerance=1e-6):
     natural, r = p.T @ n, np.ones(len(n))
-    for _ in range(rounds):
+    while True:
         e = (p.T @ (r * n) - target) / np.where(natural > 0, natural, np.inf)
-        r = np.maximum(0, r - p @ e)
-    return r
+        new = np.maximum(0, r - p @ e)
+        if np.abs(new - r).max() <= tolerance:
+            return new
+        r = new
 
 
 def test_mixing_equals_plain_descent(spark):
-    rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), rounds=12).toPandas()
+    rows = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).toPandas()
     names = list(mixing.DOMAINS)
     p, n = rows[[f"p_{d}" for d in names]].to_numpy(), rows["n_tokens"].to_numpy(float)
     shares = np.array(list(mixing.DOMAINS.values()))
     target = shares / shares.sum() * (p.T @ n).sum()
-    assert np.allclose(rows["rate"], brute_rates(p, n, target, 12), atol=1e-6)
-    before, after = np.abs(p.T @ n - target), np.abs(p.T @ (n * rows["rate"]) - target)
-    assert after.sum() < 0.3 * before.sum() and (rows["rate"] >= 0).all()
+    assert np.allclose(rows["rate"], brute_rates(p, n, target), atol=1e-5)
+    assert np.abs(p.T @ (n * rows["rate"]) - target).max() < 1e-3 * target.max() and (rows["rate"] >= 0).all()
+    assert rows["residual"].nunique() == 1 and rows["residual"][0] < 1e-3 and (rows["unsettled"] == 0).all()
+
+
+def groups(spark, rows):
+    return spark.createDataFrame(rows, "n_tokens long, p_a double, p_b double")
+
+
+def test_unreachable_targets_report_the_residual(spark):
+    """No group leans to b by more than a fifth, but b wants nine tenths."""
+    rows = [(1000, 0.9, 0.1), (500, 0.8, 0.2)]
+    rates, residual, _ = mixing.solve(groups(spark, rows), ["a", "b"], [0.1, 0.9])
+    r = {x.p_a: x.rate for x in rates.collect()}
+    natural, target = np.array([1300.0, 200.0]), np.array([150.0, 1350.0])
+
+    def objective(x, y):
+        got = x * 1000 * np.array([0.9, 0.1]) + y * 500 * np.array([0.8, 0.2])
+        return float(((got - target) ** 2 / natural).sum())
+
+    here = objective(r[0.9], r[0.8])
+    grid = [objective(max(0, r[0.9] + dx), max(0, r[0.8] + dy)) for dx in (-0.02, 0, 0.02) for dy in (-0.02, 0, 0.02)]
+    assert r[0.9] == 0 and r[0.8] > 1 and here <= min(grid) + 1e-3
+    assert residual > 0.1 and np.isclose(residual, np.sqrt(here / 1500), rtol=1e-3)
+    met, zero, moved = mixing.solve(groups(spark, [(1000, 1.0, 0.0), (10, 0.0, 1.0)]), ["a", "b"], [0.5, 0.5])
+    assert zero < 1e-5 and moved == 0 and {x.p_a: round(x.rate, 3) for x in met.collect()} == {1.0: 0.505, 0.0: 50.5}
+
+
+def test_an_unfinished_descent_tells(spark):
+    slow = [(1000, 0.51, 0.49), (900, 0.49, 0.51)]
+    _, residual, moved = mixing.solve(groups(spark, slow), ["a", "b"], [0.52, 0.48], rounds=3, tolerance=1e-9)
+    assert moved > 1e-9 and residual > 0
+    # written tables in between change nothing
+    rates, _, moved = mixing.solve(groups(spark, [(1000, 0.8, 0.2), (900, 0.2, 0.8)]), ["a", "b"], [0.6, 0.4], tolerance=1e-10)
+    p, n = np.array([[0.8, 0.2], [0.2, 0.8]]), np.array([1000.0, 900.0])
+    expect = brute_rates(p, n, np.array([0.6, 0.4]) * 1900, 1e-10)
+    assert moved == 0 and np.allclose(sorted(x.rate for x in rates.collect()), sorted(expect), atol=1e-8)
 
 
 def test_mixing_odd_tables(spark):
     docs, labels, empty = odd_documents(spark), odd_labels(spark), empty_documents(spark)
     for d, l in ((docs, labels), (docs, labels.limit(0)), (empty, labels)):
-        rows = mixing.mix(d, l, rounds=5).collect()
+        rows = mixing.mix(d, l).collect()
         assert len(rows) == d.count()
         assert all(r.rate >= 0 and r.n_tokens >= 0 for r in rows)
         assert all(r.n_tokens == 0 for r in rows if r.id in (3, 4, 5))
-    reweighed = mixing.mix(docs, labels, targets={"good": 0.5, "low": 0.5}, rounds=3)
+    reweighed = mixing.mix(docs, labels, targets={"good": 0.5, "low": 0.5})
     assert reweighed.select(F.sum("n_tokens")).first()[0] > 0
-
-

@@ -51,10 +51,20 @@ def test_stages_equal_their_operators(spark):
 
 
 def test_stages_take_odd_tables(spark):
+    """Also with columns of the names that the stages use inside or add."""
     import corpus_pipeline as P
+    from pyspark.sql import functions as F
 
-    for docs in (odd_documents(spark, extra=False), odd_documents(spark, extra=False).limit(0)):
+    odd = odd_documents(spark).withColumns({c: F.lit(f"x{c}") for c in ("rate", "n_tokens", "residual", "p_good", "component", "hits", "Score2")})
+    for docs in (odd, odd.limit(0)):
+        columns = docs.columns
         for k, (_, step) in enumerate(P.STAGES):
             out = stage(step(spark, docs, SF), f"test-odd-{k}")
             assert out.count() <= docs.count()
+            if k < 4:
+                assert out.columns == columns
+                assert out.where("score <> 'xscore' OR rate <> 'xrate'").count() == 0
+            else:
+                assert sorted(set(columns) - set(out.columns)) == [] and dict(out.dtypes)["rate"] == "double"
+                assert out.where("score <> 'xscore' OR key <> 'xkey'").count() == 0
             docs = out
