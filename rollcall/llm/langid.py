@@ -10,7 +10,7 @@ Training: whole labelled texts (a bounded sample of each language) are cut into
 pieces, and pieces of different texts are joined, so that the chains contain
 switches; the conditional likelihood is maximised by Adagrad in numpy.
 
-Chains hold at most ``WIDTH`` words; longer texts are several chains.
+A text is one chain, whatever its length; training chains have ``WIDTH`` words.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 without labelled rows every text is ``und``.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import Words, chunks, code_points, ngrams, not_letter, pieces
-from .crf import Adagrad, forward_backward, lay_out
+from .crf import Adagrad, forward_backward, lay_out, marginals
 from .labelled import sample
 from .storage import ship
 
@@ -93,7 +93,7 @@ def word_posteriors(column, weights: np.ndarray, trans: np.ndarray):
         row, col, size = lay_out(w.count, WIDTH)
         score = np.zeros((int(size.max()), len(size), len(weights)), np.float32)
         score[col, row] = _scores(weights, word, bucket, n)[which]
-        yield lo, hi, w, forward_backward(score, size, trans)[col, row]
+        yield lo, hi, w, marginals(score, size, trans, -(-w.count // WIDTH))[col, row]
 
 
 def predict(column, weights, trans, classes: list) -> tuple[list[str], np.ndarray]:

@@ -11,7 +11,8 @@ label stands for each of its lines. The likelihood is maximised by Adagrad. A
 logistic curve, fitted to the same documents, turns the mean into the chance
 that the document's label is good.
 
-Chains hold at most ``WIDTH`` lines; longer documents are several chains.
+A document is one chain, whatever its length; for training it is cut into pieces
+of ``WIDTH`` lines.
 
 Defined results: blank lines are no lines; a text without lines (null, empty,
 blanks) has the score of one empty line; without labelled rows of both classes
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U, Words, chunks, code_points, mix, not_letter, not_word, pieces
-from .crf import Adagrad, forward_backward, lay_out
+from .crf import Adagrad, forward_backward, lay_out, marginals
 from .labelled import sample
 from .storage import ship
 from .toxicity import SPACES
@@ -169,7 +170,8 @@ def line_marginals(column, weights, trans):
         row, col, size = _chains(doc, hi - lo)
         score = np.zeros((int(size.max()), len(size), 2))
         score[col, row, 1] = weights[_features(doc, measures)].sum(axis=1)
-        yield lo, hi, doc, weight, forward_backward(score, size, trans)[col, row, 1]
+        pieces_ = -(-np.bincount(doc, minlength=hi - lo) // WIDTH)
+        yield lo, hi, doc, weight, marginals(score, size, trans, pieces_)[col, row, 1]
 
 
 def _means(column, weights, trans) -> np.ndarray:
