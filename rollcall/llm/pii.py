@@ -7,7 +7,8 @@ confidence is the score of what follows it over all its occurrences in the
 corpus (a second scan counts these, whatever follows), an identifier's score
 joins the confidences of its patterns, seeds stay at 1. Identifiers after
 patterns of high confidence that no base pattern finds become spans of the
-pattern's kind.
+pattern's kind. Identifiers whose score reaches the confidence are seeds from
+then on: their other contexts become patterns too, until no new one comes.
 
 An identifier is a run of 6 to 64 non-blank characters, without surrounding
 punctuation, with four digits or more, outside all base spans.
@@ -196,25 +197,37 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         _scan, f"id long, key long, base {_BASE}, mentions array<struct<kind: string, start: int, end: int, name: string, patterns: array<long>>>"), "pii")
     mention = found.select("id", "key", F.explode("mentions").alias("m")).select("id", "key", "m.*") \
         .withColumn("pattern", F.explode("patterns"))
-    seeded = mention.where("kind is not null").select("pattern", "kind", "name").distinct() \
-        .groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern")
-    seeded = stage(seeded, "pii-patterns")
-    total = stage(_occurrences(rows, seeded, block), "pii-total")
-    graph = mention.join(seeded, "pattern", "left_semi").groupBy("pattern", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
-    graph = stage(graph, "pii-graph")
-    size = graph.groupBy("pattern").agg(F.sum("n").alias("mentioned")).join(total, "pattern", "left") \
-        .select("pattern", F.greatest("mentioned", F.coalesce("total", F.lit(0))).alias("size"))
-    edges = stage(graph.join(size, "pattern"), "pii-edges")
-    # seeds count for their own kind, other names by their score for each kind
-    score = spark.createDataFrame([], "name string, as_kind string, score double")
-    for _ in range(rounds):
-        vote = edges.where("kind is not null").select("pattern", "size", F.col("kind").alias("as_kind"), F.col("n").cast("double").alias("mass")) \
-            .union(edges.where("kind is null").join(score, "name").select("pattern", "size", "as_kind", F.col("n") * F.col("score")))
-        trust = vote.groupBy("pattern", "as_kind", "size").agg(F.sum("mass").alias("mass")) \
-            .select("pattern", "as_kind", F.least(F.lit(0.999), F.col("mass") / F.col("size")).alias("trust"))
-        trust = stage(trust.where("trust >= 0.01"), "pii-trust")
-        score = stage(edges.where("kind is null").select("name", "pattern").distinct().join(trust, "pattern")
-                      .groupBy("name", "as_kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score")), "pii-score")
+    seeds = mention.where("kind is not null").select("pattern", "kind", "name").distinct()
+    edges = known = None
+    while True:
+        # patterns with enough different seeds, base ones and discovered ones
+        new = seeds.groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern")
+        new = stage(new if known is None else new.join(known, "pattern", "left_anti"), "pii-patterns")
+        if known is not None and not new.head(1):
+            break
+        known = new if known is None else stage(known.union(new), "pii-known")
+        total = stage(_occurrences(rows, new, block), "pii-total")
+        graph = mention.join(new, "pattern", "left_semi").groupBy("pattern", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+        graph = stage(graph, "pii-graph")
+        size = graph.groupBy("pattern").agg(F.sum("n").alias("mentioned")).join(total, "pattern", "left") \
+            .select("pattern", F.greatest("mentioned", F.coalesce("total", F.lit(0))).alias("size"))
+        more = graph.join(size, "pattern")
+        edges = stage(more if edges is None else edges.union(more.select(*edges.columns)), "pii-edges")
+        # seeds count for their own kind, other names by their score for each kind
+        score = spark.createDataFrame([], "name string, as_kind string, score double")
+        for _ in range(rounds):
+            vote = edges.where("kind is not null").select("pattern", "size", F.col("kind").alias("as_kind"), F.col("n").cast("double").alias("mass")) \
+                .union(edges.where("kind is null").join(score, "name").select("pattern", "size", "as_kind", F.col("n") * F.col("score")))
+            trust = vote.groupBy("pattern", "as_kind", "size").agg(F.sum("mass").alias("mass")) \
+                .select("pattern", "as_kind", F.least(F.lit(0.999), F.col("mass") / F.col("size")).alias("trust"))
+            trust = stage(trust.where("trust >= 0.01"), "pii-trust")
+            score = stage(edges.where("kind is null").select("name", "pattern").distinct().join(trust, "pattern")
+                          .groupBy("name", "as_kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("score")), "pii-score")
+        sure = score.where(F.col("score") >= confidence)
+        if not sure.head(1):
+            break
+        own = mention.where("kind is null").select("pattern", "name").distinct().join(sure, "name").select("pattern", F.col("as_kind").alias("kind"), "name")
+        seeds = mention.where("kind is not null").select("pattern", "kind", "name").distinct().union(own).distinct()
     best = trust.where(F.col("trust") >= confidence).groupBy("pattern") \
         .agg(F.max(F.struct("trust", "as_kind")).alias("b")).select("pattern", "b.trust", "b.as_kind")
     added = mention.where("kind is null").join(best, "pattern").groupBy("id", "key", "start", "end") \
