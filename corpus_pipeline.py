@@ -7,7 +7,9 @@ again. All but the last return the columns of ``documents``; the last adds each
 document's rate in the mix.
 
 Defined results: documents with a null text count as empty (quality judges them
-as one empty line); an empty table stays empty.
+as one empty line); an empty table stays empty; extra columns pass through,
+whatever their names, but for the last stage's own (``n_tokens``, ``rate``,
+``residual``, ``unsettled``, ``p_...``), which replace columns of these names.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ KEEP_FROM = 0.3
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (learnt outside the held-out fold) accepts."""
     labels = read(spark, sf_dir, "labels").where(~held_out())
-    scored = quality(docs, labels, keep=tuple(docs.columns))
-    return scored.where(F.col("score") >= KEEP_FROM).select(*docs.columns)
+    kept = [f"__{i}" for i in range(len(docs.columns))]  # the result may hold a name twice
+    scored = quality(docs, labels, keep=tuple(docs.columns)).toDF("__id", "__score", *kept)
+    return scored.where(F.col("__score") >= KEEP_FROM).select(*[F.col(k).alias(c) for k, c in zip(kept, docs.columns)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +54,8 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their tokens, rate and domain posteriors."""
     rates = mix(docs, read(spark, sf_dir, "labels")).dropDuplicates(["id", "key"]) \
         .withColumnRenamed("id", "__id").withColumnRenamed("key", "__key")
+    new = {c.lower() for c in rates.columns}
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     return docs.join(rates, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key"))) \
         .drop("__id", "__key")
