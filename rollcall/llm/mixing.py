@@ -44,7 +44,7 @@ from .storage import stage
 DOMAINS = {"good": 0.90, "good_toxic": 0.02, "low": 0.06, "low_toxic": 0.02}
 STEP = 1e-3
 #: Steps between two written tables of rates.
-WRITTEN = 30
+WRITTEN = 8
 #: Upper edges of the bins of each measure.
 EDGES = {
     "word_length": (3.0, 4.5, 5.5, 7.0, 9.0),
@@ -130,7 +130,7 @@ def _rate(history: list[list[float]], names: list[str]) -> Column:
     return F.aggregate(steps, F.col("rate"), lambda r, g: F.greatest(F.lit(0.0), r - g))
 
 
-def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int = 120, tolerance: float = 1e-6) -> tuple[DataFrame, float, float]:
+def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int = 120, tolerance: float = 1e-4) -> tuple[DataFrame, float, float]:
     """(``groups`` with their ``rate``, residual, unsettled). ``groups``: n_tokens, p_*."""
     groups = groups.withColumn("rate", F.lit(1.0))
     p = [F.col(f"p_{d}") for d in names]

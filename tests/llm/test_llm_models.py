@@ -99,7 +99,7 @@ def test_odd_tables(spark):
         assert all(r.lang_pred == "und" for r in rows if r.id in (3, 4, 5)) and all(0 <= r.score <= 1 for r in rows)
 
 
-def brute_rates(p, n, target, tolerance=1e-6):
+def brute_rates(p, n, target, tolerance=1e-4):
     natural, r = p.T @ n, np.ones(len(n))
     while True:
         e = (p.T @ (r * n) - target) / np.where(natural > 0, natural, np.inf)
@@ -115,7 +115,7 @@ def test_mixing_equals_plain_descent(spark):
     p, n = rows[[f"p_{d}" for d in names]].to_numpy(), rows["n_tokens"].to_numpy(float)
     shares = np.array(list(mixing.DOMAINS.values()))
     target = shares / shares.sum() * (p.T @ n).sum()
-    assert np.allclose(rows["rate"], brute_rates(p, n, target), atol=1e-5)
+    assert np.allclose(rows["rate"], brute_rates(p, n, target), atol=2e-4)
     assert np.abs(p.T @ (n * rows["rate"]) - target).max() < 1e-3 * target.max() and (rows["rate"] >= 0).all()
     assert rows["residual"].nunique() == 1 and rows["residual"][0] < 1e-3 and (rows["unsettled"] == 0).all()
 
@@ -127,7 +127,7 @@ def groups(spark, rows):
 def test_unreachable_targets_report_the_residual(spark):
     """No group leans to b by more than a fifth, but b wants nine tenths."""
     rows = [(1000, 0.9, 0.1), (500, 0.8, 0.2)]
-    rates, residual, _ = mixing.solve(groups(spark, rows), ["a", "b"], [0.1, 0.9])
+    rates, residual, _ = mixing.solve(groups(spark, rows), ["a", "b"], [0.1, 0.9], tolerance=1e-7)
     r = {x.p_a: x.rate for x in rates.collect()}
     natural, target = np.array([1300.0, 200.0]), np.array([150.0, 1350.0])
 
@@ -139,7 +139,7 @@ def test_unreachable_targets_report_the_residual(spark):
     grid = [objective(max(0, r[0.9] + dx), max(0, r[0.8] + dy)) for dx in (-0.02, 0, 0.02) for dy in (-0.02, 0, 0.02)]
     assert r[0.9] == 0 and r[0.8] > 1 and here <= min(grid) + 1e-3
     assert residual > 0.1 and np.isclose(residual, np.sqrt(here / 1500), rtol=1e-3)
-    met, zero, moved = mixing.solve(groups(spark, [(1000, 1.0, 0.0), (10, 0.0, 1.0)]), ["a", "b"], [0.5, 0.5])
+    met, zero, moved = mixing.solve(groups(spark, [(1000, 1.0, 0.0), (10, 0.0, 1.0)]), ["a", "b"], [0.5, 0.5], tolerance=1e-6)
     assert zero < 1e-5 and moved == 0 and {x.p_a: round(x.rate, 3) for x in met.collect()} == {1.0: 0.505, 0.0: 50.5}
 
 
