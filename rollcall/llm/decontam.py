@@ -81,12 +81,15 @@ def simhash(sets: DataFrame, keys: list[str]) -> DataFrame:
     sums = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[
         F.sum(F.shiftrightunsigned(f"__h{w}", b).bitwiseAND(both)).alias(f"__s{w}_{b}") for w in range(WORDS) for b in range(32)])
 
-    def bit(w: int, b: int) -> Column:
-        ones = F.col(f"__s{w}_{b % 32}")
-        ones = ones.bitwiseAND(F.lit((1 << 32) - 1)) if b < 32 else F.shiftrightunsigned(ones, 32)
-        return F.when(ones * 2 > F.col("__n"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
-
-    return sums.select(*keys, *[reduce(lambda a, b: a.bitwiseOR(b), [bit(w, b) for b in range(64)]).alias(f"f{w}") for w in range(WORDS)])
+    def word(w: int) -> Column:
+        """The bits of a word are apart, so their sum joins them; the highest one is negative."""
+        pairs = F.transform(F.array(*[F.col(f"__s{w}_{b}") for b in range(32)]), lambda s, b: F.struct(
+            (s.bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("__n")).alias("low"), (F.shiftrightunsigned(s, 32) * 2 > F.col("__n")).alias("high"), b.alias("b")))
+        one = F.lit(1).cast("long")
+        return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["low"], F.call_function("shiftleft", one, x["b"])).otherwise(F.lit(0).cast("long"))
+                           + F.when(x["high"], F.call_function("shiftleft", one, x["b"] + 32)).otherwise(F.lit(0).cast("long")))
+
+    return sums.select(*keys, *[word(w).alias(f"f{w}") for w in range(WORDS)])
 
 
 def blocks(prefix: str) -> Column:
