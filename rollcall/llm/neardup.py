@@ -14,9 +14,17 @@ pairs of different texts in one bucket whose exact J_P is ``threshold`` or more
 connected components of the links. Equal texts are one node; buckets of the
 same nodes are one bucket. The pairs of a bucket are never emitted: buckets are
 verified exactly inside tasks, and a task returns only a spanning forest of the
-links it found. A bucket of more than ``TILE`` nodes is cut into chunks, and
-every pair of chunks is a tile and a task call of its own, so no call holds more
-than two chunks (about 2 x ``TILE`` texts) of a large bucket.
+links it found.
+
+A bucket of more than ``TILE`` nodes is first verified against ``PIVOTS`` of its
+nodes, in chunks, and the components of these links are taken. What is left of
+any bucket are the pairs of different components: its main component (that of
+most nodes) is not compared with itself. Main component and rest are cut into
+chunks; every pair of chunks with a side in the rest is a tile and a task call of
+its own, so no call holds more than two chunks (about 2 x ``TILE`` texts) of a
+large bucket. A bucket of n nodes of which r are outside the main component costs
+about n x (``PIVOTS`` + r) comparisons: linear for copies of one text, and
+quadratic only where the nodes of a bucket are not each other's near copies.
 Smaller buckets go with the buckets of the same least node (at most ``BANDS``),
 so that their shingles travel once.
 
@@ -34,13 +42,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from rollcall.operators.ranks import salted_join
+
 from .arrays import BASE, MASK, PUNCT, STEP, U, Words, chunks, mix, powers, utf8
 from .components import components
 from .storage import ship, shuffle_partitions, stage
 
 ROWS, BANDS = 5, 26
 M = ROWS * BANDS
-SHINGLE, TILE = 5, 1024
+SHINGLE, TILE, PIVOTS = 5, 1024, 8
+#: Rows of a bucket or class from which its joins are salted.
+HOT = 100_000
 #: Tile entries a task at most, about; a task takes its tiles one after another.
 TASK_ENTRIES = 64 * TILE
 
@@ -194,17 +206,52 @@ def _links(threshold: float):
     return run
 
 
-def _tiles(inside: DataFrame, groups: int) -> DataFrame:
-    """(g, node, tiles) of rows (b, n, m, node): what a task call ``g`` gets.
-    Buckets of one tile share ``groups`` calls by their least node; every tile of
-    a larger bucket is a call of its own (negative ``g``), so a call holds two
-    chunks at most, whatever the bucket."""
-    i, j = F.least("c", "o"), F.greatest("c", "o")
-    return inside.withColumn("q", F.ceil(F.col("n") / TILE).cast("int")) \
-        .withColumn("c", F.pmod(F.xxhash64("node", "b"), F.col("q")).cast("int")) \
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1))) \
-        .select("node", F.when(F.col("q") == 1, F.pmod(F.xxhash64("m"), F.lit(groups)))
-                .otherwise(F.xxhash64("b", i, j).bitwiseOR(F.lit(-1 << 63).cast("long"))).alias("g"),
+def _own_call(*of):
+    """Number of a call that holds one tile only (negative)."""
+    return F.xxhash64(*of).bitwiseOR(F.lit(-1 << 63).cast("long"))
+
+
+def _stars(large: DataFrame) -> DataFrame:
+    """(g, node, tiles) of rows (b, n, node) of the large buckets: every chunk of
+    a bucket with the bucket's pivots, each a call of its own. A pivot is the node
+    nearest to a fixed number by exclusive or, so it is a plain minimum."""
+    q = F.ceil(F.col("n") / TILE).cast("int")
+    member = large.select("node", "b", F.pmod(F.xxhash64("node", "b"), q).cast("int").alias("j"))
+    member = member.withColumn("c", F.col("j"))
+    at = [F.lit((BASE * k & MASK) >> 1) for k in range(1, PIVOTS + 1)]
+    least = [F.min(F.col("node").bitwiseXOR(x)).bitwiseXOR(x) for x in at]
+    pivot = large.groupBy("b", "n").agg(F.array(*least).alias("pivots")) \
+        .select("b", F.explode(F.array_distinct("pivots")).alias("node"), q.alias("q")) \
+        .select("node", "b", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("j"), F.lit(-1).alias("c"))
+    return member.union(pivot.select(*member.columns)) \
+        .select("node", _own_call("b", "j").alias("g"), F.struct("b", F.lit(-1).alias("i"), "j", "c").alias("e")) \
+        .groupBy("g", "node").agg(F.collect_list("e").alias("tiles"))
+
+
+def _unsettled(inside: DataFrame, known: DataFrame) -> DataFrame:
+    """(b, n, m, node, r, main) of the buckets whose nodes lie in several of the
+    ``known`` components; ``r`` counts the nodes outside the main one."""
+    placed = stage(inside.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "dup-placed")
+    per = placed.groupBy("b", "component").agg(F.count(F.lit(1)).alias("k")) \
+        .groupBy("b").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("all"))
+    per = stage(per.select("b", F.col("top.component").alias("top"), (F.col("all") - F.col("top.k")).alias("r"), "all"), "dup-main")
+    return salted_join(placed, per, ["b"], "all", HOT).where("r > 0") \
+        .select("b", "n", "m", "node", "r", (F.col("component") == F.col("top")).alias("main"))
+
+
+def _tiles(left: DataFrame, groups: int) -> DataFrame:
+    """(g, node, tiles) of rows (b, n, m, node, r, main): what a task call ``g``
+    gets. Buckets of one tile share ``groups`` calls by their least node; every
+    tile of a larger bucket is a call of its own, so a call holds two chunks at
+    most, whatever the bucket. Chunks of the rest come before those of the main
+    component, and no tile is made of two of the latter."""
+    one, main = F.col("n") <= TILE, F.col("main")
+    rest = F.when(one, 1).otherwise(F.ceil(F.col("r") / TILE)).cast("int")
+    mains = F.when(one, 0).otherwise(F.ceil((F.col("n") - F.col("r")) / TILE)).cast("int")
+    h, i, j = F.xxhash64("node", "b"), F.least("c", "o"), F.greatest("c", "o")
+    return left.withColumn("c", F.when(main & ~one, rest + F.pmod(h, mains)).otherwise(F.pmod(h, rest)).cast("int")) \
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.when(main, rest).otherwise(rest + mains) - 1))) \
+        .select("node", F.when(one, F.pmod(F.xxhash64("m"), F.lit(groups))).otherwise(_own_call("b", i, j)).alias("g"),
                 F.struct("b", i.alias("i"), j.alias("j"), "c").alias("e")) \
         .groupBy("g", "node").agg(F.collect_list("e").alias("tiles"))
 
@@ -226,25 +273,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = band.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x")) \
         .where("n > 1").groupBy("n", "m", "x").agg(F.min("b").alias("b"))
     inside = stage(band.join(shared, "b").select("b", "n", "m", "node"), "dup-buckets")
-    n_rows, entries = inside.agg(F.count(F.lit(1)), F.sum(F.ceil(F.col("n") / TILE))).first()
+    n_rows, in_large = inside.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > TILE, 1))).first()
     parts = max(shuffle_partitions(spark), math.ceil(n_rows / group_rows), 1)
-    tiled = _tiles(inside, parts * 8)
 
     used = inside.select("node").distinct().join(nodes.select("node", "rep", F.col("key").alias("key_")), "node")
     used = stage(used, "dup-used")
     small = used.count() * 48 <= broadcast_bytes
     sets = rows.join(F.broadcast(used) if small else used, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("rep"))) \
         .select("node", "text").mapInArrow(_packed, "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    dealt, tasks = tiled.join(sets, "node"), math.ceil((entries or 0) / TASK_ENTRIES)
-    if tasks > parts:
-        dealt = dealt.repartition(tasks, "g")
-    links = dealt.groupBy("g").applyInArrow(_links(threshold), "a long, b long")
+
+    def verified(tiles: DataFrame, entries: int) -> DataFrame:
+        dealt, tasks = tiles.join(sets, "node"), math.ceil(entries / TASK_ENTRIES)
+        if tasks > parts:
+            dealt = dealt.repartition(tasks, "g")
+        return dealt.groupBy("g").applyInArrow(_links(threshold), "a long, b long")
+
+    if in_large:  # otherwise no bucket has pivots, and all are left whole
+        sets = stage(sets, "dup-sets")
+        stars = stage(verified(_stars(inside.where(F.col("n") > TILE)), in_large), "dup-stars")
+        left = stage(_unsettled(inside, components(stars)), "dup-left")
+        fan = F.ceil(F.col("r") / TILE) + F.when(F.col("main"), 0).otherwise(F.ceil((F.col("n") - F.col("r")) / TILE))
+        entries = left.agg(F.sum(F.when(F.col("n") > TILE, fan).otherwise(1))).first()[0] or 0
+        links = verified(_tiles(left, parts * 8), entries).union(stars)
+    else:
+        links = verified(_tiles(inside.withColumns({"r": F.col("n"), "main": F.lit(False)}), parts * 8), n_rows)
     classes = components(links)
 
     named = nodes.select("key", "rep", "copies", "node").join(classes, "node", "left") \
         .withColumn("root", F.coalesce("component", "node"))
-    per = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("least"), F.sum("copies").alias("class_size"))
-    named = stage(named.join(per, "root").select(
+    named = stage(named.select("key", "rep", "copies", "root"), "dup-named")
+    per = stage(named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("least"), F.sum("copies").alias("class_size"),
+                                          F.count(F.lit(1)).alias("n")), "dup-roots")
+    named = stage(salted_join(named, per, ["root"], "n", HOT).select(
         F.col("key").alias("key_"), F.col("least.rep").alias("class_id"), "class_size", (F.col("key") == F.col("least.key")).alias("first")), "dup-classes")
     return rows.select("id", "key").join(named, F.col("key") == F.col("key_")).select(
         "id", "key", "class_id", "class_size", (F.col("first") & F.col("id").eqNullSafe(F.col("class_id"))).alias("first"))

@@ -63,7 +63,7 @@ def test_calls_do_not_grow_with_the_bucket(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(neardup, "TILE", 16)
     monkeypatch.setattr(neardup, "TASK_ENTRIES", 512, raising=False)
     real = neardup._links
-    largest = []
+    largest, entries = [], []
     for n in (60, 240):
         log = tmp_path / str(n)
         log.mkdir()
@@ -82,9 +82,41 @@ def test_calls_do_not_grow_with_the_bucket(spark, monkeypatch, tmp_path):
         rng = random.Random(4)
         base = prose(9, 200)
         check(spark, spark.createDataFrame([(i, edited(base, rng, 0.005), "en", "s", 0) for i in range(n)], SCHEMA))
-        largest.append(max(int(f.read_text()) for f in log.iterdir()))
+        sizes = [int(f.read_text()) for f in log.iterdir()]
+        largest.append(max(sizes))
+        entries.append(sum(sizes))
     # a call holds two chunks of 16 or so, not the bucket
     assert largest[1] <= 4 * 16, largest
+    # four times the copies of one text: far from sixteen times the work
+    assert entries[1] <= 8 * entries[0], entries
+
+
+def test_tiles_hold_every_open_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 16)
+    n, r = 90, 37
+    rows = [(5, n, 0, x, r, x >= r) for x in range(n)] + [(6, 10, 3, x, 4, x >= 4) for x in range(10)]
+    left = spark.createDataFrame(rows, "b long, n long, m long, node long, r long, main boolean")
+    calls, seen = {}, {}
+    for row in neardup._tiles(left, 4).collect():
+        for e in row.tiles:
+            calls.setdefault((e.b, row.g, e.i, e.j), []).append((row.node, e.c))
+    assert all(len(v) <= 5 * 16 for v in calls.values())
+    for (b, _, i, j), members in calls.items():
+        own, other = [x for x, c in members if c == i], [x for x, c in members if c == j]
+        for pair in {tuple(sorted((x, y))) for x in own for y in other if x != y}:
+            seen[b, pair] = seen.get((b, pair), 0) + 1
+    assert set(seen.values()) == {1}
+    assert {p for b, p in seen if b == 5} == {(x, y) for x in range(r) for y in range(x + 1, n)}
+    assert {p for b, p in seen if b == 6} == {(x, y) for x in range(10) for y in range(x + 1, 10)}
+
+
+def test_pivots_leave_only_open_buckets(spark):
+    rows = [(1, 4, 0, x) for x in range(4)] + [(2, 5, 0, x) for x in (0, 1, 7, 8, 9)]
+    inside = spark.createDataFrame(rows, "b long, n long, m long, node long")
+    known = spark.createDataFrame([(x, 0) for x in range(4)] + [(7, 7), (8, 7)], "node long, component long")
+    got = {(x.b, x.node): (x.r, x.main) for x in neardup._unsettled(inside, known).collect()}
+    assert {k[0] for k in got} == {2} and {v[0] for v in got.values()} == {3}
+    assert sorted(k[1] for k, v in got.items() if v[1]) in ([0, 1], [7, 8])
 
 
 def test_odd_rows(spark):
