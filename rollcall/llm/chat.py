@@ -11,7 +11,8 @@ turn that most conversations share is one row.
 
 Defined results: identical rows of one conversation count once; turns order by
 (turn, role, text), null first; a null role renders as ``unknown``, a null text
-as empty; a null id is a conversation of its own; markers inside a text are
+as empty; a turn without id is a conversation of its own (equal ones count once,
+whatever their number); markers inside a text are
 broken by a blank so that a text cannot open or close a turn.
 """
 
@@ -54,11 +55,13 @@ def maximal_conversations(convs: DataFrame, id_col: str = "conv_id", turn_col: s
     once; ``n_copies`` counts the equal ones."""
     spark = convs.sparkSession
     ship(spark)
-    turn = F.struct(F.col(turn_col).cast("long").alias("turn"),
+    has_id = F.col(id_col).cast("long").isNotNull()
+    turn = F.struct(F.when(has_id, F.col(turn_col).cast("long")).alias("turn"),
                     F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"),
                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    whole = convs.select(F.col(id_col).cast("long").alias("id"), turn.alias("t")).groupBy("id") \
-        .agg(F.array_sort(F.collect_set("t")).alias("turns"))
+    whole = convs.select(F.col(id_col).cast("long").alias("id"), turn.alias("t")) \
+        .groupBy("id", F.when(F.col("id").isNull(), F.col("t")).alias("alone")) \
+        .agg(F.array_sort(F.collect_set("t")).alias("turns")).drop("alone")
     hashed = stage(whole.mapInArrow(
         _rolling, "id long, inner array<binary>, last binary, turns array<struct<turn: long, role: string, text: string>>"), "chat")
     inner = hashed.select(F.explode("inner").alias("last")).distinct()

@@ -98,9 +98,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Turns as a list; a conversation goes if a longer one starts with all its turns.
 ORACLES["op8_chat_format"] = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+  SELECT DISTINCT conv_id, CASE WHEN conv_id IS NOT NULL THEN turn END AS turn,
+    coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (
-  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS ts FROM t GROUP BY conv_id),
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS ts
+  FROM t GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN {'r': role, 't': text} END),
 p AS (SELECT DISTINCT ts[1:k] AS ts FROM (SELECT ts, unnest(range(1, len(ts))) AS k FROM c)),
 one AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY ts)
 SELECT conv_id, CAST(len(ts) AS BIGINT) AS n_turns, n_copies,
