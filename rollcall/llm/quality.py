@@ -91,6 +91,7 @@ def _measures(p: np.ndarray, o: np.ndarray):
     # runs of capitals count, not one capital that starts a word
     cap = upper(p)
     inner = cap & np.append(False, cap[:-1])
+    inner[line.start] = False  # the text before may end with a capital
     measures = [length, words, chars / words, total(sign) / chars, total(inner) / chars,
                 total(letter) / chars, total(~letter & ~space & ~sign) / chars,
                 by_word(again), 1 - by_word(first), by_word(one_sign), by_word(tail), repeated]
