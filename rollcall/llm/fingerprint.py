@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U, Words, chunks, utf8
-from .blocks import with_blocks
+from .blocks import UNIT, repeated, with_blocks
 from .storage import ship
 
 BINS, BITS = 512, 4
@@ -93,12 +93,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _pairs(table: pa.Table) -> pa.Table:
-    ids, texts, ahead = (table[c].to_pylist() for c in ("id", "text", "ahead"))
+    ids, texts, ahead, times = (table[c].to_pylist() for c in ("id", "text", "ahead", "n"))
     texts = [t or "" for t in texts]
     place = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
     own, after = [i for i in place if not ahead[i]], next(i for i in place if ahead[i])
-    ids, texts = [ids[i] for i in own], [texts[i] for i in own]
-    follow = [*texts[1:], table["text"][after].as_py() or ""]
+    follow = [*(texts[i] for i in own[1:]), texts[after]]
+    # a row that stands for several: all but the last are followed by an equal text
+    rows = [(ids[i], texts[i], t, k) for i, t in zip(own, follow)
+            for t, k in ([(texts[i], times[i] - 1)] if times[i] > 1 else []) + [(t, 1)]]
+    ids, texts, follow, times = (list(x) for x in zip(*rows))
     edited = [t[:len(t) - len(t) // 2] + n[:len(t) // 2] for t, n in zip(texts, follow)]
     sig, full = sketch(pa.array([*texts, follow[-1]], pa.large_string()))
     sig_e, full_e = sketch(pa.array(edited, pa.large_string()))
@@ -110,6 +113,7 @@ def _pairs(table: pa.Table) -> pa.Table:
         "edited_fingerprint": pa.array(packed(sig_e, full_e), pa.string()),
         "near_edited": pa.array(likeness(sig[:-1], sig_e, full[:-1], full_e)),
         "near_next": pa.array(likeness(sig[:-1], sig[1:], full[:-1], full[1:])),
+        "n": pa.array(times, pa.int64()),
     })
 
 
@@ -118,20 +122,22 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     next document is that of the next id (equal ids: by text; null last; the
     last is followed by the first).
 
-    Blocks are id ranges; the first row of a block also goes to the block
-    before it, so every block is handled alone. The block starts on the driver
-    are 16 bytes a block."""
+    Blocks are id ranges, a repeated or null id of many rows is cut into ranges
+    of the text; the first row of a block also goes to the block before it, so
+    every block is handled alone. The block starts on the driver are 24 bytes a
+    block."""
     spark = docs.sparkSession
     ship(spark)
-    df, _, _ = with_blocks(docs, id_col, text_col, block_bytes)
-    starts = sorted((r.block, r.at) for r in df.groupBy("block").agg(F.min("id").alias("at")).collect())
+    df, counted, _ = with_blocks(docs, id_col, text_col, block_bytes)
+    starts = sorted((r.block, r.part, r.at) for r in df.groupBy(*UNIT).agg(F.min("id").alias("at")).collect())
     shape = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not starts:
         return spark.createDataFrame([], shape)
-    before = [(b, at, starts[i - 1][0]) for i, (b, at) in enumerate(starts)]
-    edge = F.broadcast(spark.createDataFrame(before, "block int, at long, before int"))
-    rows = df.join(edge, "block").select(
-        "id", "text", F.explode(F.when(F.col("id").eqNullSafe(F.col("at")), F.array(
-            F.struct("block", F.lit(False).alias("ahead")), F.struct(F.col("before").alias("block"), F.lit(True).alias("ahead"))
-        )).otherwise(F.array(F.struct("block", F.lit(False).alias("ahead"))))).alias("to"))
-    return rows.select("id", "text", "to.block", "to.ahead").groupBy("block").applyInArrow(_pairs, shape)
+    before = [(*unit, *starts[i - 1][:2]) for i, unit in enumerate(starts)]
+    edge = F.broadcast(spark.createDataFrame(before, "block int, part int, at long, to_block int, to_part int"))
+    own = F.struct("block", "part", F.lit(False).alias("ahead"))
+    back = F.struct(F.col("to_block").alias("block"), F.col("to_part").alias("part"), F.lit(True).alias("ahead"))
+    leads = F.coalesce("leads", F.col("id").eqNullSafe(F.col("at")))
+    rows = df.join(edge, UNIT).select("id", "text", "n", F.explode(F.when(leads, F.array(own, back)).otherwise(F.array(own))).alias("to"))
+    out = rows.select("id", "text", "n", "to.block", "to.part", "to.ahead").groupBy(*UNIT).applyInArrow(_pairs, shape + ", n long")
+    return repeated(out) if counted else out.drop("n")

@@ -6,7 +6,9 @@ distinct hash once, in sorted runs that are packed as differences, to the hash's
 bucket. A bucket says, for each hash of each block, whether an earlier block
 has it; the answers (one bit a hash) return to the blocks, which remove the
 words of repeated windows as merged maximal intervals. A window that fills a
-third of the corpus is sent once per block, so no key is hot.
+third of the corpus is sent once per block, so no key is hot. A block of one
+repeated (or null) id may come in parts, which do not count as earlier for each
+other.
 
 Two different windows are taken for equal with probability 2**-64 a pair.
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import U, Words, chunks, utf8
-from .blocks import with_blocks
+from .blocks import UNIT, repeated, with_blocks
 from .storage import ship, shuffle_partitions
 
 LAST = np.iinfo(np.int64).max
@@ -64,13 +66,14 @@ def _windows(table: pa.Table, window: int):
 
 def _send(window: int, bits: int):
     def run(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
+        block, part = table["block"][0].as_py(), table["part"][0].as_py()
         hashes = [h for *_, h in _windows(table, window)]
         u = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, U)
         edge = np.searchsorted(u, np.arange(1 << bits, dtype=U) << U(64 - bits)) if bits else np.zeros(1, int)
         edge = np.append(edge, len(u))
         full = np.flatnonzero(np.diff(edge))
         return pa.table({"block": pa.array(np.full(len(full), block), pa.int32()),
+                         "part": pa.array(np.full(len(full), part), pa.int32()),
                          "bucket": pa.array(full, pa.int32()),
                          "run": pa.array([_pack(u[edge[b]:edge[b + 1]]) for b in full], pa.binary())})
     return run
@@ -84,11 +87,13 @@ def _answer(table: pa.Table) -> pa.Table:
     size = np.array([len(r) for r in runs])
     h = np.concatenate(runs)
     by = np.argsort(h, kind="stable")
-    s = h[by]
+    s, own = h[by], np.repeat(block, size)[by]
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    least = np.repeat(own[start], np.diff(np.append(start, len(s))))  # a hash's first block
     seen = np.zeros(len(h), bool)
-    seen[by[1:]] = s[1:] == s[:-1]
+    seen[by] = own > least
     edge = np.append(0, np.cumsum(size))
-    return pa.table({"block": pa.array(block, pa.int32()), "bucket": table["bucket"],
+    return pa.table({"block": pa.array(block, pa.int32()), "part": table["part"], "bucket": table["bucket"],
                      "seen": pa.array([np.packbits(seen[a:b]).tobytes() for a, b in zip(edge, edge[1:])], pa.binary()),
                      "n": pa.array(size, pa.int64())})
 
@@ -98,7 +103,7 @@ def _remove(window: int):
         table, ids = _order(table)
         rank = np.unique(ids, return_inverse=True)[1]
         parts = list(_windows(table, window))
-        out = {"id": table["id"], "n_words": [], "n_removed": [], "kept": [], "removed": []}
+        out = {"id": table["id"], "n": table["n"], "n_words": [], "n_removed": [], "kept": [], "removed": []}
         every = np.concatenate([p[4] for p in parts]) if parts else np.zeros(0, U)
         own = np.concatenate([rank[p[0] + p[2].doc[p[3]]] for p in parts]) if parts else np.zeros(0, int)
         u, first, which = np.unique(every, return_index=True, return_inverse=True)
@@ -130,7 +135,7 @@ def _remove(window: int):
                 out["n_removed"].append(k)
                 out["kept"].append(b" ".join(words).decode("utf-8"))
                 out["removed"].append(spans)
-        return pa.table({"id": out["id"], "n_words": pa.array(out["n_words"], pa.int64()),
+        return pa.table({"id": out["id"], "n": out["n"], "n_words": pa.array(out["n_words"], pa.int64()),
                          "n_removed": pa.array(out["n_removed"], pa.int64()),
                          "kept": pa.array(out["kept"], pa.string()),
                          "removed": pa.array(out["removed"], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))})
@@ -144,11 +149,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     over it also starts in a document with a smaller id."""
     spark = docs.sparkSession
     ship(spark)
-    df, n, total = with_blocks(docs, id_col, text_col, block_bytes)
+    df, counted, total = with_blocks(docs, id_col, text_col, block_bytes)
     bits = max(total // 6 // bucket_windows, shuffle_partitions(spark) if total > 1 << 20 else 1, 1).bit_length()
-    runs = df.groupBy("block").applyInArrow(_send(window, bits), "block int, bucket int, run binary")
-    seen = runs.groupBy("bucket").applyInArrow(_answer, "block int, bucket int, seen binary, n long")
-    return df.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(
-        _remove(window), "id long, n_words long, n_removed long, kept string, removed array<struct<first: long, end: long>>")
-
-
+    df = df.drop("leads")
+    runs = df.groupBy(*UNIT).applyInArrow(_send(window, bits), "block int, part int, bucket int, run binary")
+    seen = runs.groupBy("bucket").applyInArrow(_answer, "block int, part int, bucket int, seen binary, n long")
+    out = df.groupBy(*UNIT).cogroup(seen.groupBy(*UNIT)).applyInArrow(
+        _remove(window), "id long, n long, n_words long, n_removed long, kept string, removed array<struct<first: long, end: long>>")
+    return repeated(out) if counted else out.drop("n")
