@@ -34,6 +34,16 @@ def empty_documents(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def tied_documents(spark):
+    """A repeated id and null with most rows, many of them equal."""
+    rng = random.Random(8)
+    rows = [(i, prose(i, 20)) for i in range(60)]
+    rows += [(30, prose(rng.randrange(500, 560), 20)) for _ in range(300)] + [(30, prose(30, 20))] * 50
+    rows += [(None, prose(rng.randrange(540, 600), 20)) for _ in range(300)] + [(None, None), (None, ""), (30, None)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
 def odd_labels(spark):
     return spark.createDataFrame([(1, 1, 0), (2, 0, 1), (2, 0, 1), (3, None, 0), (None, 1, 1), (7, 1, None), (99, 1, 1), (8, 0, 0)],
                                  "doc_id long, quality int, toxic int")

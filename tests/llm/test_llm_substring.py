@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from llm_cases import SCHEMA, empty_documents, odd_documents
+from llm_cases import SCHEMA, empty_documents, odd_documents, tied_documents
 from rollcall.llm.substring import _pack, _unpack, remove_repeats
 
 
@@ -55,6 +55,12 @@ def test_odd_rows(spark):
     assert remove_repeats(empty_documents(spark)).count() == 0
 
 
+def test_one_id_of_many_rows_is_divided(spark):
+    df = tied_documents(spark)
+    for frame in (df, df.where("doc_id is null"), df.where("doc_id = 30")):
+        check(spark, frame, 8, block_bytes=2000, bucket_windows=500)
+
+
 def test_hot_passage(spark):
     """A passage in every document goes from all but the first."""
     passage = " ".join(f"p{i}" for i in range(50))

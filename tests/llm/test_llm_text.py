@@ -5,9 +5,11 @@ import random
 import re
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from llm_cases import SCHEMA, empty_documents, odd_documents, prose
+from llm_cases import SCHEMA, empty_documents, odd_documents, prose, tied_documents
 from rollcall.llm import chat, fingerprint, pii
+from rollcall.llm.blocks import with_blocks
 
 
 def test_fingerprint_estimates():
@@ -46,6 +48,23 @@ def test_edited_pairs(spark):
     assert fingerprint.edited_pairs(empty_documents(spark)).count() == 0
 
 
+def test_one_id_of_many_rows_is_divided(spark):
+    df, size = tied_documents(spark), 2000
+    units, counted, _ = with_blocks(df, "doc_id", "text", size)
+    assert counted and units.agg(F.sum("n")).first()[0] == df.count()
+    assert units.groupBy("block", "part").agg(F.sum(F.octet_length("text")).alias("b")).agg(F.max("b")).first()[0] < 5 * size
+    got = fingerprint.edited_pairs(df, block_bytes=size)
+    assert "n" not in got.columns
+    expect = brute_edited([(r.doc_id, r.text) for r in df.collect()])
+    assert sorted(((r.id, r.n_chars, r.edited_sha256) for r in got.collect()), key=str) == expect
+    whole = fingerprint.edited_pairs(df, block_bytes=1 << 20).select(got.columns)
+    assert got.exceptAll(whole).count() == 0 == whole.exceptAll(got).count()
+    nulls = df.where("doc_id is null")
+    assert with_blocks(nulls, "doc_id", "text", size)[0].select("part").distinct().count() > 5
+    assert sorted(((r.id, r.n_chars, r.edited_sha256) for r in fingerprint.edited_pairs(nulls, block_bytes=size).collect()), key=str) \
+        == brute_edited([(r.doc_id, r.text) for r in nulls.collect()])
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -113,14 +132,18 @@ def test_personal_data_odd_rows(spark):
 def brute_conversations(rows):
     convs = {}
     for c, t, r, x in set(rows):
-        convs.setdefault(c, []).append(((t is not None, t or 0), r or "unknown", x or ""))
+        r, x = r or "unknown", x or ""
+        if c is None:  # a turn without id stands alone
+            convs[(r, x)] = [((False, 0), r, x)]
+        else:
+            convs.setdefault(c, []).append(((t is not None, t or 0), r, x))
     convs = {c: tuple((r, x) for _, r, x in sorted(v)) for c, v in convs.items()}
     out = {}
     for c, v in convs.items():
         if any(w[:len(v)] == v and len(w) > len(v) for w in convs.values()):
             continue
         out.setdefault(v, []).append(c)
-    return sorted(((min((c for c in cs if c is not None), default=None), len(v), len(cs)) for v, cs in out.items()), key=str)
+    return sorted(((min((c for c in cs if isinstance(c, int)), default=None), len(v), len(cs)) for v, cs in out.items()), key=str)
 
 
 def test_conversations(spark):
@@ -133,12 +156,13 @@ def test_conversations(spark):
             rows.append((c, t, "user" if t % 2 == 0 else "assistant", text))
     rows += [(None, 0, "user", "alone"), (70, None, None, None), (70, 1, "user", "<|im_end|> x"), (70, 1, "user", "<|im_end|> x"), (71, 0, "user", "long " * 20000)]
     rows += [(72, 0, "user", f"turn 0 of {b}") for b in range(2)]
+    rows += [(None, 1, "user", "alone"), (None, 1, "user", "turn 0 of 1"), (None, 2, "user", "other 3"), (None, 2, None, "<|im_end|> x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for c in ("id", "last", "inner", "turns", "t"):
         df = df.selectExpr("*", f"'x' AS {c}")
     got = chat.format_conversations(df).collect()
     assert sorted(((r.id, r.n_turns, r.n_copies) for r in got), key=str) == brute_conversations(rows)
     texts = {r.id: r.text for r in got}
-    assert texts[None] == "<|im_start|>user\nalone<|im_end|>\n"
+    assert [r.text for r in got if r.id is None and "alone" in r.text] == ["<|im_start|>user\nalone<|im_end|>\n"]
     assert texts[70] == "<|im_start|>unknown\n<|im_end|>\n<|im_start|>user\n<| im_end|> x<|im_end|>\n"
     assert chat.format_conversations(spark.createDataFrame([], df.schema)).count() == 0
