@@ -6,6 +6,10 @@ ending: ``.json`` (tokenizers), ``.tiktoken`` (ranks and a split pattern) and
 ``.model`` (sentencepiece). Special tokens' strings in a text are ordinary text.
 
 Defined results: a null or empty text has no tokens.
+
+A tokenizer's own result takes about a hundred bytes a token. So a batch is encoded
+in slices of ``SLICE_CHARS`` characters (a longer text alone), and each slice's
+result goes out, as plain numbers, before the next one is made.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import functools
 import os
 from typing import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -22,6 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from ..functions.text import col
 
 MAX_BYTES = 64 << 20
+SLICE_CHARS = 128 << 10
 #: Splits a text before ranks apply, where the file names no rule of its own.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -52,6 +58,20 @@ def _open(kind: str, raw: bytes, split: str):
     raise ValueError(f"no tokenizer reads {kind!r} files")
 
 
+def _slices(texts: pd.Series) -> Iterator[list[str]]:
+    """A batch's texts in order, in lists of about ``SLICE_CHARS`` characters."""
+    part, size = [], 0
+    for x in texts:
+        x = x or ""
+        if part and size + len(x) > SLICE_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(x)
+        size += len(x) + 1
+    if part:
+        yield part
+
+
 class Vocabulary:
     """A vocabulary file, opened for Spark columns."""
 
@@ -79,7 +99,24 @@ class Vocabulary:
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encoder = opened()[0]
             for s in batches:
-                yield pd.Series(encoder(s.fillna("").tolist()), dtype=object)
+                for part in _slices(s):
+                    yield pd.Series([np.array(x, "int32") for x in encoder(part)], dtype=object)
+
+        return encode(col(text).cast("string"))
+
+    def head(self, text, k: int) -> Column:
+        """``struct<n, ids, tokens>``: the number of tokens of the whole text, and
+        the ids and pieces of the first ``k``."""
+        opened = self._opened()
+        shape = StructType([StructField("n", IntegerType()), StructField("ids", ArrayType(IntegerType())), StructField("tokens", ArrayType(StringType()))])
+
+        @F.pandas_udf(shape)
+        def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            encoder, token, _ = opened()
+            for s in batches:
+                for part in _slices(s):
+                    rows = [(len(x), list(x[:k])) for x in encoder(part)]
+                    yield pd.DataFrame({"n": [n for n, _ in rows], "ids": [x for _, x in rows], "tokens": [[token(i) for i in x] for _, x in rows]})
 
         return encode(col(text).cast("string"))
 
@@ -116,6 +153,7 @@ class Vocabulary:
 def token_dump(df: DataFrame, text_col: str, vocabulary: Vocabulary, k: int = 50) -> DataFrame:
     """One row for each of the first ``k`` tokens: 0-based ``pos``, ``id``, ``token``,
     and how many tokens follow the last one shown (``more``)."""
-    d = df.withColumn("_ids", vocabulary.ids(text_col))
-    d = d.withColumn("more", F.greatest(F.size("_ids") - k, F.lit(0))).withColumn("_head", vocabulary.tokens(F.slice("_ids", 1, k)))
-    return d.select(*df.columns, "more", F.posexplode("_head").alias("pos", "_t")).select(*df.columns, "pos", "_t.id", "_t.token", "more")
+    d = df.withColumn("_head", vocabulary.head(text_col, k))
+    d = d.withColumn("more", F.greatest(F.col("_head.n") - k, F.lit(0)))
+    d = d.withColumn("_pieces", F.arrays_zip(F.col("_head.ids").alias("id"), F.col("_head.tokens").alias("token")))
+    return d.select(*df.columns, "more", F.posexplode("_pieces").alias("pos", "_t")).select(*df.columns, "pos", "_t.id", "_t.token", "more")

@@ -4,6 +4,7 @@ import base64
 import json
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,45 @@ def test_ids_equal_the_library(spark, name):
             assert r.back == (r.text or "")  # bytes survive the round trip
 
 
+def test_a_batch_is_encoded_in_slices(spark, monkeypatch):
+    """No more than a slice's texts are encoded at once, and the whole text counts."""
+    sizes = []
+    texts = pd.Series(["abc " * 5000, None, "", "x" * (3 * T.SLICE_CHARS)] + ["word " * 2000] * 50)
+    parts = list(T._slices(texts))
+    assert [x for p in parts for x in p] == [x or "" for x in texts] and len(parts) > 4
+    assert all(len(p) == 1 or sum(map(len, p)) <= T.SLICE_CHARS for p in parts)
+    monkeypatch.setattr(T, "_open", lambda *a: (lambda part: sizes.append(sum(map(len, part))) or [[7] * len(x) for x in part], str, None))
+    v = object.__new__(T.Vocabulary)
+    v.kind, v.split, v._raw = "", "", type("Raw", (), {"value": b""})()
+    text = "word " * 2000
+    for column, n in ((v.ids, 50), (v.count, 50), (lambda c: v.head(c, 3), 50)):
+        sizes.clear()
+        out = _run(column, pd.Series([text] * n))
+        assert sum(sizes) == n * len(text) and max(sizes) <= T.SLICE_CHARS and len(out) == n
+
+
+def _run(column, texts):
+    """The Python function behind a column's UDF, over one batch."""
+    made = []
+    wrap = F.pandas_udf
+    try:
+        F.pandas_udf = lambda kind: lambda f: made.append(f) or wrap(kind)(f)
+        column(F.lit("x"))
+    finally:
+        F.pandas_udf = wrap
+    f = made[0]
+    out = f(iter([texts])) if "batches" in f.__code__.co_varnames else f(texts)
+    return out if isinstance(out, pd.Series) else pd.concat(list(out), ignore_index=True)
+
+
+def test_head_counts_the_whole_text(spark):
+    encode, v = reference("byte_bpe_50k.json"), T.Vocabulary(spark, FOLDER + "byte_bpe_50k.json")
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").withColumn("h", v.head("text", 4)).withColumn("all", v.ids("text"))
+    for r in df.collect():
+        ids = encode(r.text or "")
+        assert (r.h.n, r.h.ids, len(r.h.tokens)) == (len(ids), ids[:4], len(ids[:4])) and r["all"] == ids
+
+
 def test_both_files_of_one_vocabulary_agree(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     one, other = (T.Vocabulary(spark, FOLDER + n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
