@@ -146,8 +146,16 @@ class Vocabulary:
         return decode(col(ids))
 
     def count(self, text) -> Column:
-        """Number of tokens; for ``with_lengths`` and ``prepare_examples``."""
-        return F.size(self.ids(text))
+        """Number of tokens; for ``with_lengths`` and ``prepare_examples``. The ids
+        stay in the Python worker, and several counts of a row share one."""
+        opened = self._opened()
+
+        @F.pandas_udf(IntegerType())
+        def size(s: pd.Series) -> pd.Series:
+            encoder = opened()[0]
+            return pd.Series([len(x) for part in _slices(s) for x in encoder(part)], dtype="int32")
+
+        return size(col(text).cast("string"))
 
 
 def token_dump(df: DataFrame, text_col: str, vocabulary: Vocabulary, k: int = 50) -> DataFrame:
