@@ -139,9 +139,10 @@ def reward_breakdown(df: DataFrame, cfg: RewardConfig, by: list[str] | None = No
     return wide.select(*by, F.inline(F.array(*parts)))
 
 
-def component_means(df: DataFrame, cfg: RewardConfig, by: list[str] = ("step",)) -> DataFrame:
+def component_means(df: DataFrame, cfg: RewardConfig, by: list[str] = ("step",), *more: Column) -> DataFrame:
+    """Means of the components and the composite; ``more`` aggregates come first."""
     aggs = [exact_mean(exact(_score(df, c, cfg))).alias(f"{c}_mean") for c in cfg.enabled_components()]
-    return df.groupBy(*by).agg(*aggs, exact_mean(exact_composite(df, cfg)).alias("composite_mean"))
+    return df.groupBy(*by).agg(*more, *aggs, exact_mean(exact_composite(df, cfg)).alias("composite_mean"))
 
 
 def execution_accuracy(df: DataFrame, by: list[str] = ("step",), result_col: str = "result_score") -> DataFrame:
