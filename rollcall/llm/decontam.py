@@ -39,7 +39,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import stage
+from .storage import empty, stage
 
 SHINGLE, RADIUS = 5, 63
 #: 64-bit words of a fingerprint, its blocks, and the bits of a block.
@@ -154,7 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     widths = sorted(r.k for r in items.select("k").distinct().collect())  # at most SHINGLE numbers
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), words(F.col(text_col)).alias("ws"))
-    hit = spark.createDataFrame([], "id long, key long, n int, copy long, at int")
+    hit = empty(spark, "id long, key long, n int, copy long, at int")
     for k in widths:
         places = stage(items.where(F.col("k") == k).select("copy", F.explode(shingle_hashes("ws", k)).alias("sh")).distinct(), "leak-places")
         every = rows.select("id", "key", F.size("ws").alias("n"), F.posexplode(shingle_hashes("ws", k)).alias("at", "sh"))

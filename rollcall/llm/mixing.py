@@ -122,12 +122,17 @@ def posteriors(rows: DataFrame, labelled: DataFrame, names: list[str]) -> tuple[
 
 
 def _rate(history: list[list[float]], names: list[str]) -> Column:
-    """The rate after the steps of ``history``, from the row's rate and posteriors."""
+    """The rate after the steps of ``history``, from the row's rate and posteriors.
+
+    The steps are one constant array, which Spark hands to its generated code as
+    an object: all rounds share that code. As numbers of their own, they were
+    compiled and kept anew by every executor in every round."""
     if not history:
         return F.col("rate")
     p = [F.col(f"p_{d}") for d in names]
-    steps = F.array(*[reduce(lambda a, b: a + b, [F.lit(e) * x for e, x in zip(step, p)]) for step in history])
-    return F.aggregate(steps, F.col("rate"), lambda r, g: F.greatest(F.lit(0.0), r - g))
+    steps = F.array(*[F.array(*[F.lit(e) for e in step]) for step in history])
+    return F.aggregate(steps, F.col("rate"), lambda r, step: F.greatest(
+        F.lit(0.0), r - reduce(lambda a, b: a + b, [F.get(step, F.lit(k)) * x for k, x in enumerate(p)])))
 
 
 def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int = 120, tolerance: float = 1e-4) -> tuple[DataFrame, float, float]:

@@ -46,7 +46,7 @@ from rollcall.operators.ranks import salted_join
 
 from .arrays import BASE, MASK, PUNCT, STEP, U, Words, chunks, mix, powers, utf8
 from .components import components
-from .storage import ship, shuffle_partitions, stage
+from .storage import ship, shuffle_partitions, small_batches, stage
 
 ROWS, BANDS = 5, 26
 M = ROWS * BANDS
@@ -60,7 +60,7 @@ TASK_ENTRIES = 64 * TILE
 def shingles(column):
     """Yields (lo, hi, document, hash, weight): distinct shingles by document."""
     data, off = utf8(pc.utf8_lower(column))
-    for lo, hi in chunks(off, 1 << 19):
+    for lo, hi in chunks(off, 1 << 18):
         w = Words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], PUNCT)
         at, h = w.runs(SHINGLE, short=True)
         doc = w.doc[at]
@@ -263,6 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (or equal rows) of the least id."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     sketches = rows.mapInArrow(_sketch, "key binary, id long, bands array<long>")

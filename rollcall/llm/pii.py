@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from .arrays import Words, chunks, utf8
-from .storage import ship, stage
+from .storage import empty, ship, small_batches, stage
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -158,7 +158,7 @@ def _counter(wanted):
         total = np.zeros(len(wanted.value), np.int64)
         for batch in batches:
             data, off = utf8(pc.utf8_lower(batch["text"]))
-            for lo, hi in chunks(off):
+            for lo, hi in chunks(off, 1 << 18):
                 w = Words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 for k in (1, 2):
                     at, h = w.runs(k)
@@ -176,7 +176,7 @@ def _occurrences(docs: DataFrame, patterns: DataFrame, block: int) -> DataFrame:
     spark = docs.sparkSession
     n = patterns.count()
     blocks = -(-n // block)
-    out = spark.createDataFrame([], "pattern long, total long")
+    out = empty(spark, "pattern long, total long")
     for b in range(blocks):
         own = patterns.where(F.pmod(F.col("pattern"), F.lit(blocks)) == b).select("pattern").toArrow()
         wanted = spark.sparkContext.broadcast(np.unique(own["pattern"].to_numpy()))
@@ -191,6 +191,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its text. ``added`` are the spans that the patterns discover."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("text"))
     found = stage(rows.mapInArrow(
@@ -214,7 +215,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = graph.join(size, "pattern")
         edges = stage(more if edges is None else edges.union(more.select(*edges.columns)), "pii-edges")
         # seeds count for their own kind, other names by their score for each kind
-        score = spark.createDataFrame([], "name string, as_kind string, score double")
+        score = empty(spark, "name string, as_kind string, score double")
         for _ in range(rounds):
             vote = edges.where("kind is not null").select("pattern", "size", F.col("kind").alias("as_kind"), F.col("n").cast("double").alias("mass")) \
                 .union(edges.where("kind is null").join(score, "name").select("pattern", "size", "as_kind", F.col("n") * F.col("score")))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from .arrays import U, Words, chunks, code_points, mix, not_letter, not_word, pieces
 from .crf import Adagrad, forward_backward, lay_out, marginals
 from .labelled import sample
-from .storage import ship
+from .storage import ship, small_batches
 from .toxicity import SPACES
 
 WIDTH, BINS = 64, 8
@@ -199,6 +199,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     are the rows to learn from; at most ``bound`` of each class are used."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     keys = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     texts, y, _ = sample(docs, keys.where("label in (0, 1)"), bound, id_col, text_col)
     model = spark.sparkContext.broadcast(fit(texts, y))  # a few hundred floats

@@ -163,3 +163,14 @@ def test_mixing_odd_tables(spark):
         assert all(r.n_tokens == 0 for r in rows if r.id in (3, 4, 5))
     reweighed = mixing.mix(docs, labels, targets={"good": 0.5, "low": 0.5})
     assert reweighed.select(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_rounds_of_the_descent_share_their_code(spark):
+    """No class is compiled anew for the numbers or the count of the steps."""
+    rows = spark.range(4).select(F.lit(1.0).alias("rate"), (F.col("id") / 4).alias("p_a"), (F.col("id") / 7).alias("p_b")).where("p_a > 0")
+
+    def code(history):
+        plan = rows.select(mixing._rate(history, ["a", "b"]).alias("r"))._jdf.queryExecution()
+        return spark._jvm.PythonSQLUtils.explainString(plan, "codegen").split("Generated code:")[1:]
+
+    assert len(code([[0.25, 0.1]])) == 1 and code([[0.25, 0.1]]) == code([[0.3, 0.7], [0.1, -0.2]])

@@ -2,7 +2,7 @@ import re
 
 from llm_cases import odd_documents
 from rollcall.llm.queries import ORACLES, QUERIES
-from rollcall.llm.storage import read, stage
+from rollcall.llm.storage import BATCH_ROWS, empty, read, small_batches, stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +68,36 @@ def test_stages_take_odd_tables(spark):
                 assert sorted(set(columns) - set(out.columns)) == [] and dict(out.dtypes)["rate"] == "double"
                 assert out.where("score <> 'xscore' OR key <> 'xkey'").count() == 0
             docs = out
+
+
+def test_empty_tables_start_no_python_worker(spark):
+    made = empty(spark, "name string, score double, n int")
+    assert made.dtypes == [("name", "string"), ("score", "double"), ("n", "int")] and made.count() == 0
+    assert "ExistingRDD" not in made._jdf.queryExecution().toString()
+
+
+def test_text_operators_hold_small_batches(spark):
+    """Whatever the session had: rows of a Python worker's batch are bounded."""
+    import pyarrow as pa
+
+    from rollcall.llm import neardup, pii, quality
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(key), odd_documents(spark, False)
+    labels = spark.createDataFrame([(1, 1), (8, 0)], "doc_id long, quality int")
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+    try:
+        for make in (lambda: quality.quality(docs, labels), lambda: neardup.near_duplicates(docs), lambda: pii.find_personal_data(docs)):
+            for rows in ("10000", "0"):
+                spark.conf.set(key, rows)
+                make()
+                seen = spark.range(2 * BATCH_ROWS + 5, numPartitions=1).mapInArrow(sizes, "n long").collect()
+                assert sum(r.n for r in seen) == 2 * BATCH_ROWS + 5 and max(r.n for r in seen) <= BATCH_ROWS
+        spark.conf.set(key, "10")
+        small_batches(spark)
+        assert spark.conf.get(key) == "10"
+    finally:
+        spark.conf.set(key, before)
