@@ -131,12 +131,13 @@ def ngrams(points: np.ndarray, start: np.ndarray, end: np.ndarray, sizes, bits:
     return np.concatenate(words), np.concatenate(buckets)
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 20):
-    """Document ranges (lo, hi) of about ``size`` bytes; at least one document."""
+def chunks(offsets: np.ndarray, size: int = 1 << 20, docs: int | None = None):
+    """Document ranges (lo, hi) of about ``size`` bytes, and of at most ``docs``
+    documents; at least one document."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, max(hi, lo + 1), lo + (docs or n))
         yield lo, hi
         lo = hi
 

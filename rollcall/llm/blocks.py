@@ -1,7 +1,7 @@
 """Blocks of documents: contiguous ranges of the id, of about equal bytes.
 
 A block is the unit that one task call sees; it is bounded by ``block_bytes``
-(and by the longest document). Blocks are ordered as their ids. Where one id (or
+(and by the longest document), and by ``BLOCK_ROWS`` rows. Blocks are ordered as their ids. Where one id (or
 null) holds a block's share of the rows and more than ``block_bytes``, its rows
 are a block of their own, cut into parts by ranges of the text, with repeated
 rows counted instead of kept.
@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .storage import shuffle_partitions, stage
 
+#: Rows of a block, however short their texts: a row counts as its share of ``block_bytes`` besides its text.
+BLOCK_ROWS = 8192
 #: The unit of one task call.
 UNIT = ["block", "part"]
 
 
 def with_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = 4 << 20):
-    """(id, text, block, part, n, leads), whether rows were counted, bytes of text.
+    """(id, text, block, part, n, leads), whether rows were counted, bytes of text and rows.
 
     Split points are approximate quantiles of the id (8 bytes a block on the
     driver); a null id goes to the last block. ``n`` is how many equal rows a
@@ -29,7 +31,7 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int =
     a part in order of the text; it is null outside divided blocks."""
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     number = F.col("id").cast("double")
-    size = F.octet_length("text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(block_bytes // BLOCK_ROWS)
     total, unnamed = df.agg(F.sum(size), F.sum(F.when(F.col("id").isNull(), size))).first()
     total, unnamed = total or 0, unnamed or 0
     want = max(math.ceil(total / block_bytes), min(shuffle_partitions(docs.sparkSession), math.ceil(total / 65536)), 1)

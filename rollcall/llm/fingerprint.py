@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrays import U, Words, chunks, utf8
 from .blocks import UNIT, repeated, with_blocks
-from .storage import ship
+from .storage import ship, small_batches, table
 
 BINS, BITS = 512, 4
 SHINGLE = 5
+#: Texts that the working arrays (some kilobytes a text) cover at once, however short they are.
+DOCS = 256
 EMPTY = U((1 << 64) - 1)
 _ORDER: dict[int, np.ndarray] = {}
 
@@ -43,7 +45,7 @@ def sketch(column, bins: int = BINS, bits: int = BITS) -> tuple[np.ndarray, np.n
     data, off = utf8(column)
     shift = U(64 - (bins.bit_length() - 1))
     out, full = np.zeros((len(off) - 1, bins), np.uint8), np.zeros(len(off) - 1, bool)
-    for lo, hi in chunks(off):
+    for lo, hi in chunks(off, 1 << 18, DOCS):
         w = Words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
         at, h = w.runs(SHINGLE, short=True)
         doc = w.doc[at]
@@ -128,13 +130,14 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     block."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
     df, counted, _ = with_blocks(docs, id_col, text_col, block_bytes)
     starts = sorted((r.block, r.part, r.at) for r in df.groupBy(*UNIT).agg(F.min("id").alias("at")).collect())
     shape = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not starts:
         return spark.createDataFrame([], shape)
     before = [(*unit, *starts[i - 1][:2]) for i, unit in enumerate(starts)]
-    edge = F.broadcast(spark.createDataFrame(before, "block int, part int, at long, to_block int, to_part int"))
+    edge = F.broadcast(table(spark, before, "block int, part int, at long, to_block int, to_part int"))
     own = F.struct("block", "part", F.lit(False).alias("ahead"))
     back = F.struct(F.col("to_block").alias("block"), F.col("to_part").alias("part"), F.lit(True).alias("ahead"))
     leads = F.coalesce("leads", F.col("id").eqNullSafe(F.col("at")))

@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from llm_cases import SCHEMA, empty_documents, odd_documents, prose, tied_documents
 from rollcall.llm import chat, fingerprint, pii
-from rollcall.llm.blocks import with_blocks
+from rollcall.llm.blocks import BLOCK_ROWS, with_blocks
+from rollcall.llm.storage import table
 
 
 def test_fingerprint_estimates():
@@ -65,6 +67,30 @@ def test_one_id_of_many_rows_is_divided(spark):
         == brute_edited([(r.doc_id, r.text) for r in nulls.collect()])
 
 
+def test_short_texts_are_bounded_in_rows(spark):
+    """Neither a block nor the working arrays hold more rows when the texts are short."""
+    texts = pa.array([f"w{i % 7}" for i in range(4000)])
+    fingerprint.sketch(texts[:600])
+    tracemalloc.start()
+    try:
+        sig, full = fingerprint.sketch(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert full.all() and peak < sig.nbytes + (12 << 20)
+    assert (sig[:600] == fingerprint.sketch(texts[:600])[0]).all() and (sig[7:] == sig[:-7]).all()
+    df = spark.range(0, 40000, 1, 4).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    blocks, _, _ = with_blocks(df, "doc_id", "text", 1 << 16)
+    assert blocks.count() == 40000 and blocks.groupBy("block", "part").count().agg(F.max("count")).first()[0] < 2 * BLOCK_ROWS
+
+
+def test_small_tables_start_no_python_worker(spark):
+    made = table(spark, [(1, None, "a"), (2, 5, None)], "x int, y long, z string")
+    assert made.dtypes == [("x", "int"), ("y", "bigint"), ("z", "string")]
+    assert [tuple(r) for r in made.orderBy("x").collect()] == [(1, None, "a"), (2, 5, None)]
+    assert "Scan ExistingRDD" not in made._jdf.queryExecution().toString()
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
