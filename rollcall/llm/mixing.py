@@ -19,10 +19,10 @@ stays of the objective, as the root of its share of all tokens: 0 where the
 targets are met, more where nonnegative rates cannot meet them all.
 
 Documents with equal posteriors always have equal rates, so the descent runs
-over the table of distinct posteriors with their token sums; each iteration is
-one aggregation of K sums, and every ``WRITTEN`` steps the rates are written. The
-number of distinct posteriors is bounded by the number of bin combinations
-(6048), whatever the corpus, so that table is broadcast to the documents.
+over the table of distinct posteriors with their token sums, which is summed up
+where the documents are. The number of distinct posteriors is bounded by the
+number of bin combinations (6048), whatever the corpus, so all iterations over
+that table are one query, and its rates are broadcast to the documents.
 
 Main path: DataFrame functions only.
 
@@ -36,15 +36,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from .storage import stage
 
 #: Domains by (quality, toxic), and their default target shares.
 DOMAINS = {"good": 0.90, "good_toxic": 0.02, "low": 0.06, "low_toxic": 0.02}
 STEP = 1e-3
-#: Steps between two written tables of rates.
-WRITTEN = 8
 #: Upper edges of the bins of each measure.
 EDGES = {
     "word_length": (3.0, 4.5, 5.5, 7.0, 9.0),
@@ -135,28 +133,54 @@ def _rate(history: list[list[float]], names: list[str]) -> Column:
         F.lit(0.0), r - reduce(lambda a, b: a + b, [F.get(step, F.lit(k)) * x for k, x in enumerate(p)])))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _descent(groups: DataFrame, names: list[str], natural: list[float], target: list[float], rounds: int, tolerance: float) -> Row:
+    """(steps, now, moved): the errors that each step used, the expected tokens after
+    the last one and its largest move. All steps are one query over one row: a query
+    for each left its plan and metrics with the driver."""
+    # at most as many structs as there are bin combinations
+    g = F.col("g")
+    rows = groups.agg(F.collect_list(F.struct("n_tokens", *[F.col(f"p_{d}") for d in names])).alias("g"))
+
+    def errors(now: Column) -> Column:
+        return F.array(*[(F.get(now, F.lit(k)) - F.lit(t)) / F.lit(n) if n > 0 else F.lit(0.0)
+                         for k, (n, t) in enumerate(zip(natural, target))])
+
+    def moved(r: Column, e: Column) -> Column:
+        return F.zip_with(r, g, lambda r, x: F.greatest(F.lit(0.0), r - reduce(
+            lambda a, b: a + b, [F.get(e, F.lit(k)) * x[f"p_{d}"] for k, d in enumerate(names)])))
+
+    def expected(r: Column) -> Column:
+        return F.array(*[F.aggregate(F.zip_with(r, g, lambda r, x: r * x["n_tokens"] * x[f"p_{d}"]), F.lit(0.0), lambda a, b: a + b)
+                         for d in names])
+
+    def step(s: Column, _: Column) -> Column:
+        after = _let(errors(s["now"]), lambda e: _let(moved(s["r"], e), lambda r: F.struct(
+            r.alias("r"), expected(r).alias("now"), F.concat(s["steps"], F.array(e)).alias("steps"),
+            F.array_max(F.zip_with(r, s["r"], lambda a, b: F.abs(a - b))).alias("moved"))))
+        return F.when((F.size(s["steps"]) > 0) & (s["moved"] <= F.lit(tolerance)), s).otherwise(after)
+
+    start = F.struct(F.transform(g, lambda x: F.lit(1.0)).alias("r"), F.array(*[F.lit(n) for n in natural]).alias("now"),
+                     F.array().cast("array<array<double>>").alias("steps"), F.lit(0.0).alias("moved"))
+    return rows.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(
+        s["steps"].alias("steps"), s["now"].alias("now"), s["moved"].alias("moved"))).alias("s")).collect()[0].s
+
+
 def solve(groups: DataFrame, names: list[str], shares: list[float], rounds: int = 120, tolerance: float = 1e-4) -> tuple[DataFrame, float, float]:
     """(``groups`` with their ``rate``, residual, unsettled). ``groups``: n_tokens, p_*."""
     groups = groups.withColumn("rate", F.lit(1.0))
-    p = [F.col(f"p_{d}") for d in names]
-    expected = [F.sum(F.col("r") * F.col("n_tokens") * x).alias(d) for x, d in zip(p, names)]
-    r = groups.withColumn("r", F.lit(1.0)).agg(*expected).first()
+    r = groups.agg(*[F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in names]).first()
     natural = [float(r[d] or 0) for d in names]
     whole = sum(natural)
     target = [x / sum(shares) * whole for x in shares]
-    now, history, moved, step = natural, [], 0.0, 0
-
-    def errors(now: list[float]) -> list[float]:
-        return [(x - t) / n if n > 0 else 0.0 for x, t, n in zip(now, target, natural)]
-
-    while whole > 0 and step < rounds and (not step or moved > tolerance):
-        if len(history) == WRITTEN:
-            groups, history = stage(groups.withColumn("rate", _rate(history, names)), "mixing-rates"), []
-        history.append(errors(now))
-        r = groups.withColumn("r", _rate(history, names)).withColumn("m", F.abs(F.col("r") - _rate(history[:-1], names))) \
-            .agg(*expected, F.max("m").alias("__moved")).first()
-        now, moved, step = [float(r[d] or 0) for d in names], float(r["__moved"]), step + 1
-    left = sum(n * e * e for n, e in zip(natural, errors(now)))
+    now, history, moved = natural, [], 0.0
+    if whole > 0 and rounds > 0:
+        history, now, moved = _descent(groups, names, natural, target, rounds, tolerance)
+    left = sum(n * ((x - t) / n) ** 2 for x, t, n in zip(now, target, natural) if n > 0)
     residual = math.sqrt(left / whole) if whole > 0 else 0.0
     return groups.withColumn("rate", _rate(history, names)), residual, moved if moved > tolerance else 0.0
 

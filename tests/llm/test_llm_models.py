@@ -174,3 +174,18 @@ def test_rounds_of_the_descent_share_their_code(spark):
         return spark._jvm.PythonSQLUtils.explainString(plan, "codegen").split("Generated code:")[1:]
 
     assert len(code([[0.25, 0.1]])) == 1 and code([[0.25, 0.1]]) == code([[0.3, 0.7], [0.1, -0.2]])
+
+
+def test_queries_of_the_descent_do_not_grow_with_its_steps(spark):
+    """The driver keeps the plan and metrics of every query."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def queries(rounds):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = store.executionsCount()
+        _, _, moved = mixing.solve(groups(spark, [(1000, 0.51, 0.49), (900, 0.49, 0.51)]), ["a", "b"], [0.52, 0.48], rounds, 1e-12)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert moved > 0
+        return store.executionsCount() - before
+
+    assert queries(30) == queries(3) <= 3
