@@ -9,7 +9,9 @@ from rollcall.functions import text as Tx
 from rollcall.operators import execution as X
 from rollcall.operators import ranks
 from rollcall.operators import rewards as R
+from rollcall.plans import stream_queries as Sq
 from rollcall.streaming import stateful as Sf
+from rollcall.streaming import streams as St
 
 
 def plan(df):
@@ -90,3 +92,50 @@ def test_a_new_statement_makes_few_calls_to_the_state():
     out = list(p.handleInputRows(("d", "SELECT 1"), iter([ask, ask]), c))
     assert [tuple(r) for r in out] == [("run", "d", "SELECT 1", None, None, None, False)]
     assert c.items == [(7,), (7,)] and c.timers == [15] and c.n <= 5
+
+
+def test_a_backlog_comes_in_the_order_of_its_time(spark, monkeypatch):
+    """Small slices give the rows of one slice, from many batches; a batch's rows are
+    not all in the state, and no text is."""
+    seen, start = [], St.Arrivals.arrive
+
+    def arrive(self, step):
+        seen.append(self.slices)
+        start(self, step)
+
+    def rows():
+        return sorted(map(tuple, E.queries()["stream_score_completions"](spark, SF_SMALL).collect()), key=str)
+
+    monkeypatch.setattr(St.Arrivals, "arrive", arrive)
+    whole = rows()
+    assert seen == [1, 1] and len(whole) == 1500
+    monkeypatch.setattr(Sq, "SLICE_ROWS", 400)
+    assert rows() == whole and seen[2:] == [4] * 5
+
+
+def test_slices_hold_all_rows_once_and_in_order(spark):
+    df = spark.range(1000).select("id", F.when(F.col("id") % 100 != 0, F.timestamp_seconds(F.col("id") * 7 % 1000)).alias("ts")).repartition(5)
+    bounds = St.time_bounds(df, "ts", 300)
+    assert len(bounds) == 3 and St.time_bounds(df, "ts", 1000) == []
+    come = St.Arrivals({"a": (df, "ts"), "b": (df.where("id < 2"), "ts")}, bounds, "slices", files=4)
+    come.heartbeat(3, "2100-01-01", "id")
+    parts = []
+    for step in range(4):
+        come.arrive(step)
+        parts.append({(r.id, r.ts) for r in spark.read.schema(df.schema).parquet(f"{come.top}/{step}/a").collect()})
+    assert sum(map(len, parts)) == 1001 and sorted(i for p in parts for i, _ in p) == [-1, *range(1000)]
+    times = [[t for _, t in p if t] for p in parts]
+    assert all(max(x) < min(y) for x, y in zip(times, times[1:])) and {i for i, t in parts[0] if t is None} == set(range(0, 1000, 100))
+
+
+def test_texts_are_scored_before_the_state(spark):
+    gold = spark.createDataFrame([("SELECT a FROM t",)], "ground_truth_sql string")
+    catalogue = spark.createDataFrame([("d", "sqlite", "p")], "name string, kind string, path string")
+    one = "completion_id long, database_name string, completion string, ground_truth_sql string, ts timestamp"
+    left, ls = St.stage_files(spark.createDataFrame([], one), "no-completions")
+    right, rs = St.stage_files(spark.createDataFrame([], "completion_id long, outcome_ts timestamp, success boolean, n_pred long, n_gt long, "
+                                                         "n_common long, pred_cols int, gt_cols int"), "no-outcomes")
+    held = St.scored_stream(spark, left, ls, right, rs, gold, catalogue)._jdf.queryExecution().analyzed().toString()
+    join = next(x for x in held.split("\n") if "Join LeftOuter" in x and "outcome_ts" in x)
+    below = held[held.index(join):].split("Project [", 2)[1]
+    assert "schema_score" in below and "completion#" not in below and "ground_truth_sql" not in below
